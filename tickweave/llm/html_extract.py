@@ -167,7 +167,8 @@ def learn_weights(pages: DataFrame, id_col: str, html_col: str, max_pages: int =
             for page in batch["page"]:
                 count_page(page, inside, outside)
         keys = sorted({*inside, *outside})
-        yield pd.DataFrame({"key": keys, "i": [float(inside[k]) for k in keys], "o": [float(outside[k]) for k in keys]})
+        if keys:  # a frame without rows has no types for Arrow
+            yield pd.DataFrame({"key": keys, "i": [float(inside[k]) for k in keys], "o": [float(outside[k]) for k in keys]})
 
     rows = sample.mapInPandas(counted, "key string, i double, o double").groupBy("key").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).collect()
     return weights({r["key"]: r["i"] for r in rows}, {r["key"]: r["o"] for r in rows})
