@@ -114,7 +114,8 @@ def _tables(sample: DataFrame) -> DataFrame:
                         # the least of one more hash: near copies mostly share it, and count once
                         content = int(mix(k ^ np.uint64(0x9E3779B9)).min().astype(np.int64))
                         rows.append((batch["doc_id"].iloc[part.start + i], content, previous[a:b][first].view(np.int64), words[a:b][first].view(np.int64)))
-                yield pd.DataFrame(rows, columns=["doc_id", "content", "previous", "words"])
+                if rows:  # a frame without rows has no types for Arrow
+                    yield pd.DataFrame(rows, columns=["doc_id", "content", "previous", "words"])
 
     lists = cut(sample.filter("part = 1").select("doc_id", "text").mapInPandas(listed, "doc_id long, content long, previous array<long>, words array<long>"))
     first = lists.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
