@@ -21,7 +21,8 @@ from tickweave.llm.text import chunks
 
 MAX_LENGTH = 1024
 END_ID = 0
-MAX_CACHED = 400_000
+#: Chunks that a worker keeps; beyond that it starts anew.
+MAX_CACHED = 800_000
 _UNSAFE = re.compile(r"\s \s|  ")
 
 
@@ -48,8 +49,22 @@ class CachedTokenizer:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.lengths: list[int] = []
-        self.flat: list[int] = []
+        self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.starts, self.used = np.zeros(1 << 16, np.int64), 0
+
+    def _learn(self, new: list[str]) -> None:
+        """Add chunks; arrays double when full, so each id is copied a bounded number of times."""
+        encoded = self._encode(new)
+        n, first = np.array([len(ids) for ids in encoded], np.int64), len(self.known)
+        while first + len(new) > len(self.lengths):
+            self.lengths, self.starts = (np.concatenate((x, np.zeros_like(x))) for x in (self.lengths, self.starts))
+        while self.used + n.sum() > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.lengths[first : first + len(new)] = n
+        self.starts[first : first + len(new)] = self.used + np.cumsum(n) - n
+        self.flat[self.used : self.used + n.sum()] = np.fromiter((i for ids in encoded for i in ids), np.uint32, n.sum())
+        self.used += int(n.sum())
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,12 +80,9 @@ class CachedTokenizer:
             head, *rest = t.split(" ")
             split.append([head, *[" " + c for c in rest]] if head else [" " + c for c in rest])
         new = list({c for pieces in split if pieces for c in pieces if c not in self.known})
-        for c, ids in zip(new, self._encode(new), strict=True):
-            self.known[c] = len(self.lengths)
-            self.lengths.append(len(ids))
-            self.flat += ids
-        flat, lengths = np.array(self.flat, np.uint32), np.array(self.lengths, np.int64)
-        starts = np.cumsum(lengths) - lengths
+        if new:
+            self._learn(new)
+        flat, lengths, starts = self.flat, self.lengths, self.starts
         out = []
         for t, pieces in zip(texts, split, strict=True):
             if pieces is None:
@@ -84,6 +96,16 @@ class CachedTokenizer:
         return out
 
 
+_tokenizers: dict[str, CachedTokenizer] = {}
+
+
+def _tokenizer(path: str) -> CachedTokenizer:
+    """One for each Python worker, kept between its tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = CachedTokenizer(path)
+    return _tokenizers[path]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32 bytes), doc_tokens, sequence_id, offset.
 
@@ -95,7 +117,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     assert longest > 0 and longest & (longest - 1) == 0
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = CachedTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
             doc_ids, texts = batch["doc_id"].to_list(), [t or "" for t in batch["text"]]
             for part in chunks(texts, 400_000):
