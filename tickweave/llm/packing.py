@@ -22,7 +22,7 @@ from tickweave.llm.text import chunks
 MAX_LENGTH = 1024
 END_ID = 0
 #: Chunks that a worker keeps; beyond that it starts anew.
-MAX_CACHED = 800_000
+MAX_CACHED = 1_500_000
 _UNSAFE = re.compile(r"\s \s|  ")
 
 
