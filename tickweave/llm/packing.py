@@ -9,35 +9,57 @@ documents.  Map-only: no shuffle, no state between documents.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.text import chunks
-
 MAX_LENGTH = 1024
 END_ID = 0
 #: Chunks that a worker keeps; beyond that it starts anew.
 MAX_CACHED = 1_500_000
-_UNSAFE = re.compile(r"\s \s|  ")
+#: Bytes of text that are looked up together, and new chunks that are encoded in one call.
+BLOCK_BYTES, BLOCK_CHUNKS = 4_000_000, 500
+#: Set before a text's first chunk, which follows no blank.
+_HEAD = "\0"
+#: Pieces of a result batch.
+MAX_PIECES = 20_000
+
+
+def decompose(tokens: np.ndarray, longest: int = MAX_LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Piece lengths of documents of so many tokens, document by document, and the number of pieces of each.
+
+    As many ``longest`` as fit, then the powers of two of the rest, falling.
+    """
+    sizes = 1 << np.arange(longest.bit_length() - 1, -1, -1)
+    times = (tokens[:, None] & sizes > 0).astype(np.int64)
+    times[:, 0] = tokens // longest
+    return np.repeat(np.tile(sizes, len(tokens)), times.ravel()), times.sum(axis=1)
+
 
+class _Numbered(dict):
+    """Chunks by the order in which they were first asked for; new ones are listed until they are encoded."""
 
-def decompose(n: int, longest: int = MAX_LENGTH) -> list[int]:
-    """Piece lengths of n tokens: as many ``longest`` as fit, then the rest's powers of two, falling."""
-    return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if (n % longest) >> b & 1]
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
 
 
 class CachedTokenizer:
     """Ids of whole texts, with the ids of blank-separated chunks kept between texts.
 
-    The byte-level pre-tokenizer never joins characters across a single blank
-    that has a non-blank on at least one side, so a text's ids are those of its
-    chunks, each with its leading blank.  Texts with other white space around
-    a blank are encoded in one call.
+    The byte-level pre-tokenizer never joins characters across a blank that a
+    non-blank follows, so a text's ids are those of its chunks, each with its
+    leading blank.  Texts with a blank before white space or at their end, or
+    with the mark of a first chunk, are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -45,55 +67,80 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # byte-level: each character of a vocabulary entry stands for one byte, but for added tokens, which are plain text
+        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.n_bytes[i] = len(token)
+        for i, added in self.tokenizer.get_added_tokens_decoder().items():
+            self.n_bytes[i] = len(added.content.encode())
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.starts, self.used = np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, new: list[str]) -> None:
-        """Add chunks; arrays double when full, so each id is copied a bounded number of times."""
-        encoded = self._encode(new)
-        n, first = np.array([len(ids) for ids in encoded], np.int64), len(self.known)
-        while first + len(new) > len(self.lengths):
-            self.lengths, self.starts = (np.concatenate((x, np.zeros_like(x))) for x in (self.lengths, self.starts))
-        while self.used + n.sum() > len(self.flat):
+        self.known = _Numbered()
+        self.lengths, self.starts, self.whole = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _add(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Note ids of numbered chunks; arrays double when full, so each id is copied a bounded number of times."""
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.lengths[first : first + len(new)] = n
-        self.starts[first : first + len(new)] = self.used + np.cumsum(n) - n
-        self.flat[self.used : self.used + n.sum()] = np.fromiter((i for ids in encoded for i in ids), np.uint32, n.sum())
-        self.used += int(n.sum())
-        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        self.lengths[numbers] = lengths
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Encode the new chunks, many that follow a blank in one text, parted again by their bytes."""
+        new, self.known.new = self.known.new, []
+        first = len(self.known) - len(new)
+        while len(self.known) > len(self.lengths):
+            self.lengths, self.starts, self.whole = (np.concatenate((x, np.zeros_like(x))) for x in (self.lengths, self.starts, self.whole))
+        plain, apart = [], []
+        for i, c in enumerate(new, first):
+            if c[:1] == _HEAD or c[-1:].isspace():
+                apart.append(i)
+                self.whole[i] = c[0].isspace()
+            elif not c or c[0].isspace():
+                self.whole[i] = True
+            else:
+                plain.append(i)
+        groups = [plain[a : a + BLOCK_CHUNKS] for a in range(0, len(plain), BLOCK_CHUNKS)]
+        for numbers, ids in zip(groups, self._encode([" " + " ".join([new[i - first] for i in g]) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
+            ends = np.cumsum([1 + len(new[i - first].encode()) for i in numbers])
+            upto = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            self._add(np.array(numbers), np.diff(upto, prepend=0), ids)
+        for i, ids in zip(apart, self._encode([c[1:] if c[:1] == _HEAD else " " + c for c in (new[i - first] for i in apart)]), strict=True):
+            self._add(np.array([i]), np.array([len(ids)]), np.array(ids, np.uint32))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other and the number of each text's; null is empty."""
         if len(self.known) > MAX_CACHED:
             self._clear()
-        split = []
-        for t in texts:
-            if not t or _UNSAFE.search(t):
-                split.append(None)
-                continue
-            head, *rest = t.split(" ")
-            split.append([head, *[" " + c for c in rest]] if head else [" " + c for c in rest])
-        new = list({c for pieces in split if pieces for c in pieces if c not in self.known})
-        if new:
-            self._learn(new)
-        flat, lengths, starts = self.flat, self.lengths, self.starts
-        out = []
-        for t, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(np.array(self._encode([t])[0] if t else [], np.uint32))
-                continue
-            which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            n = lengths[which]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(starts[which], n)
-            out.append(flat[at])
-        return out
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(pc.binary_join_element_wise(_HEAD, texts, ""), " ")
+        chunks = split.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.known.__getitem__, chunks.dictionary.to_pylist()), np.int64, len(chunks.dictionary))
+        if self.known.new:
+            self._learn()
+        which = numbers[chunks.indices.to_numpy()]
+        begin = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))[:-1]
+        n = self.lengths[which]
+        ends = np.cumsum(n)
+        found = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[which] - ends + n, n)]
+        lengths = np.add.reduceat(n, begin)
+        whole = np.logical_or.reduceat(self.whole[which], begin) | pc.match_substring(texts, _HEAD).to_numpy(zero_copy_only=False)
+        if whole.any():
+            each, again = np.split(found, np.cumsum(lengths)[:-1]), np.flatnonzero(whole)
+            for i, ids in zip(again, self._encode(texts.take(pa.array(again)).to_pylist()), strict=True):
+                each[i], lengths[i] = np.array(ids, np.uint32), len(ids)
+            found = np.concatenate(each)
+        return found, lengths
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
@@ -116,21 +163,29 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     assert longest > 0 and longest & (longest - 1) == 0
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].to_list(), [t or "" for t in batch["text"]]
-            for part in chunks(texts, 400_000):
-                rows = []
-                for doc_id, ids in zip(doc_ids[part], tokenizer.ids(texts[part]), strict=True):
-                    data, start = np.append(ids, np.uint32(end_id)).astype("<u4"), 0
-                    for n in decompose(len(data), longest):
-                        rows.append((doc_id, start, n, data[start : start + n].tobytes(), len(data)))
-                        start += n
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
-                yield out.astype({"doc_id": "Int64"})
+            doc_ids, texts = batch.column(0), batch.column(1)
+            block = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // BLOCK_BYTES
+            bounds = [0, *(np.flatnonzero(np.diff(block)) + 1), len(texts)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                ids, counts = tokenizer.ids(texts.slice(a, b - a))
+                data = np.full(len(ids) + b - a, end_id, "<u4")
+                data[np.arange(len(ids)) + np.repeat(np.arange(b - a), counts)] = ids
+                lengths, n_pieces = decompose(counts + 1, longest)
+                ends = np.cumsum(lengths)
+                owner = np.repeat(np.arange(b - a), n_pieces)
+                start = ends - lengths - (np.cumsum(counts + 1) - counts - 1)[owner]
+                for c in range(0, len(lengths), MAX_PIECES):
+                    part = slice(c, c + MAX_PIECES)
+                    begin = int(ends[c] - lengths[c])
+                    offsets = np.concatenate(([0], (ends[part] - begin) * 4)).astype(np.int32)
+                    pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[begin : ends[part][-1]])])
+                    columns = [doc_ids.slice(a, b - a).take(pa.array(owner[part])), pa.array(start[part]), pa.array(lengths[part]), pieces, pa.array((counts + 1)[owner[part]])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = rows.mapInPandas(packed, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    pieces = rows.mapInArrow(packed, "doc_id long, start long, length long, ids binary, doc_tokens long")
     # one sequence for each piece: numbers are unique in the job, and a task that runs again gives the same ones
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
