@@ -22,7 +22,7 @@ END_ID = 0
 #: Chunks that a worker keeps; beyond that it starts anew.
 MAX_CACHED = 1_500_000
 #: Bytes of text that are looked up together, and new chunks that are encoded in one call.
-BLOCK_BYTES, BLOCK_CHUNKS = 4_000_000, 500
+BLOCK_BYTES, BLOCK_CHUNKS = 8_000_000, 500
 #: Set before a text's first chunk, which follows no blank.
 _HEAD = "\0"
 #: Pieces of a result batch.
@@ -125,7 +125,7 @@ class CachedTokenizer:
         texts = pc.fill_null(texts, "")
         split = pc.split_pattern(pc.binary_join_element_wise(_HEAD, texts, ""), " ")
         chunks = split.flatten().dictionary_encode()
-        numbers = np.fromiter(map(self.known.__getitem__, chunks.dictionary.to_pylist()), np.int64, len(chunks.dictionary))
+        numbers = np.fromiter(map(self.known.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(chunks.dictionary))
         if self.known.new:
             self._learn()
         which = numbers[chunks.indices.to_numpy()]
