@@ -82,6 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         tokens.alias("n_tokens"),
         *([topic_expr.cast("string").alias("_topic")] if topic_expr is not None else []),
     )
+    rows = cut(rows)  # the texts are read once; what stays is small
     rows = rows.withColumn("topic", F.coalesce(F.col("_topic"), F.lit("(none)")) if topic_expr is not None else topic(F.col("n_tokens"))).drop("_topic")
     cells = cut(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     for m in MARGINS:
