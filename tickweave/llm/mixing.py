@@ -16,6 +16,8 @@ MARGINS = ("source", "lang", "topic")
 #: Target share of a margin's value: proportional to its tokens to this power.
 SMOOTHING = 0.7
 ROUNDS = 12
+#: Turns after which the cell table is written, so that plans stay small in the driver.
+ROUNDS_PER_JOB = 3
 SEED = "mix-1"
 
 
@@ -57,7 +59,9 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     distinct value combinations, not of documents.
     """
     out = cells.withColumn("raked", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k and k % ROUNDS_PER_JOB == 0:
+            out = cut(out)
         for m in MARGINS:
             out = out.withColumn("raked", F.col("raked") * F.col(f"goal_{m}") / F.sum("raked").over(Window.partitionBy(m)))
     return out
