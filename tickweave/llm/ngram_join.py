@@ -159,7 +159,7 @@ def compare_block(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray,
 def _verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, threshold: float, size: int) -> DataFrame:
     """key, links (documents with another text that are similar), root (a key it is linked to) for all texts of all blocks."""
     sized = groups.join(texts.select(F.col("key").alias("node"), "rep", "copies", "n_shingles"), "node")
-    totals = sized.groupBy("root").agg(F.sum("n_shingles").alias("all_"))
+    totals = cut(sized.groupBy("root").agg(F.sum("n_shingles").alias("all_")))
     sized = sized.join(totals, "root").select("node", "root", "rep", "copies", F.ceil(F.col("all_") / BLOCK_SHINGLES).cast("int").alias("blocks"))
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = texts.select("key", "rep", "copies").join(links, "key", "left").join(classes.select(F.col("node").alias("key"), "root"), "key", "left")
     known = cut(known.select("key", "rep", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
+    # written, so that the join reads plain shuffles: Spark can then split a class that holds many texts
+    least = cut(known.groupBy("root").agg(F.min("rep").alias("class_id")))
     known = known.join(least, "root").select("key", "class_id", "n_links")
     return signed.select("doc_id", "key").join(known, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
