@@ -711,6 +711,13 @@ def o3_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return extras.tick_intervals(ticks_from_events(spark, sf), 600)
 
 
+@query("""WITH f AS (SELECT symbol, trading_day, last_price - lag(last_price) OVER d AS jump, volume - lag(volume) OVER d AS v, ask_price1 - bid_price1 AS s, datetime_ns, row_hash FROM t WINDOW d AS (PARTITION BY symbol, trading_day ORDER BY datetime_ns, row_hash)),
+g AS (SELECT *, stddev_samp(jump) OVER r AS sd, quantile_cont(v, 0.5) OVER r AS med, quantile_cont(s, 0.95) OVER (PARTITION BY symbol, trading_day) AS p95 FROM f WINDOW r AS (PARTITION BY symbol, trading_day ORDER BY datetime_ns, row_hash ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT symbol, trading_day, count(*) FILTER (sd > 0 AND abs(jump) > 5 * sd) AS price_jumps, count(*) FILTER (med > 0 AND v > 10 * med) AS volume_spikes, count(*) FILTER (p95 > 0 AND s > 3 * p95) AS wide_spreads FROM g GROUP BY ALL""")
+def o1_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return extras.outliers(ticks_from_events(spark, sf))
+
+
 @query("WITH n AS (SELECT symbol, datetime_ns, row_hash, (row_hash % 10 < 4) AS bad, row_number() OVER w - row_number() OVER v AS g FROM t WINDOW w AS (PARTITION BY symbol ORDER BY datetime_ns, row_hash), v AS (PARTITION BY symbol, row_hash % 10 < 4 ORDER BY datetime_ns, row_hash)) SELECT symbol, count(*) AS n, min(datetime_ns) AS first_ns, max(datetime_ns) AS last_ns FROM n WHERE bad GROUP BY symbol, g HAVING count(*) >= 3")
 def o2_runs(spark: SparkSession, sf: str) -> DataFrame:
     return extras.runs(ticks_from_events(spark, sf), F.col("row_hash") % 10 < 4, 3)
