@@ -180,3 +180,42 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in out) and len(out) == len(rows)
     assert {r["predicted"] for r in out if r["doc_id"] >= 5000} == {0}
     assert toxicity.train(docs, marks.limit(0)) is None and toxicity.score(docs.limit(0), None).count() == 0
+
+
+def test_near_duplicates_among_texts_of_one_pool(spark):
+    rng = np.random.default_rng(11)
+    n, planted = 8000, 400
+    member = np.zeros((n + planted, 60), np.float32)
+    for i in range(n):
+        member[i, rng.choice(60, 36, replace=False)] = 1
+    for i in range(planted):  # near copies of some: three of 36 words are others
+        member[n + i] = member[i]
+        member[n + i, rng.choice(np.flatnonzero(member[i] == 1), 3, replace=False)] = 0
+        member[n + i, rng.choice(np.flatnonzero(member[i] == 0), 3, replace=False)] = 1
+    texts = [" ".join(WORDS[w] for w in np.flatnonzero(m)) for m in member]
+    common = member[n:] @ member.T
+    near = common >= 0.8 * (72 - common) - 1e-4
+    near[np.arange(planted), np.arange(n, n + planted)] = False
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(_docs(spark, [_doc(i, t) for i, t in enumerate(texts)]), size=1).collect()}
+    lost = [i for i in range(planted) if got[n + i] < near[i].sum()]
+    assert near.any(1).all() and len(lost) <= 2, f"{len(lost)} of {planted} lost"
+
+
+def test_bucket_links_connect_all_likely_pairs():
+    rng = np.random.default_rng(12)
+    labels = rng.integers(0, 256, (60, 192), dtype=np.uint8)
+    for i in range(40):  # chains and stars of texts that share 80 percent of the bytes
+        labels[20 + i] = labels[rng.integers(0, 20 + i)]
+        labels[20 + i, rng.choice(192, 38, replace=False)] = rng.integers(0, 256, 38)
+    for sides in (np.zeros(60, int), rng.integers(0, 2, 60)):
+        likely = [(i, j) for i in range(60) for j in range(60) if i != j and (labels[i] == labels[j]).mean() >= 0.656 and (not sides.any() or sides[i] != sides[j])]
+        tails, heads = ngram_join.likely_forest(labels, sides, 0.656)
+        assert set(zip(tails.tolist(), heads.tolist())) <= set(likely) and len(set(heads.tolist())) == len(heads)
+        roots = []
+        for links in (likely, list(zip(tails, heads))):
+            root = list(range(60))
+            for _ in range(60):
+                for a, b in links:
+                    root[a] = root[b] = min(root[a], root[b])
+            roots.append(root)
+        assert roots[0] == roots[1]

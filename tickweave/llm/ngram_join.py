@@ -2,12 +2,13 @@
 
 Texts with the same words form one class of copies and are joined once.  Each
 distinct text gets a label per tree: eight 8-bit min-hashes, a path in a
-prefix trie.  Starting from whole labels, prefixes shorten level by level; at
-each level texts that share a prefix link to one leader, and leaders alone go
-on to the next shorter prefix.  Shortening stops at the first depth where
-1 - (1 - t^depth)^trees reaches the target recall at the threshold t.
+prefix trie.  Prefixes are shortened to the first depth where
+1 - (1 - t^depth)^trees reaches the target recall at the threshold t.  All
+texts that share such a prefix meet: the pairs of small buckets are listed,
+larger buckets are compared in blocks, which emit only links that connect
+whatever likely pairs connect.
 
-Links whose labels agree too little for the threshold are dropped; what is
+A pair is likely if its labels agree enough for the threshold.  What is
 connected then is compared exactly, all texts against all in blocks of
 bounded size, without emitting pairs.
 """
@@ -29,6 +30,8 @@ from tickweave.llm.text import chunks, shingle_hashes, word_hashes
 TREES, LEVELS = 24, 8
 RECALL = 0.999
 BLOCK_SHINGLES = 1_000_000
+#: Buckets up to SMALL_BUCKET texts emit their pairs; larger ones are compared in blocks of about BUCKET_TEXTS.
+SMALL_BUCKET, BUCKET_TEXTS = 8, 4_000
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**31, TREES * LEVELS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADDENDS = np.random.default_rng(6).integers(0, 2**32, TREES * LEVELS, dtype=np.uint32)
 
@@ -77,29 +80,90 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(signed, "doc_id long, key long, n_shingles long, labels array<long>")
 
 
-def _candidates(texts: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Distinct pairs (a, b) of keys: each text and its leaders in the tries."""
-    depth = depth_for(threshold, recall)
-    # a leader is the least key in an order of the tree's own, so that no text leads in all trees
-    rows = texts.select("key", F.posexplode("labels").alias("tree", "label")).select("tree", "label", F.xxhash64("tree", F.lit(11)).bitwiseXOR(F.col("key")).alias("node"))
-    pairs = None
-    for d in dict.fromkeys((LEVELS, (LEVELS + depth) // 2, depth)):
-        rows = rows.withColumn("label", F.shiftright("label", 8 * (LEVELS - d)) if d < LEVELS else F.col("label"))
-        # labels keep their full length for the next level: mask instead of shifting them away
-        rows = rows.withColumn("label", F.shiftleft("label", 8 * (LEVELS - d)) if d < LEVELS else F.col("label"))
-        leaders = cut(rows.groupBy("tree", "label").agg(F.min("node").alias("leader"), F.count("*").alias("n")))
-        met = rows.join(leaders.filter("n > 1"), ["tree", "label"]).filter("node <> leader").select("tree", "node", "leader")
-        pairs = met if pairs is None else pairs.unionByName(met)
-        rows = leaders.select("tree", "label", F.col("leader").alias("node"))
-    back = F.xxhash64("tree", F.lit(11))
-    pairs = pairs.select(back.bitwiseXOR(F.col("node")).alias("x"), back.bitwiseXOR(F.col("leader")).alias("y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _buckets(texts: DataFrame, depth: int) -> DataFrame:
+    """tree, label (the prefix of that depth), key, n of all texts that share their prefix with another one."""
+    shift = 8 * (LEVELS - depth)
+    rows = texts.select("key", F.posexplode("labels").alias("tree", "label")).select("tree", F.shiftright("label", shift).alias("label"), "key")
+    met = rows.groupBy("tree", "label").agg(F.count("*").alias("n")).filter("n > 1")
+    return cut(rows.join(met, ["tree", "label"]))
+
+
+def _small_pairs(buckets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of keys: all texts against all of buckets of at most SMALL_BUCKET texts."""
+    listed = buckets.filter(F.col("n") <= SMALL_BUCKET).groupBy("tree", "label").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    pairs = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(x AS a, y AS b))))")
+    return listed.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def least_agreement(threshold: float) -> float:
+    """Five deviations below the threshold: the least share of 192 min-hash bytes of a likely pair."""
+    return threshold - 5 * (threshold * (1 - threshold) / (TREES * LEVELS)) ** 0.5
+
+
+def likely_forest(labels: np.ndarray, sides: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (from, to) that connect whatever likely pairs connect: a spanning forest of all texts against all.
+
+    labels: bytes (n, 192); sides: 0 or 1; only pairs of different sides count
+    if both occur.  Every text meets all that no link has reached yet, so a
+    group of near copies takes about one pass.
+    """
+    n, two = len(labels), sides.any() and not sides.all()
+    need = int(np.ceil(least * labels.shape[1] - 1e-9))
+    columns = np.ascontiguousarray(labels.T)
+    open_ = np.ones(n, bool)
+    tails, heads = [], []
+    for start in range(n):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        reached = np.array([start])
+        while len(reached):
+            following = []
+            for side in (0, 1) if two else (None,):
+                mine = reached if side is None else reached[sides[reached] == side]
+                at = 0
+                while at < len(mine):
+                    rest = np.flatnonzero(open_ if side is None else open_ & (sides != side))
+                    if not len(rest):
+                        break
+                    some = mine[at : at + max(1, 4_000_000 // len(rest))] if at else mine[:1]
+                    at += len(some)
+                    agree = np.zeros((len(some), len(rest)), np.uint8)
+                    for column in columns:
+                        agree += column[some][:, None] == column[rest][None, :]
+                    likely = agree >= need
+                    hit = likely.any(0)
+                    tails.append(some[likely[:, hit].argmax(0)])
+                    heads.append(rest[hit])
+                    open_[rest[hit]] = False
+                    following.append(rest[hit])
+            reached = np.concatenate(following) if following else np.empty(0, int)
+    return (np.concatenate(tails), np.concatenate(heads)) if tails else (np.empty(0, int), np.empty(0, int))
+
+
+def _large_links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of larger buckets, in blocks of bounded size: without emitting pairs."""
+    least = least_agreement(threshold)
+    blocks = F.ceil(F.col("n") / BUCKET_TEXTS).cast("int").alias("blocks")
+    rows = buckets.filter(F.col("n") > SMALL_BUCKET).select("tree", "label", "key", blocks).join(texts.select("key", "labels"), "key")
+    own = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
+    rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", ((F.col("own") == F.col("j")) & (F.col("own") != F.col("other"))).cast("int"))
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, sides = pdf["key"].to_numpy(), pdf["side"].to_numpy()
+        tails, heads = keys[:0], keys[:0]
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0] or (sides.any() and not sides.all()):
+            a, b = likely_forest(np.stack(pdf["labels"].to_list()).view(np.uint8), sides, least)
+            tails, heads = keys[a], keys[b]
+        return pd.DataFrame({"a": np.minimum(tails, heads), "b": np.maximum(tails, heads)})
+
+    return rows.groupBy("tree", "label", "i", "j").applyInPandas(linked, "a long, b long").distinct()
 
 
 def _likely(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose 192 min-hash bytes agree within five deviations of the threshold."""
-    n = TREES * LEVELS
-    least = threshold - 5 * (threshold * (1 - threshold) / n) ** 0.5
+    least = least_agreement(threshold)
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(_signatures(base, size))
     texts = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.min("labels").alias("labels"))
     texts = cut(texts)
-    likely = _likely(_candidates(texts.filter("rep is not null"), threshold, recall), texts, threshold)
+    buckets = _buckets(texts.filter("rep is not null"), depth_for(threshold, recall))
+    likely = _likely(_small_pairs(buckets), texts, threshold).unionByName(_large_links(buckets, texts, threshold))
     groups = components(likely)
     found = cut(_verified(base, texts, groups, threshold, size))
     classes = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
