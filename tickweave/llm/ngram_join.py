@@ -29,7 +29,7 @@ from tickweave.llm.text import chunks, shingle_hashes, word_hashes
 
 TREES, LEVELS = 24, 8
 RECALL = 0.999
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 2_000
 #: Buckets up to SMALL_BUCKET texts emit their pairs; larger ones are compared in blocks of about BUCKET_TEXTS.
 SMALL_BUCKET, BUCKET_TEXTS = 8, 4_000
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**31, TREES * LEVELS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -223,8 +223,10 @@ def compare_block(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray,
 def _verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, threshold: float, size: int) -> DataFrame:
     """key, links (documents with another text that are similar), root (a key it is linked to) for all texts of all blocks."""
     sized = groups.join(texts.select(F.col("key").alias("node"), "rep", "copies", "n_shingles"), "node")
-    totals = cut(sized.groupBy("root").agg(F.sum("n_shingles").alias("all_")))
-    sized = sized.join(totals, "root").select("node", "root", "rep", "copies", F.ceil(F.col("all_") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    totals = cut(sized.groupBy("root").agg(F.sum("n_shingles").alias("all_"), F.count("*").alias("n")))
+    # a block's arrays grow with its shingles and with the square of its texts
+    blocks = F.greatest(F.ceil(F.col("all_") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int")
+    sized = sized.join(totals, "root").select("node", "root", "rep", "copies", blocks.alias("blocks"))
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
