@@ -231,3 +231,18 @@ def test_bucket_links_connect_all_likely_pairs():
                     root[a] = root[b] = min(root[a], root[b])
             roots.append(root)
         assert roots[0] == roots[1]
+
+
+def test_toxicity_counts_unlike_training_documents(spark):
+    rng = np.random.default_rng(6)
+    texts = [f"{a} {b} common phrase" for a, b in rng.choice(WORDS, (300, 2))]
+    rows = [(i, t, int(i % 3 == 0), 1) for i, t in enumerate(texts)]
+    near = " ".join(WORDS[:60])
+    rows += [(1000 + c * 10 + i, f"{near} x{i}", c, 1) for c in (0, 1) for i in range(4)] + [(2000, texts[1], 0, 1), (2001, texts[1], 1, 1), (2002, texts[2], 0, 0)]
+    got = {r["doc_id"] for r in toxicity._tables(spark.createDataFrame(rows, "doc_id long, text string, toxic int, part int")).collect()}
+    pairs = [set(zip(["", *t.split()], t.split())) for t in texts]
+    kept = []
+    for i in range(300):
+        if not any(j % 3 == 0 == i % 3 or (j % 3 and i % 3) for j in kept if len(pairs[i] & pairs[j]) >= 0.8 * len(pairs[i] | pairs[j])):
+            kept.append(i)
+    assert got == {*kept, 1000, 1010, 2001}

@@ -27,6 +27,8 @@ from tickweave.llm.text import chunks, mix, word_hashes
 #: Labelled documents of each class that are drawn for training and calibration, by a hash of their id.
 MAX_LABELLED = 12_000
 MAX_DISCOUNT = 6.0
+#: Least Jaccard similarity of the distinct bigrams of near copies, which count once in their class.
+COPY = 0.8
 MARGIN, CEILING, LENGTH_POWER = 1.0, 2.0, 0.5
 _START = np.uint64(0x51ED270B35A1F0C3)
 
@@ -97,7 +99,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def _tables(sample: DataFrame) -> DataFrame:
-    """Distinct bigrams of each training document of which no earlier one shares the content key."""
+    """doc_id, toxic, distinct bigrams of each training document that is no near copy of an earlier one of its class."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,15 +113,39 @@ def _tables(sample: DataFrame) -> DataFrame:
                 for i, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
                     if b > a:
                         k, first = np.unique(keys[a:b], return_index=True)
-                        # the least of one more hash: near copies mostly share it, and count once
+                        # the least of one more hash: near copies mostly share it, and are verified below
                         content = int(mix(k ^ np.uint64(0x9E3779B9)).min().astype(np.int64))
-                        rows.append((batch["doc_id"].iloc[part.start + i], content, previous[a:b][first].view(np.int64), words[a:b][first].view(np.int64)))
+                        rows.append((batch["doc_id"].iloc[part.start + i], batch["toxic"].iloc[part.start + i], content, previous[a:b][first].view(np.int64), words[a:b][first].view(np.int64)))
                 if rows:  # a frame without rows has no types for Arrow
-                    yield pd.DataFrame(rows, columns=["doc_id", "content", "previous", "words"])
+                    yield pd.DataFrame(rows, columns=["doc_id", "toxic", "content", "previous", "words"])
 
-    lists = cut(sample.filter("part = 1").select("doc_id", "text").mapInPandas(listed, "doc_id long, content long, previous array<long>, words array<long>"))
-    first = lists.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    return lists.join(first, ["content", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    form = "doc_id long, toxic int, content long, previous array<long>, words array<long>"
+    lists = cut(sample.filter("part = 1").select("doc_id", "toxic", "text").mapInPandas(listed, form).dropDuplicates(["doc_id"]))
+
+    def differing(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        return pdf[first_of_copies([bigram_key(h.view(np.uint64), w.view(np.uint64)) for h, w in zip(pdf["previous"], pdf["words"], strict=True)])]
+
+    shared = lists.groupBy("toxic", "content").count().filter("count > 1").select("toxic", "content")
+    alone = lists.join(shared, ["toxic", "content"], "left_anti").select(*lists.columns)
+    met = lists.join(shared, ["toxic", "content"], "left_semi").select(*lists.columns)
+    return alone.unionByName(met.groupBy("toxic", "content").applyInPandas(differing, form)).drop("content")
+
+
+def first_of_copies(sets: list[np.ndarray]) -> np.ndarray:
+    """True for sets of distinct keys whose Jaccard similarity to every earlier true one is below COPY."""
+    columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    places = np.split(columns, np.cumsum([len(s) for s in sets])[:-1])
+    holders: dict[int, list[int]] = {}
+    kept = np.zeros(len(sets), bool)
+    sizes = np.array([len(s) for s in sets])
+    for i, place in enumerate(places):
+        met = np.bincount(np.concatenate([np.array(holders.get(c, ()), int) for c in place.tolist()]), minlength=len(sets))
+        kept[i] = not (met >= COPY * (sizes + sizes[i] - met) - 1e-9).any()
+        if kept[i]:
+            for c in place.tolist():
+                holders.setdefault(c, []).append(i)
+    return kept
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model | None:
@@ -131,8 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bounded by the sample's.
     """
     sample = cut(_sample(docs, labels, id_col, text_col, label_id_col, toxic_col, max_labelled))
-    classes = sample.select("doc_id", "toxic").distinct()
-    rows = _tables(sample).join(F.broadcast(classes), "doc_id")
+    rows = cut(_tables(sample))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
