@@ -122,3 +122,12 @@ def test_no_label_beyond_the_next_day(spark):
     df = spark.createDataFrame(rows, "symbol string, segment_id long, trading_day date, datetime_ns long, row_hash long, bid_price1 double, ask_price1 double")
     got = {r["row_hash"]: r["label_3"] for r in features.compute_labels(df, (3,)).collect()}
     assert got == {20: 2, 21: None, 30: 2, 31: None, 40: None, 41: None} or got[20] == 2 and got[21] is None
+
+
+def test_walk_forward_reaches_the_end_of_every_symbol(spark, sf):
+    from tickweave.plans.queries import QUERIES
+    from tickweave.sources.ticks import ticks_from_events
+
+    sizes = {r["symbol"]: r["count"] for r in ticks_from_events(spark, sf).groupBy("symbol").count().collect()}
+    last = {r["symbol"]: r["n"] for r in QUERIES["k2_k3_walk_forward_by_symbol"](spark, sf).filter("split_id = 4").groupBy("symbol").agg({"n": "sum"}).toDF("symbol", "n").collect()}
+    assert {s: n // 7 * 7 for s, n in sizes.items() if int(n // 7 * 7 * 0.7) >= 100} == last and last

@@ -45,6 +45,16 @@ def apply_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(splits), (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))).drop("start", "stop")
 
 
+def walk_forward_by_symbol(rows: DataFrame, n_splits: int = 5, train: float = 0.7, val: float = 0.15, min_train: int = 100) -> DataFrame:
+    """rows with pos, a row for each split and role it falls in; bounds follow from the symbol's own row count."""
+    sizes = rows.groupBy("symbol").agg(F.floor(F.count("*") / (n_splits + 2)).alias("_step"))
+    ends = sizes.select("symbol", F.posexplode(F.transform(F.sequence(F.lit(3), F.lit(n_splits + 2)), lambda k: k * F.col("_step"))).alias("split_id", "_end"))
+    bounds = ends.select("symbol", "split_id", "_end", F.floor(F.col("_end") * train).alias("_a"), F.floor(F.col("_end") * val).alias("_v"))
+    bounds = bounds.filter((F.col("_a") >= min_train) & (F.col("_end") > F.col("_a") + F.col("_v")))
+    role = F.when(F.col("pos") < F.col("_a"), "train").when(F.col("pos") < F.col("_a") + F.col("_v"), "val").otherwise("test")
+    return rows.join(bounds, "symbol").filter(F.col("pos") < F.col("_end")).withColumn("role", role).drop("_end", "_a", "_v")
+
+
 def sequences(rows: DataFrame, columns: list[str], length: int, label: str) -> DataFrame:
     """The ``length`` rows before each labelled row, all of one segment, missing as 0."""
     by = Window.partitionBy("symbol").orderBy("datetime_ns", "row_hash")

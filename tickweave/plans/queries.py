@@ -549,6 +549,13 @@ def k2_k3_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.apply_splits(rows, evaluation.walk_forward(spark, 500)).groupBy("symbol", "split_id", "role").agg(F.count("*").alias("n"))
 
 
+@query("""WITH p AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY datetime_ns, row_hash) - 1 AS pos, count(*) OVER (PARTITION BY symbol) // 7 AS step FROM t), s AS (SELECT symbol, pos, i, (i + 3) * step AS e FROM p, range(5) r(i)), x AS (SELECT symbol, pos, i, e, floor(e * 0.7::DOUBLE)::BIGINT AS a, floor(e * 0.15::DOUBLE)::BIGINT AS v FROM s)
+SELECT symbol, i::INT AS split_id, CASE WHEN pos < a THEN 'train' WHEN pos < a + v THEN 'val' ELSE 'test' END AS role, count(*) AS n FROM x WHERE pos < e AND a >= 100 AND e > a + v GROUP BY ALL""")
+def k2_k3_walk_forward_by_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluation.with_position(ticks_from_events(spark, sf))
+    return evaluation.walk_forward_by_symbol(rows).groupBy("symbol", "split_id", "role").agg(F.count("*").alias("n"))
+
+
 @query("""WITH n AS (SELECT *, row_number() OVER w AS n, min(segment_id) OVER f AS lo, max(segment_id) OVER f AS hi, sum(coalesce(bid_price1, 0)) OVER p AS s FROM t WINDOW w AS (PARTITION BY symbol ORDER BY datetime_ns, row_hash), f AS (PARTITION BY symbol ORDER BY datetime_ns, row_hash ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), p AS (PARTITION BY symbol ORDER BY datetime_ns, row_hash ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
 SELECT symbol, row_hash, 10 AS n, s FROM n WHERE n > 10 AND lo = hi""")
 def k4_sequences(spark: SparkSession, sf: str) -> DataFrame:
