@@ -30,9 +30,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Found secrets are replaced in the texts; all documents stay, n_chars follows the new text."""
     kinds = [r.kind for r in secrets.BASE_RULES]
     findings, _ = secrets.scan_versions(docs, "doc_id", "text")
-    marked = findings.filter(F.greatest(*[F.size(k) for k in kinds]) > 0).select(F.col("path").alias("doc_id"), "blob", *kinds).dropDuplicates(["doc_id", "blob"])
+    # spans belong to the text, so its digest alone finds them, also for rows without an id
+    marked = findings.filter(F.greatest(*[F.size(k) for k in kinds]) > 0).select("blob", *kinds).dropDuplicates(["blob"])
     rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    joined = rows.join(marked.withColumnRenamed("blob", "_blob"), ["doc_id", "_blob"], "left")
+    joined = rows.join(marked.withColumnRenamed("blob", "_blob"), "_blob", "left")
     text = F.when(F.col(kinds[0]).isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), kinds))
     n_chars = F.when(F.col(kinds[0]).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long")
     return joined.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)

@@ -106,3 +106,10 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= len(rows)
     redacted = corpus_pipeline.redact_secrets(spark, spark.createDataFrame(odd, schema), sf).filter("doc_id = 4").collect()
     assert [(r["text"], r["n_chars"]) for r in redacted] == [("key [secret]", 12)] * 2
+
+
+def test_redaction_reaches_rows_without_id(spark, sf):
+    rows = [(i, "key token = abcdefgh12", "b", "de", 22, 1.0) for i in (None, None, 1)] + [(None, "plain", "b", "de", 5, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, score double")
+    got = sorted((r["text"], r["n_chars"]) for r in corpus_pipeline.redact_secrets(spark, docs, sf).collect())
+    assert got == [("key [secret]", 12)] * 3 + [("plain", 5)]
