@@ -1,14 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 10).
 
-Two bigram models, one of toxic and one of ordinary labelled documents, use
-absolute discounting.  Bigrams back off to the class's words, those to one
-distribution shared by both classes: in how many distinct contexts a word was
-seen at all.  Counts are documents, not occurrences.  Counts up to the
-discount are discounted whole, so a rare expression has the same probability
-in both models and says nothing.
-
-A document's evidence is the sum over its words of the log-likelihood ratio
-beyond a margin, divided by the square root of its length.
+Two interpolated bigram models, one of toxic and one of ordinary labelled
+documents, use absolute discounting: P(w|h) keeps what a count holds beyond
+its discount and gives the rest to the class's word distribution, which in
+turn backs off to one distribution that both classes share: in how many
+distinct contexts a word occurs in the whole corpus.  Counts are documents,
+not occurrences.  The discount of an expression is what both classes together
+let expect of it, plus some deviations of that, and at least MIN_DISCOUNT; so
+rare and evenly spread expressions have the shared backoff probability.
+
+A document's two log-likelihoods are divided by its number of words; a
+logistic curve fitted on labelled documents apart from the training ones turns
+their difference into a probability.
 """
 
 from __future__ import annotations
@@ -18,19 +21,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import cut
 from tickweave.llm.text import chunks, mix, word_hashes
 
-#: Labelled documents of each class that are drawn for training and calibration, by a hash of their id.
-MAX_LABELLED = 12_000
-MAX_DISCOUNT = 6.0
+#: Labelled documents of each class that are drawn for training and calibration, by a hash of their id, and their characters.
+MAX_LABELLED, MAX_CHARS = 12_000, 100_000_000
+MIN_DISCOUNT = 4.0
+#: Deviations in the discount; calibration picks one.
+DEVIATIONS = (4.0, 6.0, 8.0)
 #: Least Jaccard similarity of the distinct bigrams of near copies, which count once in their class.
 COPY = 0.8
-MARGIN, CEILING, LENGTH_POWER = 1.0, 2.0, 0.5
+#: Bitmaps of a word's context sketch: 16 tell the number of distinct contexts to about 20 percent.
+BITMAPS = 16
 _START = np.uint64(0x51ED270B35A1F0C3)
+_OTHER = np.uint64(0)  # stands for every word outside the vocabulary
 
 
 def fold(id_col: str) -> Column:
@@ -51,43 +58,59 @@ def bigram_key(previous: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(previous * np.uint64(0xD6E8FEB86659FD93) + words)
 
 
-@dataclass
-class Model:
-    """Log-likelihood ratios toxic to ordinary, sorted by key; what is in no table has ratio 0 (or ``rest``)."""
-
-    bigrams: np.ndarray
-    bigram_ratio: np.ndarray
-    contexts: np.ndarray
-    context_ratio: np.ndarray
-    words: np.ndarray
-    word_ratio: np.ndarray
-    rest: float = 0.0
-    centre: float = 1.0
-    scale: float = 1.0
-
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        previous, words, owner = expressions(texts)
-        ratio = _found(self.contexts, self.context_ratio, previous, 0.0) + _found(self.words, self.word_ratio, words, self.rest)
-        ratio = _found(self.bigrams, self.bigram_ratio, bigram_key(previous, words), ratio)
-        strong = np.clip(ratio - MARGIN, 0, CEILING)
-        counts = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts))
-        total = np.bincount(owner, weights=strong, minlength=len(texts)) if len(owner) else np.zeros(len(texts))
-        return total / np.maximum(counts, 1) ** LENGTH_POWER
-
-    def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip((evidence - self.centre) / self.scale, -30, 30)))
+def distinct_in_texts(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Positions of one of each key in each text."""
+    return np.unique(mix(keys + owner.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), return_index=True)[1]
 
 
-def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, default: np.ndarray | float) -> np.ndarray:
+def places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Position of each asked key in the sorted keys, len(keys) where absent."""
     if not len(keys) or not len(asked):
-        return np.broadcast_to(default, asked.shape).astype(np.float64)
+        return np.full(len(asked), len(keys))
     distinct, back = np.unique(asked, return_inverse=True)
     at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-    hit, value = keys[at] == distinct, values[at]
-    return np.where(hit[back], value[back], default)
+    return np.where(keys[at] == distinct, at, len(keys))[back]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, toxic_col: str, max_labelled: int) -> DataFrame:
+@dataclass
+class Model:
+    """Log-probabilities (ordinary, toxic): of words (last row: any other word), of leaving a context's own counts, and of bigrams."""
+
+    words: np.ndarray
+    word_log: np.ndarray
+    contexts: np.ndarray
+    context_log: np.ndarray
+    bigrams: np.ndarray
+    bigram_log: np.ndarray
+    weights: tuple[float, ...] = (-30.0, 0.0, 0.0, 0.0)
+
+    def log_likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ordinary and toxic log-likelihood per word of each text, number of words); zeros without words."""
+        previous, words, owner = expressions(texts)
+        counts = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
+        if not len(words):
+            return np.zeros((len(texts), 2)), counts
+        word_at, context_at = places(self.words, words), places(self.contexts, previous)
+        each = self.word_log[word_at] + np.concatenate((self.context_log, np.zeros((1, 2))))[context_at]
+        own = np.flatnonzero((word_at < len(self.words)) & (context_at < len(self.contexts)))
+        at = places(self.bigrams, bigram_key(previous[own], words[own]))
+        hit = at < len(self.bigrams)
+        each[own[hit]] = self.bigram_log[at[hit]]
+        total = np.stack([np.bincount(owner, weights=each[:, c], minlength=len(texts)) for c in (0, 1)], 1)
+        return total / np.maximum(counts, 1)[:, None], counts
+
+    def probability(self, per_word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_features(per_word, counts) @ np.array(self.weights), -30, 30)))
+
+
+def _features(per_word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What calibration sees: the difference of the length-normalised log-likelihoods, also by length."""
+    n = np.maximum(counts, 1)
+    difference = per_word[:, 1] - per_word[:, 0]
+    return np.stack([np.ones(len(n)), difference, difference * np.sqrt(n), np.log(n)], 1)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, toxic_col: str, max_labelled: int, max_chars: int) -> DataFrame:
     """doc_id, text, toxic, part (0 calibration, 1 training): a bounded sample outside the held-out fold."""
     flags = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null")
     flags = flags.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold("doc_id") != 0)
@@ -95,140 +118,284 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     drawn = [flags.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(max_labelled) for c in (0, 1)]
     chosen = drawn[0].unionByName(drawn[1])  # at most 2 * max_labelled ids: a bounded broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").withColumn("part", (fold("doc_id") != 1).cast("int"))
+    rows = rows.join(F.broadcast(chosen), "doc_id").withColumn("part", (fold("doc_id") != 1).cast("int"))
+    rows = cut(rows)
+    # the same draw, bounded in characters too: whole documents while their running length stays below the bound
+    lengths = rows.groupBy("toxic", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    running = F.sum("n").over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
+    within = lengths.withColumn("_upto", running).filter(F.col("_upto") <= max_chars).select("doc_id")
+    return rows.join(F.broadcast(within), "doc_id")
 
 
-def _tables(sample: DataFrame) -> DataFrame:
-    """doc_id, toxic, distinct bigrams of each training document that is no near copy of an earlier one of its class."""
+def _digests(sample: DataFrame) -> DataFrame:
+    """doc_id, toxic, content (mostly shared by near copies), whole (of all its distinct bigrams) of each training text with words."""
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].to_list()
             for part in chunks(texts):
-                n = part.stop - part.start
                 previous, words, owner = expressions(texts[part])
+                if not len(words):
+                    continue
                 keys = bigram_key(previous, words)
-                ends = np.cumsum(np.bincount(owner, minlength=n) if len(owner) else np.zeros(n, np.int64))
-                rows = []
-                for i, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
-                    if b > a:
-                        k, first = np.unique(keys[a:b], return_index=True)
-                        # the least of one more hash: near copies mostly share it, and are verified below
-                        content = int(mix(k ^ np.uint64(0x9E3779B9)).min().astype(np.int64))
-                        rows.append((batch["doc_id"].iloc[part.start + i], batch["toxic"].iloc[part.start + i], content, previous[a:b][first].view(np.int64), words[a:b][first].view(np.int64)))
-                if rows:  # a frame without rows has no types for Arrow
-                    yield pd.DataFrame(rows, columns=["doc_id", "toxic", "content", "previous", "words"])
-
-    form = "doc_id long, toxic int, content long, previous array<long>, words array<long>"
-    lists = cut(sample.filter("part = 1").select("doc_id", "toxic", "text").mapInPandas(listed, form).dropDuplicates(["doc_id"]))
+                first = distinct_in_texts(keys, owner)
+                first = first[np.argsort(owner[first], kind="stable")]
+                keys, owner = keys[first], owner[first]
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                own = batch.iloc[part].iloc[owner[starts]]
+                content = np.minimum.reduceat(mix(keys ^ np.uint64(0x9E3779B9)), starts)
+                yield pd.DataFrame({"doc_id": own["doc_id"], "toxic": own["toxic"], "content": content.view(np.int64), "whole": np.add.reduceat(mix(keys), starts).view(np.int64)})
+
+    rows = sample.filter("part = 1").select("doc_id", "toxic", "text")
+    return rows.mapInPandas(digested, "doc_id long, toxic int, content long, whole long")
+
+
+def _tables(sample: DataFrame) -> DataFrame:
+    """doc_id, toxic of each training document that is no near copy of an earlier one of its class.
+
+    Copies are looked for among documents that share the least of one more
+    hash of their bigrams, and verified.
+    """
+    digests = cut(_digests(sample).dropDuplicates(["doc_id"]))
+    distinct = digests.groupBy("toxic", "content", "whole").agg(F.min("doc_id").alias("doc_id"))
+    shared = distinct.groupBy("toxic", "content").count().filter("count > 1").select("toxic", "content")
+    alone = distinct.join(shared, ["toxic", "content"], "left_anti").select("doc_id", "toxic")
+    met = distinct.join(shared, ["toxic", "content"], "left_semi").select("doc_id", "content")
 
     def differing(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        return pdf[first_of_copies([bigram_key(h.view(np.uint64), w.view(np.uint64)) for h, w in zip(pdf["previous"], pdf["words"], strict=True)])]
+        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+        sets = []
+        for text in pdf["text"]:
+            previous, words, _ = expressions([text])
+            sets.append(np.unique(bigram_key(previous, words)))
+        return pdf.loc[first_of_copies(sets), ["doc_id", "toxic"]]
 
-    shared = lists.groupBy("toxic", "content").count().filter("count > 1").select("toxic", "content")
-    alone = lists.join(shared, ["toxic", "content"], "left_anti").select(*lists.columns)
-    met = lists.join(shared, ["toxic", "content"], "left_semi").select(*lists.columns)
-    return alone.unionByName(met.groupBy("toxic", "content").applyInPandas(differing, form)).drop("content")
+    texts = sample.filter("part = 1").select("doc_id", "toxic", "text").join(met, "doc_id")
+    return alone.unionByName(texts.groupBy("toxic", "content").applyInPandas(differing, "doc_id long, toxic int"))
 
 
 def first_of_copies(sets: list[np.ndarray]) -> np.ndarray:
     """True for sets of distinct keys whose Jaccard similarity to every earlier true one is below COPY."""
     columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    places = np.split(columns, np.cumsum([len(s) for s in sets])[:-1])
+    spots = np.split(columns, np.cumsum([len(s) for s in sets])[:-1])
     holders: dict[int, list[int]] = {}
     kept = np.zeros(len(sets), bool)
     sizes = np.array([len(s) for s in sets])
-    for i, place in enumerate(places):
-        met = np.bincount(np.concatenate([np.array(holders.get(c, ()), int) for c in place.tolist()]), minlength=len(sets))
+    for i, spot in enumerate(spots):
+        met = np.bincount(np.concatenate([np.array(holders.get(c, ()), int) for c in spot.tolist()]), minlength=len(sets))
         kept[i] = not (met >= COPY * (sizes + sizes[i] - met) - 1e-9).any()
         if kept[i]:
-            for c in place.tolist():
+            for c in spot.tolist():
                 holders.setdefault(c, []).append(i)
     return kept
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model | None:
-    """The two models as ratio tables; None if a class has no labelled document outside the held-out fold.
+def _counts(training: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
+    """h, w, c0, c1: documents of each class that hold an expression.
 
-    Learns from at most max_labelled documents of each class whose
-    crc32(doc_id) mod 5 is not 0; those with remainder 1 only set the
-    threshold.  Tables hold only what passes the discount, so their size is
-    bounded by the sample's.
+    Without a vocabulary single words (h is 0).  With one, bigrams behind its
+    words or the start mark; other words count as _OTHER.
     """
-    sample = cut(_sample(docs, labels, id_col, text_col, label_id_col, toxic_col, max_labelled))
-    rows = cut(_tables(sample))
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
+    shared = training.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, toxic = batch["text"].to_list(), batch["toxic"].to_numpy()
+            for part in chunks(texts, 20_000_000):
+                previous, words, owner = expressions(texts[part])
+                if shared.value is None:
+                    previous = np.zeros_like(words)
+                else:
+                    inside = (places(shared.value, previous) < len(shared.value)) | (previous == _START)
+                    previous, words, owner = previous[inside], words[inside], owner[inside]
+                if not len(words):
+                    continue
+                first = distinct_in_texts(bigram_key(previous, words), owner)
+                h, w, cls = previous[first], words[first], toxic[part][owner[first]]
+                if shared.value is not None:
+                    w[places(shared.value, w) == len(shared.value)] = _OTHER
+                _, at, group, total = np.unique(bigram_key(h, w), return_index=True, return_inverse=True, return_counts=True)
+                ones = np.bincount(group, weights=cls, minlength=len(at)).astype(np.int64)
+                yield pd.DataFrame({"h": h[at].view(np.int64), "w": w[at].view(np.int64), "c0": total - ones, "c1": ones})
+
+    rows = training.select("text", "toxic").mapInPandas(counted, "h long, w long, c0 long, c1 long")
+    return rows.groupBy("h", "w").agg(F.sum("c0").cast("double").alias("c0"), F.sum("c1").cast("double").alias("c1"))
+
+
+def context_sketches(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> DataFrame:
+    """w, b0, b1, ...: bitmaps of the distinct words that stand before each word of the vocabulary (or before _OTHER), over all documents.
+
+    A context's hash picks one of BITMAPS bitmaps and in it a bit, bit r with
+    probability 2^-(r+1).  A task emits one row for each word; rows merge by OR.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = shared.value
+        maps = np.zeros((len(keys) + 1, BITMAPS), np.uint32)
+        for batch in batches:
+            texts = batch["text"].to_list()
+            for part in chunks(texts, 4_000_000):
+                previous, words, _ = expressions(texts[part])
+                g = mix(previous ^ np.uint64(0xA0761D6478BD642F))
+                x = (g >> np.uint64(16)).astype(np.uint32) | np.uint32(1 << 31)
+                np.bitwise_or.at(maps.reshape(-1), places(keys, words) * BITMAPS + (g & np.uint64(BITMAPS - 1)).astype(np.int64), x & (~x + np.uint32(1)))
+        seen = np.flatnonzero(maps.any(1))
+        if len(seen):
+            names = np.append(keys, _OTHER).view(np.int64)[seen]
+            yield pd.DataFrame({"w": names} | {f"b{j}": maps[seen].view(np.int64)[:, j] for j in range(BITMAPS // 2)})
+
+    bits = [f"b{j}" for j in range(BITMAPS // 2)]
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(sketched, "w long, " + ", ".join(f"{b} long" for b in bits))
+    return rows.groupBy("w").agg(*[F.bit_or(b).alias(b) for b in bits])
+
+
+def distinct_contexts(maps: np.ndarray) -> np.ndarray:
+    """The number of distinct contexts that bitmaps (words, BITMAPS) of uint32 tell."""
+    lowest_zero = ~maps & (maps + np.uint32(1))
+    mean = np.log2(np.maximum(lowest_zero, 1).astype(np.float64)).mean(1)
+    return maps.shape[1] / 0.77351 * (2**mean - 2 ** (-1.75 * mean))
+
+
+def discounted(counts: np.ndarray, expected: np.ndarray, deviations: float, least: float = MIN_DISCOUNT) -> np.ndarray:
+    """What of each count the discount takes."""
+    return np.minimum(counts, np.maximum(least, expected + deviations * np.sqrt(expected)))
+
+
+def class_models(words: pd.DataFrame, sizes: np.ndarray, contexts: np.ndarray, bigrams: pd.DataFrame, deviations: float) -> Model:
+    """The two models.
+
+    words: key, c0, c1 (the vocabulary, sorted by key); sizes: all word counts
+    of both classes; contexts: distinct contexts of the vocabulary's words and
+    of all others together; bigrams: h, w, c0, c1, n0, n1 (all counts behind h)
+    of those above the least discount.
+    """
+    keys = words["key"].to_numpy(np.uint64)
+    shared = (contexts + 0.5) / (contexts + 0.5).sum()
+    both = words["c0"].to_numpy() + words["c1"].to_numpy()
+    h, w = bigrams["h"].to_numpy(np.int64).view(np.uint64), bigrams["w"].to_numpy(np.int64).view(np.uint64)
+    names, which = np.unique(h, return_inverse=True)
+    word_p, leave, joint, telling = [], [], [], np.zeros(len(h), bool)
+    for c in (0, 1):
+        count = words[f"c{c}"].to_numpy()
+        excess = count - discounted(count, both * sizes[c] / sizes.sum(), deviations)
+        p = np.append(excess / sizes[c], 0.0) + (1 - excess.sum() / sizes[c]) * shared
+        word_p.append(p)
+        count, behind = bigrams[f"c{c}"].to_numpy(), bigrams[f"n{c}"].to_numpy()
+        expected = (bigrams["c0"] + bigrams["c1"]).to_numpy() * behind / np.maximum((bigrams["n0"] + bigrams["n1"]).to_numpy(), 1)
+        more = (count - discounted(count, expected, deviations)) / np.maximum(behind, 1)
+        left = 1 - np.bincount(which, weights=more, minlength=len(names))
+        telling |= more > 0
+        leave.append(left)
+        joint.append(more + left[which] * p[places(keys, w)])
+    moved = (leave[0] < 1) | (leave[1] < 1)
+    bigram = bigram_key(h[telling], w[telling])
+    order = np.argsort(bigram)
+    logs = [np.log(np.maximum(np.stack(x, 1), 1e-300)) for x in (word_p, [x[moved] for x in leave], [x[telling] for x in joint])]
+    return Model(keys, logs[0], names[moved], logs[1], bigram[order], logs[2][order])
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", toxic_col: str = "toxic",
+    max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS,
+) -> Model | None:
+    """The two calibrated models; None if a class has no labelled training document.
+
+    Class counts come from at most max_labelled documents (and max_chars
+    characters) of each class whose crc32(doc_id) mod 5 is neither 0 nor 1;
+    those with remainder 1 fit the calibration.  The shared backoff counts
+    cover all documents.  The vocabulary, words of more than MIN_DISCOUNT
+    labelled documents, and the bigrams above it have at most max_chars /
+    MIN_DISCOUNT entries and reach the driver.
+    """
+    sample = cut(_sample(docs, labels, id_col, text_col, label_id_col, toxic_col, max_labelled, max_chars))
+    kept = cut(_tables(sample))
+    if kept.select("toxic").distinct().count() < 2:
         return None
-    d = float(np.clip(min(sizes.values()) ** 0.5 / 3, 1.0, MAX_DISCOUNT))  # few documents: less is known to be rare
-    pair = F.explode(F.arrays_zip("previous", "words")).alias("p")
-    counts = rows.select("toxic", pair).groupBy(F.col("p.previous").alias("h"), F.col("p.words").alias("w"))
-    counts = cut(counts.agg(*[F.count_if(F.col("toxic") == c).cast("double").alias(f"c{c}") for c in (0, 1)]))
-    lost = [F.least(F.col(f"c{c}"), F.lit(d)) for c in (0, 1)]
-    words = counts.groupBy("w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count("*").alias("shared"))
-    contexts = counts.groupBy("h").agg(*[F.sum(f"c{c}").alias(f"n{c}") for c in (0, 1)], *[F.sum(lost[c]).alias(f"l{c}") for c in (0, 1)])
-    contexts = contexts.select("h", *[F.when(F.col(f"n{c}") > 0, F.col(f"l{c}") / F.col(f"n{c}")).otherwise(1.0).alias(f"b{c}") for c in (0, 1)], "n0", "n1")
-    total = words.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("shared").alias("shared"), F.count("*").alias("types"), *[F.sum(lost[c]).alias(f"l{c}") for c in (0, 1)]).head()
-    back = [total[f"l{c}"] / total[f"c{c}"] for c in (0, 1)]
-    smooth = (F.col("shared") + 0.5) / F.lit(total["shared"] + 0.5 * total["types"] + 0.5)
-    own = [F.greatest(F.col(f"c{c}") - d, F.lit(0.0)) / total[f"c{c}"] + back[c] * smooth for c in (0, 1)]
-    words = cut(words.select("w", own[0].alias("p0"), own[1].alias("p1"), ((F.col("c0") > d) | (F.col("c1") > d)).alias("telling")))
-    rest = float(np.log(back[1]) - np.log(back[0]))
-    strong = counts.filter((F.col("c0") > d) | (F.col("c1") > d)).join(contexts, "h").join(words, "w")
-    joint = [F.greatest(F.col(f"c{c}") - d, F.lit(0.0)) / F.greatest(F.col(f"n{c}"), F.lit(1.0)) + F.col(f"b{c}") * F.col(f"p{c}") for c in (0, 1)]
-    bigrams = strong.select("h", "w", F.log(joint[1] / joint[0]).alias("r")).toPandas()
-    context = contexts.filter("b0 <> b1").select("h", F.log(F.col("b1") / F.col("b0")).alias("r")).toPandas()
-    word = words.filter("telling").select("w", F.log(F.col("p1") / F.col("p0")).alias("r")).toPandas()
-    tables = []
-    for keys, ratio in ((bigram_key(bigrams["h"].to_numpy(np.int64).view(np.uint64), bigrams["w"].to_numpy(np.int64).view(np.uint64)), bigrams["r"]), (context["h"].to_numpy(np.int64).view(np.uint64), context["r"]), (word["w"].to_numpy(np.int64).view(np.uint64), word["r"])):
-        order = np.argsort(keys)
-        tables += [keys[order], ratio.to_numpy(np.float64)[order]]
-    return _calibrated(Model(*tables, rest=rest), sample)
-
-
-def _calibrated(model: Model, sample: DataFrame) -> Model:
-    """Centre: the evidence that best parts the classes among calibration documents (all, if a class has none there)."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    training = sample.filter("part = 1").select("doc_id", "text", "toxic").join(F.broadcast(kept.select("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    training = cut(training)
+    singles = cut(_counts(training, None))
+    sizes = np.array(singles.agg(F.sum("c0"), F.sum("c1")).head(), np.float64)
+    words = singles.filter(F.col("c0") + F.col("c1") > MIN_DISCOUNT).select(F.col("w").alias("key"), "c0", "c1").toPandas()
+    words["key"] = words["key"].to_numpy(np.int64).view(np.uint64)
+    words = words.sort_values("key", ignore_index=True)
+    vocabulary = words["key"].to_numpy(np.uint64)
+    pairs = cut(_counts(training, vocabulary))
+    behind = pairs.groupBy("h").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
+    strong = pairs.filter(((F.col("c0") > MIN_DISCOUNT) | (F.col("c1") > MIN_DISCOUNT)) & (F.col("w") != 0)).join(behind, "h").select("h", "w", "c0", "c1", "n0", "n1").toPandas()
+    sketches = context_sketches(docs, text_col, vocabulary).toPandas()
+    maps = np.zeros((len(vocabulary) + 1, BITMAPS), np.uint32)
+    at = places(vocabulary, sketches["w"].to_numpy(np.int64).view(np.uint64))
+    maps[at] = np.ascontiguousarray(sketches[[f"b{j}" for j in range(BITMAPS // 2)]].to_numpy(np.int64)).view(np.uint32)
+    contexts = distinct_contexts(maps)
+    return _calibrated([class_models(words, sizes, contexts, strong, k) for k in DEVIATIONS], sample)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 40) -> tuple[np.ndarray, float]:
+    """(weights on the columns of x, the first constant; mean log loss) by Newton steps on standardised columns."""
+    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-12)
+    mean[0], sd[0] = 0.0, 1.0
+    z, b = (x - mean) / sd, np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        slope = (z * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ z + ridge * np.eye(len(b))
+        b -= np.linalg.solve(slope, z.T @ (p - y) + ridge * b)
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ b, -30, 30))), 1e-6, 1 - 1e-6)
+    w = b / sd
+    w[0] = b[0] - (b[1:] * mean[1:] / sd[1:]).sum()
+    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def _calibrated(models: list[Model], sample: DataFrame) -> Model:
+    """The model with the least log loss on calibration documents (all, if a class has none there), with its weights."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].to_list()
             for part in chunks(texts):
-                yield pd.DataFrame({"x": shared.value.evidence(texts[part]), "toxic": batch["toxic"].iloc[part].to_numpy(), "part": batch["part"].iloc[part].to_numpy()})
-
-    seen = sample.select("text", "toxic", "part").mapInPandas(scored, "x double, toxic int, part int").toPandas()
+                out = batch.iloc[part][["toxic", "part"]].reset_index(drop=True)
+                for i, model in enumerate(shared.value):
+                    per_word, counts = model.log_likelihoods(texts[part])
+                    out[f"o{i}"], out[f"t{i}"], out["n"] = per_word[:, 0], per_word[:, 1], counts
+                yield out
+
+    schema = "toxic int, part int, " + ", ".join(f"o{i} double, t{i} double" + (", n long" if i == 0 else "") for i in range(len(models)))
+    seen = sample.select("text", "toxic", "part").mapInPandas(scored, schema).toPandas()
     held = seen[seen["part"] == 0]
     seen = held if held["toxic"].nunique() == 2 else seen
-    x, y = seen["x"].to_numpy(), seen["toxic"].to_numpy()
-    values = np.unique(np.concatenate(([0.0], x)))
-    cuts = np.concatenate(((values[1:] + values[:-1]) / 2, [values[-1] + 0.1]))
-    caught = 1 - np.searchsorted(np.sort(x[y == 1]), cuts) / max(1, (y == 1).sum())
-    wrong = 1 - np.searchsorted(np.sort(x[y == 0]), cuts) / max(1, (y == 0).sum())
-    gain = caught - 4 * wrong
-    good = cuts[gain >= gain.max() - 0.002]
-    model.centre = max(1e-3, float(np.median(good)))
-    model.scale = model.centre / 4
-    return model
+    y, n = seen["toxic"].to_numpy(np.float64), seen["n"].to_numpy()
+    fits = [fit_logistic(_features(seen[[f"o{i}", f"t{i}"]].to_numpy(), n), y) for i in range(len(models))]
+    best = min(range(len(models)), key=lambda i: fits[i][1])
+    models[best].weights = tuple(fits[best][0])
+    return models[best]
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
-
-    Whole texts; null or empty ones have no evidence, as have all without a
-    model.  Repeated rows score alike; an empty table gives no rows; other
-    columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = (fold("doc_id") == 0).alias("held_out")
+def scores(model: Model | None, text: Column) -> Column:
+    """struct(score, ll_ordinary, ll_toxic) of a text column: probability and the two log-likelihoods per word; zeros without a model."""
+    schema = "score double, ll_ordinary double, ll_toxic double"
     if model is None:
-        return rows.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return F.struct(*[F.lit(0.0).alias(x.split()[0]) for x in schema.split(", ")])
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].to_list()
+            texts = batch.to_list()
+            out = np.zeros((len(texts), 3))
             for part in chunks(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64"), "score": shared.value.probability(shared.value.evidence(texts[part]))})
+                per_word, counts = model.log_likelihoods(texts[part])
+                out[part] = np.column_stack([model.probability(per_word, counts), per_word])
+            yield pd.DataFrame(out, columns=["score", "ll_ordinary", "ll_toxic"])
+
+    scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(scored, schema)(text)
+
 
-    return rows.mapInPandas(scored, "doc_id long, score double").select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), ll_ordinary, ll_toxic.
+
+    Whole texts; null or empty ones have log-likelihoods of 0 and the score of
+    an even text of one word; without a model all scores are 0.  Repeated rows
+    score alike; an empty table gives no rows; other columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), scores(model, F.col(text_col).cast("string")).alias("s"))
+    return rows.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "s.score", (F.col("s.score") >= 0.5).cast("int").alias("predicted"), "s.ll_ordinary", "s.ll_toxic")
