@@ -21,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import cut
 from tickweave.llm.text import chunks, mix, word_hashes
 
 #: Labelled documents of each class that are drawn for training and calibration, by a hash of their id, and their characters.
-MAX_LABELLED, MAX_CHARS = 12_000, 100_000_000
+MAX_LABELLED, MAX_CHARS, SLICES = 12_000, 100_000_000, 1000
 MIN_DISCOUNT = 4.0
 #: Deviations in the discount; calibration picks one.
 DEVIATIONS = (4.0, 6.0, 8.0)
@@ -119,12 +119,12 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     chosen = drawn[0].unionByName(drawn[1])  # at most 2 * max_labelled ids: a bounded broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").withColumn("part", (fold("doc_id") != 1).cast("int"))
-    rows = cut(rows)
-    # the same draw, bounded in characters too: whole documents while their running length stays below the bound
-    lengths = rows.groupBy("toxic", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
-    running = F.sum("n").over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
-    within = lengths.withColumn("_upto", running).filter(F.col("_upto") <= max_chars).select("doc_id")
-    return rows.join(F.broadcast(within), "doc_id")
+    # the same draw, bounded in characters too: whole slices of the order while their running length stays below the bound
+    rows = cut(rows.withColumn("slice", F.pmod(order, F.lit(SLICES)).cast("int")))
+    lengths = rows.groupBy("toxic", "slice").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).toPandas().sort_values("slice")
+    lengths["upto"] = lengths.groupby("toxic")["n"].cumsum()
+    over = lengths[lengths["upto"] > max_chars].groupby("toxic")["slice"].min()
+    return rows.filter(F.col("slice") < F.when(F.col("toxic") == 1, int(over.get(1, SLICES))).otherwise(int(over.get(0, SLICES)))).drop("slice")
 
 
 def _digests(sample: DataFrame) -> DataFrame:
