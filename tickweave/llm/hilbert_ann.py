@@ -28,10 +28,10 @@ from tickweave.llm.vectors import batches_of_rows, best, usable
 
 CURVES, DIMS, BITS = 4, 12, 3
 WINDOW = 16
-LEAST_SHARE, SHARE, DECAY, LEAST_ROWS = 0.3, 3.3, 0.21, 512
+LEAST_SHARE, SHARE, DECAY, LEAST_ROWS = 0.3, 3.3, 0.21, 1600
 #: What a window's best vector lies above its mean, in deviations: the expected largest of 16 normal values.
 ABOVE = 1.77
-#: Rows on which grid edges are fitted, and window means on which a query's bound is; both drawn by hash.
+#: Rows on which grid edges are fitted, and windows on which a query's bound is; both drawn by hash.
 FIT_ROWS, FIT_WINDOWS = 4096, 8192
 BLOCK = 4096
 BLOCK_SCHEMA = "dim int, curve int, n int, ids binary, mat binary, windows binary"

@@ -251,10 +251,12 @@ def context_sketches(docs: DataFrame, text_col: str, vocabulary: np.ndarray) ->
 
 
 def distinct_contexts(maps: np.ndarray) -> np.ndarray:
-    """The number of distinct contexts that bitmaps (words, BITMAPS) of uint32 tell."""
+    """The number of distinct contexts that bitmaps (words, BITMAPS) of uint32 tell: by empty bitmaps as long as there are any."""
+    empty = (maps == 0).sum(1)
     lowest_zero = ~maps & (maps + np.uint32(1))
     mean = np.log2(np.maximum(lowest_zero, 1).astype(np.float64)).mean(1)
-    return maps.shape[1] / 0.77351 * (2**mean - 2 ** (-1.75 * mean))
+    many = maps.shape[1] / 0.77351 * (2**mean - 2 ** (-1.75 * mean))
+    return np.where(empty > 0, maps.shape[1] * np.log(maps.shape[1] / np.maximum(empty, 1)), many)
 
 
 def discounted(counts: np.ndarray, expected: np.ndarray, deviations: float, least: float = MIN_DISCOUNT) -> np.ndarray:
