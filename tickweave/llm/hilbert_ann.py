@@ -33,7 +33,7 @@ LEAST_SHARE, SHARE, DECAY, LEAST_ROWS = 0.3, 3.3, 0.21, 1600
 ABOVE = 1.77
 #: Rows on which grid edges are fitted, and windows on which a query's bound is; both drawn by hash.
 FIT_ROWS, FIT_WINDOWS = 4096, 8192
-BLOCK = 4096
+BLOCK, QUERIES, LANE = 4096, 512, 8
 BLOCK_SCHEMA = "dim int, curve int, n int, ids binary, mat binary, windows binary"
 ASKED_SCHEMA = "dim int, q_ids binary, q_mat binary, bounds binary"
 
@@ -170,8 +170,8 @@ def search(
                     known = edges.get((d, c), np.full((min(dims, d), 2**BITS - 1), np.inf))
                     yield out.assign(curve=c, key=projected_keys(mat, c, known, dims))
 
-    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), curves)
-    ordered = rows.select("id", "vec").mapInPandas(keyed, "dim int, id long, vec binary, curve int, key long").repartitionByRange(lanes, "dim", "curve", "key", "id").sortWithinPartitions("dim", "curve", "key", "id")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), curves)
+    ordered = rows.select("id", "vec").mapInPandas(keyed, "dim int, id long, vec binary, curve int, key long").repartitionByRange(parts, "dim", "curve", "key", "id").sortWithinPartitions("dim", "curve", "key", "id")
 
     def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def row(part: pd.DataFrame) -> dict:
@@ -221,21 +221,21 @@ def search(
         sample.setdefault(r["dim"], []).append(np.frombuffer(r["windows"]).reshape(-1, r["dim"] + 1))
     shared = spark.sparkContext.broadcast({d: np.concatenate(m) for d, m in sample.items()})
 
-    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for d, part in batch.groupby(batch["vec"].map(len)):
-                drawn_windows = shared.value.get(d, np.zeros((0, d + 1)))
-                share = visited_share(sizes[d], window, curves)
-                for at in range(0, len(part), 1024):
-                    own = part.iloc[at : at + 1024]
-                    mat = np.stack(own["vec"].to_list())
-                    leave = len(drawn_windows) - int(np.ceil(share * len(drawn_windows)))
-                    bounds = np.partition(expected_products(drawn_windows, mat), leave, axis=0)[leave] if leave > 0 else np.full(len(own), -np.inf)
-                    yield pd.DataFrame([{"dim": d, "q_ids": own["id"].to_numpy(np.int64).tobytes(), "q_mat": mat.astype(dtype).tobytes(), "bounds": bounds.tobytes()}])
-
-    lanes = max(lanes, -(-curves * sum(sizes.values()) // (64 * block)))
+    def bounded(part: pd.DataFrame) -> pd.DataFrame:
+        mat = np.stack(part["vec"].to_list())
+        drawn_windows = shared.value.get(mat.shape[1], np.zeros((0, mat.shape[1] + 1)))
+        leave = len(drawn_windows) - int(np.ceil(visited_share(sizes[mat.shape[1]], window, curves) * len(drawn_windows)))
+        bounds = np.partition(expected_products(drawn_windows, mat), leave, axis=0)[leave] if leave > 0 else np.full(len(part), -np.inf)
+        return pd.DataFrame([{"dim": mat.shape[1], "q_ids": part["id"].to_numpy(np.int64).tobytes(), "q_mat": mat.astype(dtype).tobytes(), "bounds": bounds.tobytes()}])
+
+    queries = rows.filter("asks").select(F.size("vec").alias("dim"), "id", "vec").dropDuplicates(["id", "vec"])
+    slots = -(-queries.count() // QUERIES)
+    if not slots:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = cut(queries.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots))).groupBy("dim", "slot").applyInPandas(bounded, ASKED_SCHEMA))
+    # every lane of about LANE blocks meets all queries; their number grows with the table, not with the partitions
+    lanes = max(1, -(-curves * sum(sizes.values()) // (LANE * block)))
     dealt = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes))).select("dim", "lane", "ids", "mat", "windows")
-    asked = cut(rows.filter("asks").select("id", "vec").mapInPandas(bounded, ASKED_SCHEMA))
     asked = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
 
     def reranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
