@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tickweave.llm import hilbert_ann, toxicity
+from tickweave.llm import hilbert_ann, ngram_join, toxicity
 from tickweave.llm.text import word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -151,3 +151,17 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.train(docs, labels.filter("toxic = 1")) is None  # one class only
     none = toxicity.score(docs, None).toPandas()
     assert isinstance(none, pd.DataFrame) and set(none["score"]) == {0.0} and set(none["predicted"]) == {0}
+
+
+def test_rows_without_id_and_repeated_ids_in_the_near_duplicate_join(spark):
+    a = " ".join(WORDS[:40])
+    b = " ".join(WORDS[100:140])
+    rows = [(None, a), (1, a + " more"), (2, b), (2, "quite another text of its own"), (2, b), (3, b + " more"), (None, "alone without id here"), (None, "alone without id here"), (None, None), (4, ""), (4, ""), (5, "w " * 150_000)]
+    docs = spark.createDataFrame([(i, t, 0, 1, 2) for i, t in rows], "doc_id long, text string, key int, root int, class_id int")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, 1, 1), (1, 1, 1), (2, 2, 2), (2, 2, 0), (2, 2, 2), (3, 2, 2), (None, None, 1), (None, None, 1), (None, None, 0), (4, 4, 0), (4, 4, 0), (5, 5, 0)], key=str)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = sorted(((r["doc_id"], (r["text"] or "")[:40]) for r in kept.collect()), key=str)
+    assert left == sorted([(1, a[:40]), (2, b[:40]), (2, "quite another text of its own"), (None, "alone without id here"), (None, ""), (4, ""), (4, ""), (5, ("w " * 20))], key=str)
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0

@@ -67,23 +67,17 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_expr: Column | None = None, goals: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, probability, selected.
-
-    goals: target share by margin ('source', 'lang', 'topic') and value; a
-    margin left out gets tokens to the power 0.7, values left out of a given
-    margin get 0.  Expected tokens of a cell are its raked share of one common
-    total, the largest for which no probability passes 1.  Null source, lang or
-    topic form the value '(none)'.  A document without tokens has probability 1
-    (keeping it moves no weight).  The same id is drawn the same way in every
-    run, so repeated rows are kept or left together.
-    """
+def _drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_expr: Column | None = None, goals: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """What mix returns, with columns raw_source, raw_lang and text_hash of the row."""
     tokens = n_tokens(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("(none)")).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("(none)")).alias("lang"),
         tokens.alias("n_tokens"),
+        F.col(source_col).cast("string").alias("raw_source"),
+        F.col(lang_col).cast("string").alias("raw_lang"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
         *([topic_expr.cast("string").alias("_topic")] if topic_expr is not None else []),
     )
     rows = cut(rows)  # the texts are read once; what stays is small
@@ -100,7 +94,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rates = fitted.join(F.broadcast(top)).select(*MARGINS, F.coalesce(F.try_divide(F.col("_ratio"), F.col("_top")), F.lit(0.0)).alias("_p"))
     out = rows.join(rates, list(MARGINS), "left")
     p = F.round(F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.coalesce(F.col("_p"), F.lit(0.0))), 9)
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", p.alias("probability"), (uniform("doc_id", seed) < p).alias("selected"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", p.alias("probability"), (uniform("doc_id", seed) < p).alias("selected"), "raw_source", "raw_lang", "text_hash")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_expr: Column | None = None, goals: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, n_tokens, probability, selected.
+
+    goals: target share by margin ('source', 'lang', 'topic') and value; a
+    margin left out gets tokens to the power 0.7, values left out of a given
+    margin get 0.  Expected tokens of a cell are its raked share of one common
+    total, the largest for which no probability passes 1.  Null source, lang or
+    topic form the value '(none)'.  A document without tokens has probability 1
+    (keeping it moves no weight).  The same id is drawn the same way in every
+    run, so repeated rows are kept or left together.
+    """
+    return _drawn(docs, id_col, text_col, source_col, lang_col, topic_expr, goals, rounds, seed).drop("raw_source", "raw_lang", "text_hash")
+
+
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs that mix selects, each by its own id, source, language and text."""
+    left = _drawn(docs, id_col, text_col, source_col, lang_col, **options).filter("not selected")
+    left = left.select(F.col("doc_id").alias("_id"), F.col("raw_source").alias("_source"), F.col("raw_lang").alias("_lang"), F.col("text_hash").alias("_text")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source")) & docs[lang_col].cast("string").eqNullSafe(F.col("_lang"))
+    return docs.join(left, same & (F.xxhash64(docs[text_col].cast("string")) == F.col("_text")), "left_anti")
 
 
 def oracle_sql(rounds: int = ROUNDS) -> str:

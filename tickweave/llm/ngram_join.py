@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import cut
@@ -60,6 +60,27 @@ def tree_labels(shingles: np.ndarray, owner: np.ndarray, n_texts: int) -> np.nda
     return out.view(np.int64)
 
 
+def sequence_keys(words: np.ndarray, owner: np.ndarray, n_texts: int) -> list[int | None]:
+    """64-bit content hash of each text's word sequence; None without words."""
+    ends = np.cumsum(np.bincount(owner, minlength=n_texts) if len(owner) else np.zeros(n_texts, np.int64))
+    begins = np.concatenate(([0], ends[:-1]))
+    return [int.from_bytes(hashlib.blake2b(words[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(begins, ends, strict=True)]
+
+
+def text_key(text: Column) -> Column:
+    """sequence_keys of a text column."""
+
+    def keyed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts, keys = batch.to_list(), []
+            for part in chunks(texts):
+                keys += sequence_keys(*word_hashes(texts[part]), part.stop - part.start)
+            yield pd.Series(keys, dtype="Int64")
+
+    keyed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(keyed, "long")(text)
+
+
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, key (64-bit content hash of the word sequence, null without words), n_shingles, labels."""
 
@@ -72,9 +93,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 shingles, of = shingle_hashes(words, owner, n, size)
                 labels = tree_labels(shingles, of, n)
                 counts = np.bincount(of, minlength=n) if len(of) else np.zeros(n, np.int64)
-                ends = np.cumsum(np.bincount(owner, minlength=n) if len(owner) else np.zeros(n, np.int64))
-                begins = np.concatenate(([0], ends[:-1]))
-                keys = [int.from_bytes(hashlib.blake2b(words[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(begins, ends, strict=True)]
+                keys = sequence_keys(words, owner, n)
                 yield pd.DataFrame({"doc_id": ids.iloc[part].to_numpy(), "key": pd.array(keys, "Int64"), "n_shingles": counts.astype(np.int64), "labels": list(labels)}).astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(signed, "doc_id long, key long, n_shingles long, labels array<long>")
@@ -236,13 +255,15 @@ def _verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, threshold: f
                 words, owner = word_hashes(texts_[part])
                 shingles, of = shingle_hashes(words, owner, n, size)
                 ends = np.cumsum(np.bincount(of, minlength=n) if len(of) else np.zeros(n, np.int64))
-                ends_w = np.cumsum(np.bincount(owner, minlength=n) if len(owner) else np.zeros(n, np.int64))
                 out = batch.iloc[part].copy()
                 out["shingles"] = [np.unique(shingles[a:b]).tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
-                keys = [int.from_bytes(hashlib.blake2b(words[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(np.concatenate(([0], ends_w[:-1])), ends_w, strict=True)]
-                yield out[out["node"].to_numpy() == np.array(keys)]  # rows of a repeated id with another text drop out
+                yield out[out["node"].to_numpy() == np.array([k or 0 for k in sequence_keys(words, owner, n)])]  # rows of a repeated id with another text drop out
 
-    rows = docs.join(sized, docs["doc_id"] == sized["rep"]).select("node", "root", "copies", "blocks", "text")
+    columns = ["node", "root", "copies", "blocks", "text"]
+    rows = docs.join(sized, docs["doc_id"] == sized["rep"]).select(*columns)
+    # texts that only rows without an id hold are found by their key
+    without = docs.filter("doc_id is null").select(text_key(F.col("text")).alias("node"), "text").filter("node is not null").dropDuplicates(["node"])
+    rows = rows.unionByName(without.join(sized.filter("rep is null"), "node").select(*columns))
     rows = rows.mapInPandas(shingled, "node long, root long, copies long, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -261,23 +282,13 @@ def _verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, threshold: f
     return rows.select("root", "i", "j", "side", "node", "copies", "shingles").groupBy("root", "i", "j").applyInPandas(compared, "key long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, recall: float = RECALL) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links.
-
-    Two documents are linked if the Jaccard similarity of their sets of
-    ``size``-word shingles is at least the threshold; a text of fewer words is
-    one shingle.  class_id is the least doc_id reached over links, n_links the
-    number of other documents linked directly, copies included.  Texts without
-    words (null, empty, punctuation) have no links and are their own class;
-    rows with a null id take part and get the least non-null id of their
-    class, or null.  Repeated rows count as further documents.  An empty table
-    gives no rows.
-    """
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, size: int, recall: float) -> DataFrame:
+    """doc_id, key, root, class_id, n_links of every row; key and root are null without words."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(_signatures(base, size))
     texts = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.min("labels").alias("labels"))
     texts = cut(texts)
-    buckets = _buckets(texts.filter("rep is not null"), depth_for(threshold, recall))
+    buckets = _buckets(texts, depth_for(threshold, recall))
     likely = _likely(_small_pairs(buckets), texts, threshold).unionByName(_large_links(buckets, texts, threshold))
     groups = components(likely)
     found = cut(_verified(base, texts, groups, threshold, size))
@@ -287,16 +298,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = cut(known.select("key", "rep", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     # written, so that the join reads plain shuffles: Spark can then split a class that holds many texts
     least = cut(known.groupBy("root").agg(F.min("rep").alias("class_id")))
-    known = known.join(least, "root").select("key", "class_id", "n_links")
-    return signed.select("doc_id", "key").join(known, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents without those whose class has a smaller id; of rows that repeat an id one stays."""
-    lost = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
-    repeated = classes.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, id_col, "left_semi").filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return kept.join(repeated, id_col, "left_anti").unionByName(once)
+    known = known.join(least, "root").select("key", "root", "class_id", "n_links")
+    rows = signed.select("doc_id", "key").join(known, "key", "left")
+    return rows.select("doc_id", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, recall: float = RECALL) -> DataFrame:
+    """One row per input row: doc_id, class_id, n_links.
+
+    Two documents are linked if the Jaccard similarity of their sets of
+    ``size``-word shingles is at least the threshold; a text of fewer words is
+    one shingle.  class_id is the least doc_id reached over links, n_links the
+    number of other documents linked directly, copies included.  Texts without
+    words (null, empty, punctuation) have no links and are their own class;
+    rows with a null id take part and get the least non-null id of their
+    class, or null.  Repeated rows count as further documents.  Very long
+    texts are compared whole.  An empty table gives no rows; other columns are
+    ignored.
+    """
+    return _classified(docs, id_col, text_col, threshold, size, recall).select("doc_id", "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, recall: float = RECALL) -> DataFrame:
+    """Documents of which one of each class of near duplicates stays: a row with the class's least id.
+
+    Rows of one id with unlike texts are documents of their own.  Of the rows
+    with a class's least id (or of a class without ids) those of the least
+    content hash stay, one if they are copies.  Rows without words all stay.
+    """
+    rows = _classified(docs, id_col, text_col, threshold, size, recall).select("doc_id", "key", "root", "class_id")
+    mine = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    rows = cut(rows)
+    chosen = rows.filter("key is not null").filter(mine).groupBy("root").agg(F.min("key").alias("chosen"))
+    stays = F.col("key").isNull() | (mine & (F.col("key") == F.col("chosen")))
+    verdicts = cut(rows.join(chosen, "root", "left").select(F.col("doc_id").alias(id_col), "key", F.coalesce(stays, F.lit(False)).alias("stays")))
+    by_id = verdicts.groupBy(id_col).agg(F.count_if("stays").alias("kept"), F.count_if(~F.col("stays")).alias("lost"), F.count_if(F.col("stays") & F.col("key").isNotNull()).alias("worded"))
+    by_id = cut(by_id.filter("lost > 0 or worded > 1"))
+    gone = by_id.filter(f"kept = 0 and {id_col} is not null").select(id_col)
+    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    mixed = by_id.filter(f"kept > 0 or {id_col} is null").select(F.col(id_col).alias("_mixed"))
+    if mixed.isEmpty():
+        return left
+    # ids with several rows, only some of which stay: told apart by their texts
+    same = left[id_col].eqNullSafe(F.col("_mixed"))
+    several = left.join(mixed, same, "left_semi").withColumn("_key", text_key(F.col(text_col).cast("string")))
+    wanted = verdicts.filter("stays and key is not null").select(F.col(id_col).alias("_id"), F.col("key").alias("_wanted")).distinct()
+    worded = several.join(wanted, several[id_col].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_wanted")), "left_semi").dropDuplicates([id_col, "_key"])
+    return left.join(mixed, same, "left_anti").unionByName(several.filter("_key is null").unionByName(worded).select(*docs.columns))

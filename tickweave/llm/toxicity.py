@@ -6,7 +6,7 @@ its discount and gives the rest to the class's word distribution, which in
 turn backs off to one distribution that both classes share: in how many
 distinct contexts a word occurs in the whole corpus.  Counts are documents,
 not occurrences.  The discount of an expression is what both classes together
-let expect of it, plus some deviations of that, and at least MIN_DISCOUNT; so
+let expect of it, plus some deviations of that, and at least some documents; so
 rare and evenly spread expressions have the shared backoff probability.
 
 A document's two log-likelihoods are divided by its number of words; a
@@ -29,9 +29,10 @@ from tickweave.llm.text import chunks, mix, word_hashes
 
 #: Labelled documents of each class that are drawn for training and calibration, by a hash of their id, and their characters.
 MAX_LABELLED, MAX_CHARS, SLICES = 12_000, 100_000_000, 1000
+#: The least discount, reached from 144 training documents of the smaller class on; a third of their root below, at least 1.
 MIN_DISCOUNT = 4.0
 #: Deviations in the discount; calibration picks one.
-DEVIATIONS = (4.0, 6.0, 8.0)
+DEVIATIONS = (2.0, 4.0, 6.0, 8.0)
 #: Least Jaccard similarity of the distinct bigrams of near copies, which count once in their class.
 COPY = 0.8
 #: Bitmaps of a word's context sketch: 16 tell the number of distinct contexts to about 20 percent.
@@ -264,7 +265,7 @@ def discounted(counts: np.ndarray, expected: np.ndarray, deviations: float, leas
     return np.minimum(counts, np.maximum(least, expected + deviations * np.sqrt(expected)))
 
 
-def class_models(words: pd.DataFrame, sizes: np.ndarray, contexts: np.ndarray, bigrams: pd.DataFrame, deviations: float) -> Model:
+def class_models(words: pd.DataFrame, sizes: np.ndarray, contexts: np.ndarray, bigrams: pd.DataFrame, deviations: float, least: float = MIN_DISCOUNT) -> Model:
     """The two models.
 
     words: key, c0, c1 (the vocabulary, sorted by key); sizes: all word counts
@@ -280,12 +281,12 @@ def class_models(words: pd.DataFrame, sizes: np.ndarray, contexts: np.ndarray, b
     word_p, leave, joint, telling = [], [], [], np.zeros(len(h), bool)
     for c in (0, 1):
         count = words[f"c{c}"].to_numpy()
-        excess = count - discounted(count, both * sizes[c] / sizes.sum(), deviations)
+        excess = count - discounted(count, both * sizes[c] / sizes.sum(), deviations, least)
         p = np.append(excess / sizes[c], 0.0) + (1 - excess.sum() / sizes[c]) * shared
         word_p.append(p)
         count, behind = bigrams[f"c{c}"].to_numpy(), bigrams[f"n{c}"].to_numpy()
         expected = (bigrams["c0"] + bigrams["c1"]).to_numpy() * behind / np.maximum((bigrams["n0"] + bigrams["n1"]).to_numpy(), 1)
-        more = (count - discounted(count, expected, deviations)) / np.maximum(behind, 1)
+        more = (count - discounted(count, expected, deviations, least)) / np.maximum(behind, 1)
         left = 1 - np.bincount(which, weights=more, minlength=len(names))
         telling |= more > 0
         leave.append(left)
@@ -306,31 +307,33 @@ def train(
     Class counts come from at most max_labelled documents (and max_chars
     characters) of each class whose crc32(doc_id) mod 5 is neither 0 nor 1;
     those with remainder 1 fit the calibration.  The shared backoff counts
-    cover all documents.  The vocabulary, words of more than MIN_DISCOUNT
-    labelled documents, and the bigrams above it have at most max_chars /
+    cover all documents.  The vocabulary, words of more labelled documents
+    than the least discount, and the bigrams above it have at most max_chars /
     MIN_DISCOUNT entries and reach the driver.
     """
     sample = cut(_sample(docs, labels, id_col, text_col, label_id_col, toxic_col, max_labelled, max_chars))
     kept = cut(_tables(sample))
-    if kept.select("toxic").distinct().count() < 2:
+    documents = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
+    if not documents.get(0) or not documents.get(1):
         return None
+    least = float(np.clip(min(documents.values()) ** 0.5 / 3, 1.0, MIN_DISCOUNT))
     training = sample.filter("part = 1").select("doc_id", "text", "toxic").join(F.broadcast(kept.select("doc_id")), "doc_id").dropDuplicates(["doc_id"])
     training = cut(training)
     singles = cut(_counts(training, None))
     sizes = np.array(singles.agg(F.sum("c0"), F.sum("c1")).head(), np.float64)
-    words = singles.filter(F.col("c0") + F.col("c1") > MIN_DISCOUNT).select(F.col("w").alias("key"), "c0", "c1").toPandas()
+    words = singles.filter(F.col("c0") + F.col("c1") > least).select(F.col("w").alias("key"), "c0", "c1").toPandas()
     words["key"] = words["key"].to_numpy(np.int64).view(np.uint64)
     words = words.sort_values("key", ignore_index=True)
     vocabulary = words["key"].to_numpy(np.uint64)
     pairs = cut(_counts(training, vocabulary))
     behind = pairs.groupBy("h").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
-    strong = pairs.filter(((F.col("c0") > MIN_DISCOUNT) | (F.col("c1") > MIN_DISCOUNT)) & (F.col("w") != 0)).join(behind, "h").select("h", "w", "c0", "c1", "n0", "n1").toPandas()
+    strong = pairs.filter(((F.col("c0") > least) | (F.col("c1") > least)) & (F.col("w") != 0)).join(behind, "h").select("h", "w", "c0", "c1", "n0", "n1").toPandas()
     sketches = context_sketches(docs, text_col, vocabulary).toPandas()
     maps = np.zeros((len(vocabulary) + 1, BITMAPS), np.uint32)
     at = places(vocabulary, sketches["w"].to_numpy(np.int64).view(np.uint64))
     maps[at] = np.ascontiguousarray(sketches[[f"b{j}" for j in range(BITMAPS // 2)]].to_numpy(np.int64)).view(np.uint32)
     contexts = distinct_contexts(maps)
-    return _calibrated([class_models(words, sizes, contexts, strong, k) for k in DEVIATIONS], sample)
+    return _calibrated([class_models(words, sizes, contexts, strong, k, least) for k in DEVIATIONS], sample)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 40) -> tuple[np.ndarray, float]:
