@@ -15,15 +15,16 @@ from tickweave.llm.queries import TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go; the score joins on nothing but the row's own id."""
-    scores = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
-    rejected = scores.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the toxicity models reject go; every row is judged by its own text."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    # a name that no column of documents has
+    verdict = max(docs.columns, key=len) + "_verdict"
+    return docs.withColumn(verdict, toxicity.scores(model, F.col("text"))).filter(F.col(verdict)["score"] < 0.5).drop(verdict)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near duplicates the document with the least doc_id stays."""
-    return ngram_join.keep_one(docs, ngram_join.near_duplicates(docs))
+    return ngram_join.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +42,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with the probabilities of the raked weights."""
-    left = mixing.mix(docs).filter("not selected").select("doc_id").distinct()
-    return docs.join(left, "doc_id", "left_anti").select(*docs.columns)
+    return mixing.draw(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of at most 1024 tokens; a null or empty text gives one piece that holds the end id."""
     pieces = packing.pack(docs, TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -63,6 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and reread by the next; no documents give no rows."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
