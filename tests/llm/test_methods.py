@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tickweave.llm import hilbert_ann, ngram_join, toxicity
+from tickweave.llm import hilbert_ann, html_extract, ngram_join, toxicity
 from tickweave.llm.text import word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -165,3 +165,35 @@ def test_rows_without_id_and_repeated_ids_in_the_near_duplicate_join(spark):
     left = sorted(((r["doc_id"], (r["text"] or "")[:40]) for r in kept.collect()), key=str)
     assert left == sorted([(1, a[:40]), (2, b[:40]), (2, "quite another text of its own"), (None, "alone without id here"), (None, ""), (4, ""), (4, ""), (5, ("w " * 20))], key=str)
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_scan_equals_all_regions():
+    rng = np.random.default_rng(31)
+    for _ in range(300):
+        scores = [round(float(x), 1) for x in rng.normal(-0.3, 1, rng.integers(0, 25))]
+        begin, end = html_extract.best_region(scores)
+        sums = [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        assert abs(sum(scores[begin:end]) - max([0.0, *sums])) < 1e-9
+    assert html_extract.best_region([1.0, -1.0, 1.0]) == (0, 1)  # a tie: the first
+
+
+def test_pages_with_ordinary_markup():
+    text = " ".join(["word"] * 150)
+    art = f"<p>{text}</p><p>{text}</p>"
+    pages = {
+        "names that contain one": [f'<body><div class="content has-sidebar">{art}</div>', f'<div class="post no-comments">{art}</div>', f'<div id="page-header-fixed">{art}</div>', f'<div class="alert-story">{art}</div>'],
+        "one form": [f"<body><form action=x><div>{art}</div></form></body>"],
+        "optional end tags": [f'<ul><li class="nav-item">A<li class="nav-item">B</ul><div>{art}</div>', f'<table><tr><td class="menu">A<td>{art}</table>', f"<body><div>{art.replace('</p>', '')}</div>"],
+        "unclosed": [f"<body><aside>see also<article>{art}</article></body>", f"<body><aside>see also<div>{art}</div></body>"],
+        "a block named as an advert that holds the page": [f'<body><div class="ad">{art}</div><p>x</p></body>'],
+    }
+    weight = html_extract.weights({}, {})
+    for name, found in pages.items():
+        for page in found:
+            assert html_extract.main_text(page, weight).count("word") == 300, name
+    left = f'<body><header>H</header><nav>N</nav><div class="cookie-notice">C</div><div class="site-footer">F</div>{art}<form><label>L</label></form><div class="post-comments"><p>{text[:60]} R</p></div><span class="ad">S</span><footer>Z</footer>'
+    assert html_extract.main_text(left, weight) == f"{text} {text}"
+    deep = "<div>" * 20_000 + art + "</section>" * 20_000
+    assert html_extract.main_text(deep, weight).count("word") == 300
+    long = f"<article>{art * 400}</article>"
+    assert html_extract.main_text(long, weight).count("word") == 300 * 400

@@ -6,9 +6,11 @@ scores comes from labelled pages: pages that mark their own content with
 ``<article>`` or ``<main>``.  For every tag, and for words by the element they
 stand in, the share inside the marked region sets the weight.
 
-Elements that never hold main text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments; by tag name, or by
-a class, id or role token) are neutral for the scan and left out of the text.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments, known by tag or by a whole class, id or role token, are
+neutral for the scan and left out of the text, unless they hold most of the
+page's words or the marked content.  Names that only contain such a word (as
+"has-sidebar") just give an element's words a weight of their own.
 """
 
 from __future__ import annotations
@@ -39,9 +41,19 @@ LEFT_OUT_TAGS = frozenset("head nav header footer aside form menu dialog button
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply "
-    "replies respond sidebar aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer related recommended pager "
+    "replies respond responses sidebar aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer related recommended pager "
     "pagination toolbar widget widgets search complementary contentinfo".split()
 )
+COMMENT_NAMES = frozenset("comment comments reply replies respond responses".split())
+NEUTRAL_NAMES = frozenset("site page main top bottom left right bar box block area section list container wrapper inner item link links form panel".split())
+ABOUT_NAMES = frozenset("post article entry reader user".split())
+# Which open elements an opening tag ends, and the elements that such an end does not cross.
+ENDED_BY = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th", "caption"}, {"table"}),
+    "body": ({"head"}, set()),
+}
 CLOSES_P = BLOCKS - {"br", "option", "summary", "caption", "tr", "td", "th", "tbody", "thead", "tfoot", "legend", "title"}
 
 _TOKEN = re.compile(
@@ -51,59 +63,136 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_BLOCK, _TEXT, _TAG = 0, 1, 2
+#: Least words of a left-out element known by its name that may turn out to hold the page's text.
+LEAST_WORDS = 100
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT_TAGS:
-        return True
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for found in _NAMES.finditer(attributes):
-            if not LEFT_OUT_NAMES.isdisjoint(_SPLIT.split((found[1] or found[2] or found[3] or "").lower())):
-                return True
-    return False
+def named(attributes: str) -> tuple[bool, bool]:
+    """(a whole class, id or role token names something to leave out, a part of one does)."""
+    part = False
+    for found in _NAMES.finditer(attributes):
+        for token in (found[1] or found[2] or found[3] or "").lower().split():
+            pieces = {x for x in _SPLIT.split(token) if x}
+            hits = pieces & LEFT_OUT_NAMES
+            if hits:
+                rest = pieces - LEFT_OUT_NAMES - NEUTRAL_NAMES
+                if not rest or (hits & COMMENT_NAMES and not rest - ABOUT_NAMES):
+                    return True, True
+                part = True
+    return False, part
+
+
+class _Element:
+    """An open element, or one that is left out: its words, the left-out element around it, and what it holds."""
+
+    __slots__ = ("tag", "outer", "hint", "left_out", "by_name", "words", "content", "closed")
+
+    def __init__(self, tag: str, outer: "_Element | None", hint: bool, left_out: bool, by_name: bool):
+        self.tag, self.outer, self.hint, self.left_out, self.by_name = tag, outer, hint, left_out, by_name
+        self.words, self.content, self.closed = 0, False, False
+
+    def kept(self, total: int) -> bool:
+        """Whether a left-out element holds the page's text after all."""
+        if self.tag == "head":
+            return False
+        most = 2 * self.words > total
+        if self.by_name:
+            return most and self.words >= LEAST_WORDS
+        return self.content or (most and (self.tag == "form" or not self.closed))
 
 
 def events(page: str) -> list[tuple[str, str, bool, bool, bool]]:
     """(key, text, is block tag, in left-out element, in marked content) of each tag and text run.
 
-    Keys are t:<tag> and w:<element>, from a fixed vocabulary.
+    Keys are t:<tag> and w:<element>, from a fixed vocabulary.  Open elements
+    form a stack; optional end tags are implied, an end tag closes all that is
+    open inside its element, and one without an open element counts for nothing.
     """
-    out: list[tuple[str, str, bool, bool, bool]] = []
-    at, hidden, depth, marked, link, where = 0, "", 0, 0, 0, "body"
+    out: list[tuple[str, str, bool, _Element | None, bool]] = []
+    stack: list[_Element] = []
+    left_out: list[_Element] = []
+    opened: Counter = Counter()
+    total = at = marked = link = 0
+
+    def pop(upto: int, end_tag: bool) -> None:
+        nonlocal marked
+        stack[upto].closed = end_tag
+        for e in stack[upto:]:
+            marked -= e.tag in ("article", "main")
+            opened[e.tag] -= 1
+        del stack[upto:]
+
+    def words_of(piece: str) -> None:
+        nonlocal total
+        top = stack[-1] if stack else None
+        around = top and (top if top.left_out else top.outer)
+        n = len(piece.split())
+        inside_head = around is not None and around.tag == "head"
+        total += 0 if inside_head else n
+        if around is not None:
+            around.words += n
+        key = "a" if link else "hint" if top and top.hint else top.tag if top and top.tag in BLOCKS else "body"
+        out.append((f"w:{key}", piece, False, around, marked > 0))
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            out.append((f"w:{'a' if link else where}", page[at : m.start()], False, bool(hidden), marked > 0))
+            words_of(page[at : m.start()])
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
         close, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
-        if hidden:
-            if tag == hidden:
-                depth += -1 if close else 1
-                if depth == 0 and close:
-                    hidden = ""
-            elif hidden == "p" and (tag in CLOSES_P):
-                hidden = ""
-            if hidden or close:
-                out.append(("t:hidden", "", tag in BLOCKS, True, marked > 0))
-                continue
-        if not close and tag not in VOID and not attributes.endswith("/") and _left_out(tag, attributes):
-            hidden, depth = tag, 1
-            out.append(("t:hidden", "", tag in BLOCKS, True, marked > 0))
+        known = tag if tag in BLOCKS or tag in INLINE else "other"
+        if close:
+            if tag == "a":
+                link = 0
+            if opened[tag] > 0:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), True)
+            top = stack[-1] if stack else None
+            out.append((f"t:{known}", "", tag in BLOCKS, top and (top if top.left_out else top.outer), marked > 0))
             continue
-        if tag in ("article", "main"):
-            marked = max(0, marked + (-1 if close else 1))
+        if tag in CLOSES_P and stack and any(e.tag == "p" for e in stack[-4:]):
+            pop(max(i for i, e in enumerate(stack) if e.tag == "p"), True)
+        if tag in ENDED_BY:
+            ends, within = ENDED_BY[tag]
+            first = None
+            for i in range(len(stack) - 1, -1, -1) if any(opened[x] > 0 for x in ends) else ():
+                if stack[i].tag in within:
+                    break
+                if stack[i].tag in ends:
+                    first = i
+            if first is not None:
+                pop(first, True)
         if tag == "a":
-            link = 0 if close else 1
-        elif tag in BLOCKS and tag != "br":
-            where = "body" if close else tag
-        known = tag if tag in BLOCKS or tag in INLINE else "other"
-        out.append((f"t:{known}", "", tag in BLOCKS, False, marked > 0))
+            link = 1
+        top = stack[-1] if stack else None
+        around = top and (top if top.left_out else top.outer)
+        if tag not in VOID and not attributes.endswith("/"):
+            by_name, part = named(attributes) if attributes and tag not in ("html", "body", "article", "main") else (False, False)
+            gone = tag in LEFT_OUT_TAGS or by_name
+            if gone or tag not in INLINE:
+                e = _Element(tag, around, bool(part or (top and top.hint)), gone, by_name and tag not in LEFT_OUT_TAGS)
+                stack.append(e)
+                opened[tag] += 1
+                if tag in ("article", "main"):
+                    marked += 1
+                    for x in reversed(stack):
+                        if x.content:
+                            break
+                        x.content = True
+                if gone:
+                    left_out.append(e)
+                    around = e
+        out.append((f"t:{known}", "", tag in BLOCKS, around, marked > 0))
     if at < len(page):
-        out.append((f"w:{'a' if link else where}", page[at:], False, bool(hidden), marked > 0))
-    return out
+        words_of(page[at:])
+    for e in reversed(left_out):  # inner ones come later
+        if e.outer is not None:
+            e.outer.words += e.words
+    hidden: dict[int, bool] = {}
+    for e in left_out:
+        hidden[id(e)] = (e.outer is not None and hidden[id(e.outer)]) or not e.kept(total)
+    return [(key, text, block, e is not None and hidden[id(e)], inside) for key, text, block, e, inside in out]
 
 
 def count_page(page: str | None, inside: Counter, outside: Counter) -> None:
@@ -117,33 +206,38 @@ def count_page(page: str | None, inside: Counter, outside: Counter) -> None:
 
 
 #: Pseudo-counts (inside, outside) of keys without labelled pages behind them.
-PRIOR = {"t:p": (4, 1), "w:p": (6, 1), "t:li": (1, 2), "w:li": (1, 1), "t:a": (1, 4), "w:a": (1, 4), "t:div": (1, 2), "w:body": (1, 1)}
+PRIOR = {"t:p": (4, 1), "w:p": (6, 1), "t:li": (1, 2), "w:li": (1, 1), "t:a": (1, 4), "w:a": (1, 4), "t:div": (1, 2), "w:body": (1, 1), "w:hint": (1, 2)}
 
 
 def weights(inside: dict[str, float], outside: dict[str, float]) -> dict[str, float]:
     """Words: 0.02 to 1.02, tags: -4.02 to -0.02, by the smoothed share inside marked content."""
     out = {}
-    for key in {f"{k}:{t}" for k in "tw" for t in (*BLOCKS, *INLINE, "other", "body")}:
+    for key in {f"{k}:{t}" for k in "tw" for t in (*BLOCKS, *INLINE, "other", "body", "hint")}:
         a, b = PRIOR.get(key, (3, 1) if key[2] == "h" or key[2:] in INLINE else (1, 1))
         share = (inside.get(key, 0) + a) / (inside.get(key, 0) + outside.get(key, 0) + a + b)
         out[key] = 0.02 + share if key[0] == "w" else -0.02 - 4 * (1 - share) ** 2
     return out
 
 
-def main_text(page: str | None, weight: dict[str, float]) -> str:
-    """Text of the best-scoring region, blocks joined by one space."""
-    found = events(page or "")
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(from, to) of the contiguous run with the largest sum above 0, the first of equal ones; (0, 0) without one."""
     best, best_from, best_to, total, begin = 0.0, 0, 0, 0.0, 0
-    for i, (key, text, _, hidden, _) in enumerate(found):
-        if hidden:
-            continue
+    for i, x in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, i
-        total += weight[key] * (len(text.split()) if text else key[0] == "t")
+        total += x
         if total > best + 1e-12:
             best, best_from, best_to = total, begin, i + 1
+    return best_from, best_to
+
+
+def main_text(page: str | None, weight: dict[str, float]) -> str:
+    """Text of the best-scoring region, blocks joined by one space."""
+    found = events(page or "")
+    # left-out elements are neutral
+    begin, end = best_region([0.0 if hidden else weight[key] * (len(text.split()) if text else key[0] == "t") for key, text, _, hidden, _ in found])
     parts = []
-    for key, text, block, hidden, _ in found[best_from:best_to]:
+    for _, text, block, hidden, _ in found[begin:end]:
         if block:
             parts.append(" ")
         if text and not hidden:
@@ -177,7 +271,7 @@ def learn_weights(pages: DataFrame, id_col: str, html_col: str, max_pages: int =
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weight: dict[str, float] | None = None) -> DataFrame:
     """One row per page: id, url, text, n_chars (code points).
 
-    Null or empty html, or a page without words: empty text.  Whole pages are
+    Unclosed elements end with the element around them.  Null or empty html, or a page without words: empty text.  Whole pages are
     read whatever their length.  Ties between regions: the first one.  Repeated
     rows give repeated results; an empty table an empty one.  Columns other
     than the three named ones are ignored.  ``weight`` skips the learning.
