@@ -1,5 +1,7 @@
 """Operators against plain rewritings of their methods, and odd inputs."""
 
+import dataclasses
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -8,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tickweave.llm import hilbert_ann, html_extract, ngram_join, toxicity
+from tickweave.llm import hilbert_ann, html_extract, ngram_join, secrets, toxicity
 from tickweave.llm.text import word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -197,3 +199,31 @@ def test_pages_with_ordinary_markup():
     assert html_extract.main_text(deep, weight).count("word") == 300
     long = f"<article>{art * 400}</article>"
     assert html_extract.main_text(long, weight).count("word") == 300 * 400
+
+
+def test_a_second_run_scans_only_unseen_pairs(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    kinds = [r.kind for r in secrets.BASE_RULES]
+    first = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "token = abcdefgh1"), (3, None)], "p long, t string")
+    out = secrets.scan_with_ledger(first, "p", "t", path, first=True)
+    assert sorted((r["path"], r["s"]) for r in out.select("path", secrets.listed(kinds).alias("s")).collect()) == [(1, "assign:0:17"), (2, "assign:0:17"), (3, "")]
+    assert spark.read.parquet(path).count() == 2 * 3
+    # the next version: one new text, two old ones under other paths, and a newer version of one rule
+    newer = tuple(dataclasses.replace(r, version=2) if r.kind == "hex" else r for r in secrets.BASE_RULES)
+    second = spark.createDataFrame([(1, "token = abcdefgh1"), (7, "x " + "f" * 40), (8, "")], "p long, t string")
+    unseen = secrets.scan_unseen(second, "t", spark.read.parquet(path), newer)
+    old, new = hashlib.sha256(b"token = abcdefgh1").hexdigest(), hashlib.sha256(b"x " + b"f" * 40).hexdigest()
+    assert {(r["blob"], r["rule"]) for r in unseen.collect()} == {(old, "hex@2"), (hashlib.sha256(b"").hexdigest(), "hex@2"), (new, "assign@1"), (new, "access@1"), (new, "hex@2")}
+    out = secrets.scan_with_ledger(second, "p", "t", path, first=False, rules=newer)
+    assert sorted((r["path"], r["s"]) for r in out.select("path", secrets.listed(kinds).alias("s")).collect()) == [(1, "assign:0:17"), (7, "hex:2:42"), (8, "")]
+    assert spark.read.parquet(path).count() == 6 + 5 and secrets.scan_unseen(second, "t", spark.read.parquet(path), newer).isEmpty()
+
+
+def test_secrets_of_a_very_long_text(spark):
+    piece = "é token = abcdefgh1, " + "0" * 40 + " pw token:x\n"
+    text = piece * 3000
+    found, _ = secrets.scan_versions(spark.createDataFrame([(1, text)], "p long, t string"), "p", "t")
+    row = found.head()
+    n = len(piece)
+    assert [(s["start"], s["stop"]) for s in row["assign"]] == [(i * n + 2, i * n + 19) for i in range(3000)]
+    assert [(s["start"], s["stop"]) for s in row["hex"]] == [(i * n + 21, i * n + 61) for i in range(3000)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm import exact_topk, hilbert_ann, html_extract, mixing, ngram_join, packing, secrets, toxicity, url_rules, warc
-from tickweave.llm.common import read
+from tickweave.llm.common import read, scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,7 +23,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan_versions(read(spark, sf_dir, "documents"), "doc_id", "text")
+    findings = secrets.scan_with_ledger(read(spark, sf_dir, "documents"), "doc_id", "text", scratch_path(spark, "secret-ledger"), first=True)
     kinds = [r.kind for r in secrets.BASE_RULES]
     text = secrets.listed(kinds)
     return findings.select(

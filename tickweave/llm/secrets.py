@@ -3,7 +3,9 @@
 Every historical version of every path is addressed by the SHA-256 of its
 text.  A blob is scanned once for each rule version, whatever number of paths
 and versions hold it; pairs that an earlier run has in its ledger are not
-scanned again.  Findings join back to all paths.  Built-in functions only.
+scanned again.  The ledger is a Parquet table of (blob, rule version, spans)
+in a shared folder, which every run reads and appends to; findings are what it
+says about the blobs, joined back to all paths.  Built-in functions only.
 """
 
 from __future__ import annotations
@@ -11,12 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import text_or_empty
+from tickweave.llm.common import cut, text_or_empty
 
 SPAN = "array<struct<start:bigint,stop:bigint>>"
+FOLD = 256
 
 
 @dataclass(frozen=True)
@@ -57,16 +60,61 @@ def _match_spans(text: Column, rule: Rule) -> Column:
         matches,
         lambda m: F.struct(F.length(m).cast("long").alias("n"), (F.length(m if rule.group == 0 else F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least).alias("kept")),
     )
-    zipped = F.zip_with(between, pairs, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+    zipped = F.zip_with(between, pairs, lambda gap, m: F.struct(F.coalesce(gap, F.lit(0).cast("long")).alias("gap"), F.coalesce(m["n"], F.lit(0).cast("long")).alias("n"), F.coalesce(m["kept"], F.lit(False)).alias("kept")))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.coalesce(x["gap"], F.lit(0).cast("long"))
-        stop = start + F.coalesce(x["m"]["n"], F.lit(0).cast("long"))
-        grown = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))
-        return F.struct(stop.alias("at"), F.when(F.coalesce(x["m"]["kept"], F.lit(False)), grown).otherwise(acc["spans"]).alias("spans"))
+        start = acc["at"] + x["gap"]
+        stop = start + x["n"]
+        return F.struct(stop.alias("at"), F.when(x["kept"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))).otherwise(acc["spans"]).alias("spans"))
+
+    def placed(all_: Column) -> Column:
+        # folds copy what they have gathered, so they run over slices of FOLD matches
+        slices = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(all_) - 1) / FOLD).cast("int"))), lambda i: F.slice(all_, i * FOLD + 1, F.lit(FOLD)))
+        lengths = F.transform(slices, lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda acc, x: acc + x["gap"] + x["n"]))
+        offsets = F.aggregate(
+            lengths, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"],
+        )
+        return F.flatten(F.zip_with(slices, offsets, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])))
+
+    return F.transform(F.array(zipped), placed)[0]
+
+
+def scan_unseen(versions: DataFrame, text_col: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """Additions to the ledger: blob, rule (kind@version), spans of each pair that the ledger lacks, empty spans included."""
+    text = text_or_empty(text_col)
+    blob = F.sha2(text.cast("binary"), 256)
+    blobs = versions.select(blob.alias("blob"), text.alias("text"))
+    if ledger is None:
+        new = {r: F.lit(True) for r in rules}
+    else:
+        known = ledger.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(*[F.bool_or(F.col("rule") == r.key).alias(f"_{r.kind}") for r in rules])
+        full = known.filter(reduce(Column.__and__, [F.col(f"_{r.kind}") for r in rules]))
+        # digests alone tell which blobs have something to scan; only their texts move
+        unseen = versions.select(blob.alias("blob")).distinct().join(full, "blob", "left_anti").join(known, "blob", "left")
+        blobs = blobs.join(unseen, "blob")
+        new = {r: ~F.coalesce(F.col(f"_{r.kind}"), F.lit(False)) for r in rules}
+    blobs = blobs.dropDuplicates(["blob"])
+    none = F.array().cast(SPAN)
+    entries = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.when(new[r] & F.col("text").rlike(r.sure), _match_spans(F.col("text"), r)).otherwise(none).alias("spans"), new[r].alias("new")) for r in rules])
+    return blobs.select("blob", F.explode(entries).alias("e")).filter("e.new").select("blob", "e.rule", "e.spans")
 
-    return F.aggregate(zipped, empty, step, lambda acc: acc["spans"])
+
+def findings_of(versions: DataFrame, path_col: str, text_col: str, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """path, blob, and for each rule an array ``kind`` of (start, stop), of every row: what the ledger says about its blob."""
+    held = ledger.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
+    found = held.groupBy("blob").agg(*[F.max(F.when(F.col("rule") == r.key, F.col("spans"))).alias(r.kind) for r in rules])
+    paths = versions.select(F.col(path_col).alias("path"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("blob"))
+    return paths.join(found, "blob", "left").select("path", "blob", *[F.coalesce(F.col(r.kind), F.array().cast(SPAN)).alias(r.kind) for r in rules])
+
+
+def scan_with_ledger(versions: DataFrame, path_col: str, text_col: str, ledger_path: str, first: bool, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """One run: reads the ledger (none yet, if it is the first), scans unseen pairs, appends them, and gives all rows' findings."""
+    spark: SparkSession = versions.sparkSession
+    known = None if first else spark.read.parquet(ledger_path)
+    scan_unseen(versions, text_col, known, rules).write.mode("append").parquet(ledger_path)
+    return findings_of(versions, path_col, text_col, spark.read.parquet(ledger_path), rules)
 
 
 def scan_versions(versions: DataFrame, path_col: str, text_col: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> tuple[DataFrame, DataFrame]:
@@ -81,27 +129,9 @@ def scan_versions(versions: DataFrame, path_col: str, text_col: str, ledger: Dat
     row each.  An empty table gives empty results.  Two rules' spans may
     overlap, one rule's may not.  Other columns are ignored.
     """
-    text = text_or_empty(text_col)
-    blob = F.sha2(text.cast("binary"), 256)
-    blobs = versions.select(blob.alias("blob"), text.alias("text")).dropDuplicates(["blob"])
-    if ledger is None:
-        seen = {r: F.lit(None).cast(SPAN) for r in rules}
-    else:
-        known = ledger.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(*[F.max(F.when(F.col("rule") == r.key, F.col("spans"))).alias(f"_{r.kind}") for r in rules])
-        blobs = blobs.join(known, "blob", "left")
-        seen = {r: F.col(f"_{r.kind}") for r in rules}
-    none = F.array().cast(SPAN)
-    scanned = blobs.select(
-        "blob",
-        *[F.coalesce(seen[r], F.when(F.col("text").rlike(r.sure), _match_spans(F.col("text"), r)).otherwise(none)).alias(r.kind) for r in rules],
-        *[seen[r].isNull().alias(f"_new_{r.kind}") for r in rules],
-    )
-    found = scanned.filter(reduce(Column.__or__, [F.size(r.kind) > 0 for r in rules])).select("blob", *[r.kind for r in rules])
-    paths = versions.select(F.col(path_col).alias("path"), blob.alias("blob"))
-    findings = paths.join(found, "blob", "left").select("path", "blob", *[F.coalesce(F.col(r.kind), none).alias(r.kind) for r in rules])
-    entries = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.col(r.kind).alias("spans"), F.col(f"_new_{r.kind}").alias("new")) for r in rules])
-    additions = scanned.select("blob", F.explode(entries).alias("e")).filter("e.new").select("blob", "e.rule", "e.spans")
-    return findings, additions
+    additions = cut(scan_unseen(versions, text_col, ledger, rules))
+    full = additions if ledger is None else ledger.select("blob", "rule", "spans").unionByName(additions)
+    return findings_of(versions, path_col, text_col, full, rules), additions
 
 
 def listed(kinds: list[str]) -> Column:
