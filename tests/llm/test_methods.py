@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tickweave.llm import hilbert_ann, html_extract, ngram_join, secrets, toxicity
+from tickweave.llm import hilbert_ann, html_extract, ngram_join, secrets, toxicity, warc
 from tickweave.llm.text import word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -227,3 +228,26 @@ def test_secrets_of_a_very_long_text(spark):
     n = len(piece)
     assert [(s["start"], s["stop"]) for s in row["assign"]] == [(i * n + 2, i * n + 19) for i in range(3000)]
     assert [(s["start"], s["stop"]) for s in row["hex"]] == [(i * n + 21, i * n + 61) for i in range(3000)]
+
+
+def test_archive_of_odd_rows_and_damaged_payloads(spark, tmp_path):
+    rows = [(1, "u", "a\r\n\r\nb", 1), (1, "u", "a\r\n\r\nb", 1), (2, "u", "tiny", 1), (3, "v", "tiny", 1), (4, None, "long enough é", 1), (5, "w", "long enough é", 1), (6, "x", None, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, sha256 int")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.archive_and_read(df, revisit_from_bytes=5, path=str(tmp_path / "w")).collect())
+    assert got == [(1, "response", None, 6), (1, "response", None, 6), (2, "response", None, 4), (3, "response", None, 4), (4, "revisit", 5, 14), (5, "response", None, 14), (6, "response", None, 0)]
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.read_records(spark, str(tmp_path / "w"), warc.n_buckets(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    records = {r["page_id"]: bytes(r["record"]) for r in warc.read_records(spark, str(tmp_path / "w")).collect()}
+    assert records[1].endswith(b"\r\n\r\na\r\n\r\nb\r\n\r\n") and records[4].endswith(b"\r\n\r\n\r\n\r\n") and b"WARC-Target-URI" not in records[4]
+    stored = spark.read.parquet(str(tmp_path / "w" / "payloads"))
+    damaged = stored.withColumn("data", F.when(F.length("data") == 4, F.lit(b"tinY")).otherwise(F.col("data")))
+    damaged.write.parquet(str(tmp_path / "d" / "payloads"))
+    spark.read.parquet(str(tmp_path / "w" / "headers")).write.parquet(str(tmp_path / "d" / "headers"))
+    for read in (warc.read_payloads, warc.read_records):
+        with pytest.raises(Exception, match="payload differs from its digest"):
+            read(spark, str(tmp_path / "d")).collect()

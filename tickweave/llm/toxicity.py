@@ -37,6 +37,8 @@ DEVIATIONS = (2.0, 4.0, 6.0, 8.0)
 COPY = 0.8
 #: Bitmaps of a word's context sketch: 16 tell the number of distinct contexts to about 20 percent.
 BITMAPS = 16
+#: Expressions that a task groups before it hands them on.
+ROWS_AT_ONCE = 1_500_000
 _START = np.uint64(0x51ED270B35A1F0C3)
 _OTHER = np.uint64(0)  # stands for every word outside the vocabulary
 
@@ -199,25 +201,34 @@ def _counts(training: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
     """
     shared = training.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def grouped(parts: list[tuple]) -> pd.DataFrame:
+        h, w, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, group, total = np.unique(bigram_key(h, w), return_index=True, return_inverse=True, return_counts=True)
+        ones = np.bincount(group, weights=cls, minlength=len(at)).astype(np.int64)
+        return pd.DataFrame({"h": h[at].view(np.int64), "w": w[at].view(np.int64), "c0": total - ones, "c1": ones})
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
         for batch in batches:
             texts, toxic = batch["text"].to_list(), batch["toxic"].to_numpy()
-            for part in chunks(texts, 20_000_000):
+            for part in chunks(texts):
                 previous, words, owner = expressions(texts[part])
                 if shared.value is None:
                     previous = np.zeros_like(words)
                 else:
                     inside = (places(shared.value, previous) < len(shared.value)) | (previous == _START)
                     previous, words, owner = previous[inside], words[inside], owner[inside]
-                if not len(words):
-                    continue
                 first = distinct_in_texts(bigram_key(previous, words), owner)
                 h, w, cls = previous[first], words[first], toxic[part][owner[first]]
                 if shared.value is not None:
                     w[places(shared.value, w) == len(shared.value)] = _OTHER
-                _, at, group, total = np.unique(bigram_key(h, w), return_index=True, return_inverse=True, return_counts=True)
-                ones = np.bincount(group, weights=cls, minlength=len(at)).astype(np.int64)
-                yield pd.DataFrame({"h": h[at].view(np.int64), "w": w[at].view(np.int64), "c0": total - ones, "c1": ones})
+                parts.append((h, w, cls))
+                size += len(h)
+                if size > ROWS_AT_ONCE:
+                    yield grouped(parts)
+                    parts, size = [], 0
+        if size:
+            yield grouped(parts)
 
     rows = training.select("text", "toxic").mapInPandas(counted, "h long, w long, c0 long, c1 long")
     return rows.groupBy("h", "w").agg(F.sum("c0").cast("double").alias("c0"), F.sum("c1").cast("double").alias("c1"))
@@ -236,7 +247,7 @@ def context_sketches(docs: DataFrame, text_col: str, vocabulary: np.ndarray) ->
         maps = np.zeros((len(keys) + 1, BITMAPS), np.uint32)
         for batch in batches:
             texts = batch["text"].to_list()
-            for part in chunks(texts, 4_000_000):
+            for part in chunks(texts):
                 previous, words, _ = expressions(texts[part])
                 g = mix(previous ^ np.uint64(0xA0761D6478BD642F))
                 x = (g >> np.uint64(16)).astype(np.uint32) | np.uint32(1 << 31)
