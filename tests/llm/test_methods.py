@@ -2,6 +2,7 @@
 
 import dataclasses
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickweave.llm import hilbert_ann, html_extract, ngram_join, secrets, toxicity, warc
+from tickweave.llm import hilbert_ann, html_extract, ngram_join, secrets, toxicity, url_rules, warc
 from tickweave.llm.text import word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -251,3 +252,50 @@ def test_archive_of_odd_rows_and_damaged_payloads(spark, tmp_path):
     for read in (warc.read_payloads, warc.read_records):
         with pytest.raises(Exception, match="payload differs from its digest"):
             read(spark, str(tmp_path / "d")).collect()
+
+
+def _plain_rules(urls, least, confidence, most=3):
+    """Minimal token sets for blocking by looking at all sets of up to three tokens."""
+    where = defaultdict(set)
+    for i, (tokens, _) in enumerate(urls):
+        for t in tokens:
+            where[t].add(i)
+    groups = defaultdict(list)
+    for t, at in where.items():
+        if len(at) >= least:
+            groups[frozenset(at)].append(t)
+    items = {min(g, key=lambda t: (len(t), t)): at for at, g in groups.items()}
+    found = {}
+    for size in range(1, most + 1):
+        for some in itertools.combinations(sorted(items), size):
+            at = frozenset.intersection(*[items[t] for t in some])
+            hits = sum(urls[i][1] for i in at)
+            if hits >= least and hits >= confidence * len(at) - 1e-12 and not any(set(k) < set(some) for k in found):
+                found[some] = hits / len(at)
+    return found
+
+
+def test_mined_rules_equal_plain_mining(spark):
+    rng = np.random.default_rng(17)
+    urls = []
+    for i in range(400):
+        tokens = {f"host={'a' if i % 3 else 'b'}.io", "scheme=http"} | {f"path=p{int(x)}" for x in rng.integers(0, 8, 3)}
+        urls.append((sorted(tokens), bool(("path=p1" in tokens and "path=p2" in tokens) or ("path=p5" in tokens and i % 3 == 0)) ^ bool(rng.random() < 0.05)))
+    df = spark.createDataFrame(urls, "tokens array<string>, block boolean")
+    got = {tuple(r["antecedent"]): r["confidence"] for r in url_rules.mine_rules(df, "tokens", "block", 0.01, 0.8).collect()}
+    want = _plain_rules(urls, 5, 0.8)
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    # one url of many tokens, repeated: its tokens are one item
+    deep = spark.createDataFrame([([f"path=t{i:02d}" for i in range(40)], True)] * 20 + [(["x"], False)] * 20, "tokens array<string>, block boolean")
+    assert [r["antecedent"] for r in url_rules.mine_rules(deep, "tokens", "block").collect()] == [["path=t00"]]
+    assert url_rules.mine_rules(df, "tokens", "block", 0.99).isEmpty() and url_rules.mine_rules(df.limit(0), "tokens", "block").isEmpty()
+
+
+def test_judging_odd_urls(spark):
+    long = "http://" + ".".join(["d"] * 30) + "/" + "/".join(f"s{i}" for i in range(3000)) + "?" + "&".join(f"k{i}=1" for i in range(500))
+    pages = spark.createDataFrame([(i, long, 1, 2) for i in range(30)] + [(None, "http://a.net/", 1, 2), (50, "", 1, 2), (50, "", 1, 2)], "page_id long, url string, verdict int, block int")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(30)], "doc_id long, quality int, toxic int")
+    out = url_rules.judge(pages, labels)
+    got = out.collect()
+    assert len(got) == 33 and {r["verdict"] for r in got if r["page_id"] is not None and r["page_id"] < 30} == {"block"}
+    assert url_rules.judge(pages.limit(0), labels).count() == 0
