@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickweave.llm import hilbert_ann, html_extract, ngram_join, secrets, toxicity, url_rules, warc
+from tickweave.llm import hilbert_ann, html_extract, ngram_join, packing, queries, secrets, toxicity, url_rules, warc
 from tickweave.llm.text import word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -299,3 +299,15 @@ def test_judging_odd_urls(spark):
     got = out.collect()
     assert len(got) == 33 and {r["verdict"] for r in got if r["page_id"] is not None and r["page_id"] < 30} == {"block"}
     assert url_rules.judge(pages.limit(0), labels).count() == 0
+
+
+def test_buckets_are_matrices_without_padding(spark, tmp_path):
+    rows = [(i, "word " * (i * 37 % 1500), 1, 2) for i in range(40)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, bucket int, length int").repartition(3), queries.TOKENIZER)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b")).toPandas()
+    assert not back.duplicated(["bucket", "bucket_sequence"]).any() and (back["bucket"] == back["length"]).all()
+    for length, part in back.groupby("bucket"):
+        assert np.stack([np.frombuffer(b, "<u4") for b in part["ids"]]).shape == (len(part), length)
+    empty = packing.pack(spark.createDataFrame([], "doc_id long, text string"), queries.TOKENIZER)
+    assert empty.count() == 0 and empty.columns == pieces.columns

@@ -2,8 +2,8 @@
 
 A document's token count is written as full sequences plus the powers of two
 of its remainder; each piece is a sequence of its own.  Sequences of equal
-length form a bucket, so batches need no padding and no sequence crosses
-documents.  Map-only: no shuffle, no state between documents.
+length form a bucket and are numbered in it, so batches of a bucket need no
+padding and no sequence crosses documents.  Map-only: no shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +155,10 @@ def _tokenizer(path: str) -> CachedTokenizer:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian uint32 bytes), doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian uint32 bytes), doc_tokens, sequence_id, offset, bucket, bucket_sequence.
+
+    bucket is the length that a sequence shares with all others of its bucket,
+    bucket_sequence its number there (unique, with gaps between tasks).
 
     Null text is empty and gives one piece that holds the end id alone.  Whole
     texts are encoded whatever their length.  Repeated rows are packed once
@@ -165,6 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
+        seen = np.full(longest.bit_length(), TaskContext.get().partitionId() << 33, np.int64)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             block = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // BLOCK_BYTES
@@ -176,16 +181,27 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 lengths, n_pieces = decompose(counts + 1, longest)
                 ends = np.cumsum(lengths)
                 owner = np.repeat(np.arange(b - a), n_pieces)
+                numbers, bucket = np.empty(len(lengths), np.int64), np.log2(lengths).astype(np.int64)
+                for x in np.unique(bucket):
+                    own = np.flatnonzero(bucket == x)
+                    numbers[own] = seen[x] + np.arange(len(own))
+                    seen[x] += len(own)
                 start = ends - lengths - (np.cumsum(counts + 1) - counts - 1)[owner]
                 for c in range(0, len(lengths), MAX_PIECES):
                     part = slice(c, c + MAX_PIECES)
                     begin = int(ends[c] - lengths[c])
                     offsets = np.concatenate(([0], (ends[part] - begin) * 4)).astype(np.int32)
                     pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[begin : ends[part][-1]])])
-                    columns = [doc_ids.slice(a, b - a).take(pa.array(owner[part])), pa.array(start[part]), pa.array(lengths[part]), pieces, pa.array((counts + 1)[owner[part]])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens"])
+                    columns = [doc_ids.slice(a, b - a).take(pa.array(owner[part])), pa.array(start[part]), pa.array(lengths[part]), pieces, pa.array((counts + 1)[owner[part]]), pa.array(numbers[part])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "bucket_sequence"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = rows.mapInArrow(packed, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    pieces = rows.mapInArrow(packed, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket_sequence long")
     # one sequence for each piece: numbers are unique in the job, and a task that runs again gives the same ones
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pieces = pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", F.col("length").cast("int").alias("bucket"), "bucket_sequence")
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """A folder for each length: what is read from one is a matrix of token ids without padding."""
+    pieces.write.partitionBy("bucket").parquet(path)

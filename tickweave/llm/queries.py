@@ -15,14 +15,17 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; empty for null html."""
     return html_extract.extract_main_text(read(spark, sf_dir, "pages"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked inclusion probability and draw of every document."""
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by one ledger run; no spans for null or empty texts."""
     findings = secrets.scan_with_ledger(read(spark, sf_dir, "documents"), "doc_id", "text", scratch_path(spark, "secret-ledger"), first=True)
     kinds = [r.kind for r in secrets.BASE_RULES]
     text = secrets.listed(kinds)
@@ -32,31 +35,38 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer products of every vector whose id is divisible by 100."""
     return exact_topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
     return hilbert_ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece of every document's token ids; an empty one has its end id."""
     pieces = packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "bucket_sequence")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page from its rebuilt WARC record; null html is an empty payload."""
     return warc.archive_and_read(read(spark, sf_dir, "pages"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fixed rule and verdict of every page; null urls have empty parts."""
     return url_rules.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by models that never see the held-out fold."""
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
