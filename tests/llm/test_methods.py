@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickweave.llm import hilbert_ann, html_extract, ngram_join, packing, queries, secrets, toxicity, url_rules, warc
+from tickweave.llm import exact_topk, hilbert_ann, html_extract, ngram_join, packing, queries, secrets, toxicity, url_rules, warc
 from tickweave.llm.text import word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -311,3 +311,18 @@ def test_buckets_are_matrices_without_padding(spark, tmp_path):
         assert np.stack([np.frombuffer(b, "<u4") for b in part["ids"]]).shape == (len(part), length)
     empty = packing.pack(spark.createDataFrame([], "doc_id long, text string"), queries.TOKENIZER)
     assert empty.count() == 0 and empty.columns == pieces.columns
+
+
+def test_topk_of_mixed_dimensions_and_large_components(spark):
+    rng = np.random.default_rng(2)
+    big = [[float(x) for x in rng.integers(-(2**19), 2**19, 4)] for _ in range(30)]  # products beyond 2^53
+    rows = [(i, v, 1) for i, v in enumerate(big)] + [(100 + i, [float(x) for x in rng.normal(0, 10 ** (i % 4), 6)], 1) for i in range(200)] + [(400, [0.0] * 6, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim int")
+    got = exact_topk.top_k(df, F.col("vec_id") % 5 == 0, block_rows=16, query_rows=8).collect()
+    whole = {i: [math.floor(x * 1024) for x in v] for i, v, _ in rows}
+    for q in [i for i in whole if i % 5 == 0]:
+        want = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q and len(w) == len(whole[q]))[:10]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in want], q
+    huge = spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e16, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="range of a long"):
+        exact_topk.top_k(huge, F.lit(True)).collect()

@@ -5,9 +5,10 @@ Vectors become integers, floor(1024 * x).  Candidates are grouped by length
 A first pass over the block with the longest vectors gives each query a lower
 bound of its k-th score.  For each pair of a candidate and a query block the
 bound turns into a local cosine threshold, bound / (|q| * longest in block):
-over 1 the block is skipped; from HIGH_COSINE on, candidates are pruned by
-the query's strongest coordinate; below, by length alone.  Products of what
-remains are computed exactly, and lists merge by score and smaller id.
+over 1 for every query of a block the pair is skipped, before any matrix
+moves; from HIGH_COSINE on, candidates are pruned by the query's strongest
+coordinate; below, by length alone.  Products of what remains are computed
+exactly, and lists merge by score and smaller id.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
     blocks = cut(to_blocks(rows.select((place["o"] + F.pmod(F.xxhash64("id"), place["n"])).alias("grp"), "id", "vec"), "<i8"))
     n_query = F.create_map(*[x for d, q in queries.items() for x in (F.lit(d), F.lit(max(1, -(-q // query_rows))).cast("long"))])
     slot = F.col("dim").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("id", F.lit(7)), n_query[F.col("dim")])
-    query_blocks = to_blocks(rows.filter("is_query").select(slot.alias("grp"), "id", "vec"), "<i8").selectExpr("ids q_ids", "mat q_mat", "dim", "most q_most")
+    query_blocks = to_blocks(rows.filter("is_query").select(slot.alias("grp"), "id", "vec"), "<i8").selectExpr("grp q_grp", "ids q_ids", "mat q_mat", "dim")
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in batches_of_rows(batches):
@@ -105,21 +106,27 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
             q_ids, q = unpack(r.q_ids, r.q_mat, r.dim, "<i8")
             scores = _products(c, q)
             low = np.full(len(q_ids), np.iinfo(np.int64).min, np.int64)
+            q_norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
             for j in range(len(q_ids)):
                 own = scores[ids != q_ids[j], j]
                 if len(own) >= k:
                     low[j] = np.partition(own, -k)[-k]
-            yield pd.DataFrame([{"q_ids": r.q_ids, "q_mat": r.q_mat, "dim": r.dim, "q_most": r.q_most, "low": low.tobytes(), "low_min": int(low.min())}])
+            # the length that the longest vector of a block needs before any of these queries can find something there
+            reach = np.where(low <= 0, 0.0, (low - 1.0) / np.maximum(q_norm * (1 + 1e-9), 1e-300)).min()
+            yield pd.DataFrame([{"q_grp": r.q_grp, "q_ids": r.q_ids, "q_mat": r.q_mat, "dim": r.dim, "low": low.tobytes(), "reach": float(reach)}])
 
     # One block of at most block_rows vectors for each dimension: a bounded broadcast.
     longest = blocks.filter(F.col("grp").isin(list(first.values()))).select("ids", "mat", "dim")
     # pmod may leave the first block of a bucket empty; the outer join keeps its queries, without a bound
-    bounded = query_blocks.join(F.broadcast(longest), "dim", "left").select("q_ids", "q_mat", "dim", "q_most", F.coalesce("ids", F.lit(b"")).alias("ids"), F.coalesce("mat", F.lit(b"")).alias("mat"))
-    bounded = cut(bounded.mapInPandas(bounds, "q_ids binary, q_mat binary, dim int, q_most double, low binary, low_min long"))
+    bounded = query_blocks.join(F.broadcast(longest), "dim", "left").select("q_grp", "q_ids", "q_mat", "dim", F.coalesce("ids", F.lit(b"")).alias("ids"), F.coalesce("mat", F.lit(b"")).alias("mat"))
+    bounded = cut(bounded.mapInPandas(bounds, "q_grp long, q_ids binary, q_mat binary, dim int, low binary, reach double"))
     last = {d: max(o + n for (dd, _), (o, n) in plan.items() if dd == d) for d in queries}
     ends = F.create_map(*[x for d in queries for x in (F.lit(d), F.array(F.lit(first[d]).cast("long"), F.lit(last[d] - 1).cast("long")))])[F.col("dim")]
-    asked = bounded.select(F.explode(F.sequence(ends[0], ends[1])).alias("grp"), "q_ids", "q_mat", "q_most", "low", "low_min")
-    pairs = blocks.join(asked, "grp").filter(F.col("most") * F.col("q_most") * (1 + 1e-9) + 1 >= F.col("low_min"))
+    # pairs of block numbers are pruned before any matrix moves
+    asked = bounded.select("q_grp", "reach", F.explode(F.sequence(ends[0], ends[1])).alias("grp"))
+    needed = asked.join(blocks.select("grp", "most"), "grp").filter("most >= reach").select("grp", "q_grp")
+    pairs = needed.join(bounded.select("q_grp", "q_ids", "q_mat", "low"), "q_grp").join(blocks, "grp")
+    pairs = pairs.select("ids", "mat", "dim", "q_ids", "q_mat", "low")
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in batches_of_rows(batches):
