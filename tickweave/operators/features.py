@@ -1,7 +1,8 @@
 """Microstructure factors, event-time labels and fill labels.
 
-Windows are keyed by symbol and segment, so nothing crosses a roll; an offset
-row further than one available day away counts as absent.
+Windows are keyed by symbol, segment and trading day, so nothing crosses a roll
+and a segment's days are worked on apart.  An offset may reach into one
+neighbouring available day: its last or first rows are lent to the day.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -17,9 +20,8 @@ from tickweave.functions.scalars import short_id
 from tickweave.sources.ticks import LEVELS
 
 
-
 def series() -> WindowSpec:
-    return Window.partitionBy("symbol", "segment_id").orderBy("datetime_ns", "row_hash")
+    return Window.partitionBy("symbol", "segment_id", "trading_day").orderBy("datetime_ns", "row_hash")
 
 
 @dataclass(frozen=True)
@@ -49,14 +51,12 @@ def _sum(parts: list[Column]) -> Column:
 
 
 def before(column: Column, n: int) -> Column:
-    """Value n rows back in the segment, null beyond the previous available day."""
-    near = F.lag("day_ordinal", n).over(series()) >= F.col("day_ordinal") - 1
-    return F.when(near, F.lag(column, n).over(series()))
+    """Value n rows back in the segment, null beyond the previous available day; for rows of with_neighbours."""
+    return F.lag(column, n).over(series())
 
 
 def after(column: Column, n: int) -> Column:
-    near = F.lead("day_ordinal", n).over(series()) <= F.col("day_ordinal") + 1
-    return F.when(near, F.lead(column, n).over(series()))
+    return F.lead(column, n).over(series())
 
 
 def mid() -> Column:
@@ -106,7 +106,7 @@ def _return_10() -> Column:
 @register_factor("volatility_20", ("bid_price1", "ask_price1"), 20)
 def _volatility_20() -> Column:
     frame = series().rowsBetween(-19, 0)
-    near = F.lag("day_ordinal", 20).over(series()) >= F.col("day_ordinal") - 1
+    near = F.lag(F.lit(1), 20).over(series()).isNotNull()
     return F.when(near & (F.count("_ret").over(frame) == 20), F.stddev_samp("_ret").over(frame))
 
 
@@ -126,20 +126,33 @@ def _book_slope() -> Column:
     return F.when(b + a > 0, F.try_divide(b - a, b + a)).otherwise(0.0)
 
 
-def with_day_ordinal(ticks: DataFrame) -> DataFrame:
-    """Column day_ordinal: number of the day among the symbol's available days (a join with the small day table)."""
-    days = ticks.select("symbol", "trading_day").distinct()
-    numbered = days.withColumn("day_ordinal", F.row_number().over(Window.partitionBy("symbol").orderBy("trading_day")))
-    return ticks.join(numbered, ["symbol", "trading_day"])
-
+def with_neighbours(ticks: DataFrame, back: int, ahead: int, days: DataFrame | None = None) -> DataFrame:
+    """Ticks, and to each (symbol, segment, day) the last ``back`` and first ``ahead`` rows of the symbol's neighbouring available days of the segment.
 
-def compute_factors(ticks: DataFrame, names: list[str] | None = None, keep: tuple[str, ...] = ("symbol", "trading_day", "datetime_ns", "row_hash", "segment_id")) -> DataFrame:
-    """All factors in one pass; one shuffle on (symbol, segment)."""
+    Column own is false for lent rows.  days: symbol, trading_day of the
+    available days (the rollup has them); without it they are gathered from
+    the ticks.  Lending moves at most back + ahead rows for each day.
+    """
+    days = (ticks if days is None else days).select("symbol", "trading_day").distinct()
+    by = Window.partitionBy("symbol").orderBy("trading_day")
+    near = days.select("symbol", "trading_day", F.lead("trading_day").over(by).alias("_next"), F.lag("trading_day").over(by).alias("_previous"))
+    rows = ticks.withColumn("own", F.lit(True))
+    for n, order, target in ((back, [F.desc("datetime_ns"), F.desc("row_hash")], "_next"), (ahead, ["datetime_ns", "row_hash"], "_previous")):
+        if n:
+            nth = F.row_number().over(Window.partitionBy("symbol", "segment_id", "trading_day").orderBy(*order))
+            lent = ticks.withColumn("_n", nth).filter(F.col("_n") <= n).join(near.select("symbol", "trading_day", target), ["symbol", "trading_day"]).filter(F.col(target).isNotNull())
+            rows = rows.unionByName(lent.withColumn("trading_day", F.col(target)).select(*ticks.columns, F.lit(False).alias("own")))
+    return rows
+
+
+def compute_factors(ticks: DataFrame, names: list[str] | None = None, keep: tuple[str, ...] = ("symbol", "trading_day", "datetime_ns", "row_hash", "segment_id"), days: DataFrame | None = None) -> DataFrame:
+    """All factors in one pass; one shuffle on (symbol, segment, day)."""
     names = names or list(FACTORS)
-    rows = with_day_ordinal(ticks).withColumn("_mid", mid())
+    inputs = dict.fromkeys([*keep, "symbol", "segment_id", "trading_day", "datetime_ns", "row_hash", "bid_price1", "ask_price1", *[c for n in names for c in FACTORS[n].inputs]])
+    rows = with_neighbours(ticks.select(*inputs), max(FACTORS[n].lookback for n in names), 0, days).withColumn("_mid", mid())
     if "volatility_20" in names:
         rows = rows.withColumn("_ret", F.try_divide("_mid", F.lag("_mid").over(series())) - 1)
-    return rows.select(*keep, *[FACTORS[n].build().alias(n) for n in names])
+    return rows.select("own", *keep, *[FACTORS[n].build().alias(n) for n in names]).filter("own").drop("own")
 
 
 def factor_metadata(spark: SparkSession) -> DataFrame:
@@ -154,28 +167,55 @@ def label(horizon: int, threshold: float, column: str = "_mid") -> Column:
 
 
 def compute_labels(ticks: DataFrame, horizons: tuple[int, ...] = (10, 50), k: float = 1, tick: float = 1.0) -> DataFrame:
-    rows = with_day_ordinal(ticks).withColumn("_mid", mid())
-    return rows.select("symbol", "trading_day", "datetime_ns", "row_hash", "segment_id", *[label(h, k * tick).alias(f"label_{h}") for h in horizons])
-
-
-def fill_labels(ticks: DataFrame, horizons: tuple[int, ...] = (10, 50), levels: tuple[int, ...] = (0, 1), tick: float = 1.0) -> DataFrame:
+    keys = ["symbol", "trading_day", "datetime_ns", "row_hash", "segment_id"]
+    rows = with_neighbours(ticks.select(*keys, "bid_price1", "ask_price1"), 0, max(horizons)).withColumn("_mid", mid())
+    return rows.select("own", *keys, *[label(h, k * tick).alias(f"label_{h}") for h in horizons]).filter("own").drop("own")
+
+
+def first_fills(price: np.ndarray, quotes: np.ndarray, most: int, buying: bool) -> np.ndarray:
+    """For an order at each position the number of rows until a quote is at or beyond its price, at most ``most``; 0 if none is."""
+    out = np.zeros(len(price), np.int64)
+    open_ = np.arange(len(price))
+    for k in range(1, most + 1):
+        open_ = open_[open_ + k < len(price)]
+        if not len(open_):
+            break
+        hit = quotes[open_ + k] <= price[open_] if buying else quotes[open_ + k] >= price[open_]
+        out[open_[hit]] = k
+        open_ = open_[~hit]
+    return out
+
+
+def fill_labels(ticks: DataFrame, horizons: tuple[int, ...] = (10, 50, 100, 500), levels: tuple[int, ...] = (0, 1), tick: float = 1.0) -> DataFrame:
     """A row for each tick, side and level: order price, queue, time_to_fill_h and fill_prob_h.
 
     A bid order fills at the first of the next h ticks of the day whose ask is
     at or under its price, an ask order where the bid is at or over it; a
-    missing quote counts as 0.
+    missing quote counts as 0, a missing or negative volume too.  A symbol's
+    day is one group; only offsets leave the search.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    ahead = Window.partitionBy("symbol", "trading_day").orderBy("datetime_ns", "row_hash").rowsBetween(1, max(horizons))
-    rows = ticks.select("symbol", "trading_day", "datetime_ns", "row_hash", zero("bid_price1").alias("b"), zero("ask_price1").alias("a"), zero("bid_volume1").alias("bv"), zero("ask_volume1").alias("av"))
-    rows = rows.withColumn("asks", F.collect_list("a").over(ahead)).withColumn("bids", F.collect_list("b").over(ahead))
-    orders = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(lv).alias("price_level"), (F.col(p) + sign * lv * tick).alias("order_price"), (F.col(v) * (1 + lv)).alias("queue_position")) for s, p, v, sign in (("bid", "b", "bv", -1), ("ask", "a", "av", 1)) for lv in levels])
-    rows = rows.select("symbol", "trading_day", "datetime_ns", "row_hash", "asks", "bids", F.explode(orders).alias("o")).select("*", "o.*").drop("o")
-    hit = F.when(F.col("side") == "bid", F.array_position(F.transform("asks", lambda x: x <= F.col("order_price")), F.lit(True))).otherwise(F.array_position(F.transform("bids", lambda x: x >= F.col("order_price")), F.lit(True)))
-    rows = rows.withColumn("first", F.nullif(hit, F.lit(0).cast("long"))).drop("asks", "bids")
-    for h in horizons:
-        rows = rows.withColumn(f"time_to_fill_{h}", F.when(F.col("first") <= h, F.col("first"))).withColumn(f"fill_prob_{h}", F.coalesce(F.col("first") <= h, F.lit(False)).cast("int"))
-    return rows.drop("first")
+    volume = lambda c: F.greatest(zero(c), F.lit(0.0))
+    keys = ["symbol", "trading_day", "datetime_ns", "row_hash"]
+    rows = ticks.select(*keys, zero("bid_price1").alias("b"), zero("ask_price1").alias("a"), volume("bid_volume1").alias("bv"), volume("ask_volume1").alias("av"))
+    orders = [(side, lv) for side in ("bid", "ask") for lv in levels]
+
+    def searched(day: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values(["datetime_ns", "row_hash"], ignore_index=True)
+        bid, ask = day["b"].to_numpy(), day["a"].to_numpy()
+        for side, lv in orders:
+            own, other, sign = (bid, ask, -1) if side == "bid" else (ask, bid, 1)
+            day[f"{side}_{lv}"] = first_fills(own + sign * lv * tick, other, max(horizons), side == "bid")
+        return day
+
+    found = rows.groupBy("symbol", "trading_day").applyInPandas(searched, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {s}_{lv} long" for s, lv in orders))
+    each = [
+        F.struct(F.lit(s).alias("side"), F.lit(lv).alias("price_level"), (F.col("b" if s == "bid" else "a") + (-lv if s == "bid" else lv) * tick).alias("order_price"), (F.col("bv" if s == "bid" else "av") * (1 + lv)).alias("queue_position"), F.col(f"{s}_{lv}").alias("first"))
+        for s, lv in orders
+    ]
+    out = found.select(*keys, F.inline(F.array(*each)))
+    within = lambda h: (F.col("first") > 0) & (F.col("first") <= h)
+    return out.select(*keys, "side", "price_level", "order_price", "queue_position", *[x for h in horizons for x in (F.when(within(h), F.col("first")).alias(f"time_to_fill_{h}"), within(h).cast("int").alias(f"fill_prob_{h}"))])
 
 
 def build_record(kind: str, symbol: str, parameters: str, rows: DataFrame, created_at: str) -> DataFrame:

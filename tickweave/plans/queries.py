@@ -53,7 +53,8 @@ SELECT symbol, trading_day, count(*) AS n, sum(CASE WHEN there AND m2 - mid >= 1
   sum(CASE WHEN there AND NOT coalesce(abs(m2 - mid) >= 1, false) THEN 1 ELSE 0 END)::BIGINT AS n_flat, sum(spread) AS spread_sum FROM f GROUP BY ALL""")
 def flagship_label_counts(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks_from_events(spark, sf)
-    rows = features.with_day_ordinal(t).withColumn("_mid", features.mid()).select("symbol", "trading_day", (F.col("ask_price1") - F.col("bid_price1")).alias("spread"), features.label(10, 1.0).alias("l"))
+    rows = features.with_neighbours(t.select("symbol", "segment_id", "trading_day", "datetime_ns", "row_hash", "bid_price1", "ask_price1"), 0, 10).withColumn("_mid", features.mid())
+    rows = rows.select("own", "symbol", "trading_day", (F.col("ask_price1") - F.col("bid_price1")).alias("spread"), features.label(10, 1.0).alias("l")).filter("own")
     return rows.groupBy("symbol", "trading_day").agg(F.count("*").alias("n"), F.count_if(F.col("l") == 2).alias("n_up"), F.count_if(F.col("l") == 0).alias("n_down"), F.count_if(F.col("l") == 1).alias("n_flat"), F.sum("spread").alias("spread_sum"))
 
 
