@@ -131,3 +131,31 @@ def test_walk_forward_reaches_the_end_of_every_symbol(spark, sf):
     sizes = {r["symbol"]: r["count"] for r in ticks_from_events(spark, sf).groupBy("symbol").count().collect()}
     last = {r["symbol"]: r["n"] for r in QUERIES["k2_k3_walk_forward_by_symbol"](spark, sf).filter("split_id = 4").groupBy("symbol").agg({"n": "sum"}).toDF("symbol", "n").collect()}
     assert {s: n // 7 * 7 for s, n in sizes.items() if int(n // 7 * 7 * 0.7) >= 100} == last and last
+
+
+def test_row_hash_bits_equals_plain_integers(spark):
+    import struct
+
+    rows = [(5, 1.5, None), (1_735_689_600_000_000_000, -0.25, 3.0), (0, 0.0, 0.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t long, a double, b double").coalesce(1).select(scalars.row_hash_bits(F.col("t"), ["a", "b"])).collect()]
+    for (t, a, b), h in zip(rows, got, strict=True):
+        want = scalars.HASH_START
+        for bits in (t, *(struct.unpack("<q", struct.pack("<d", x or 0.0))[0] for x in (a, b))):
+            want = ((want ^ (bits % 2**64)) * scalars.HASH_PRIME) % 2**64
+        assert h == (want - 2**64 if want >= 2**63 else want)
+
+
+def test_negative_volumes_queue_at_zero_and_fills_reach_500_ticks(spark):
+    df = _book(spark, [(100.0, 101.0, -5.0, 7.0)] + [(100.0, 102.0, 1.0, 1.0)] * 498 + [(99.0, 100.0, 1.0, 1.0)])
+    rows = {r["side"]: r for r in features.fill_labels(df).filter("row_hash = 0 and price_level = 0").collect()}
+    assert rows["bid"]["queue_position"] == 0 and rows["bid"]["time_to_fill_500"] == 499 and rows["bid"]["fill_prob_100"] == 0
+
+
+def test_lent_rows_reach_one_day_and_not_across_segments(spark):
+    def tick(day, i, segment):
+        return ("s", f"2024-01-{day:02d}", day * 1_000_000 + i, day * 100 + i, segment, 100.0 + day, 101.0 + day)
+
+    rows = [tick(1, i, 0) for i in range(3)] + [tick(2, i, 0) for i in range(2)] + [tick(4, i, 1) for i in range(2)]
+    df = spark.createDataFrame(rows, "symbol string, trading_day string, datetime_ns long, row_hash long, segment_id long, bid_price1 double, ask_price1 double")
+    out = {r["row_hash"]: r["label_2"] for r in features.compute_labels(df, (2,)).collect()}
+    assert out == {100: 1, 101: 2, 102: 2, 200: None, 201: None, 400: None, 401: None}
