@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where no shared checkpoint folder is configured (tests, notebooks).
+#: Used only where no shared checkpoint folder is configured and the session runs on one machine.
 LOCAL_CHECKPOINTS = "/tmp/tickweave-checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as named by spark.checkpoint.dir."""
-    set_by_context = spark.sparkContext.getCheckpointDir()
-    return spark.conf.get("spark.checkpoint.dir", None) or set_by_context or LOCAL_CHECKPOINTS
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or LOCAL_CHECKPOINTS
 
 
 def cut(df: DataFrame) -> DataFrame:

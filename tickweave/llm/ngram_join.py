@@ -261,9 +261,10 @@ def _verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, threshold: f
 
     columns = ["node", "root", "copies", "blocks", "text"]
     rows = docs.join(sized, docs["doc_id"] == sized["rep"]).select(*columns)
-    # texts that only rows without an id hold are found by their key
-    without = docs.filter("doc_id is null").select(text_key(F.col("text")).alias("node"), "text").filter("node is not null").dropDuplicates(["node"])
-    rows = rows.unionByName(without.join(sized.filter("rep is null"), "node").select(*columns))
+    if not texts.filter("rep is null").isEmpty():
+        # texts that only rows without an id hold are found by their key
+        without = docs.filter("doc_id is null").select(text_key(F.col("text")).alias("node"), "text").filter("node is not null").dropDuplicates(["node"])
+        rows = rows.unionByName(without.join(sized.filter("rep is null"), "node").select(*columns))
     rows = rows.mapInPandas(shingled, "node long, root long, copies long, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
