@@ -110,7 +110,7 @@ def events_for_day(events: DataFrame, day: str) -> DataFrame:
 def trim_to_windows(ticks: DataFrame, intervals: DataFrame) -> DataFrame:
     """Ticks whose second lies in a window of their trading day, ends included; equi join on the day, range as residual."""
     second = whole(F.col("datetime_ns"), 1_000_000_000)
-    return ticks.join(F.broadcast(intervals), (F.col("trading_day") == F.col("day")) & second.between(F.col("start_s"), F.col("end_s")), "left_semi")
+    return ticks.join(intervals, (F.col("trading_day") == F.col("day")) & second.between(F.col("start_s"), F.col("end_s")), "left_semi")
 
 
 def kept_and_dropped(ticks: DataFrame, kept: DataFrame) -> DataFrame:

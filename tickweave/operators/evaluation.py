@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
@@ -24,7 +26,7 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     return features.join(labels.select(*KEYS, *extra), KEYS)
 
 
-def walk_forward(spark: SparkSession, n: int, n_splits: int = 5, train: float = 0.7, val: float = 0.15, min_train: int = 100) -> DataFrame:
+def walk_forward(spark: SparkSession, n: int, n_splits: int = 5, train: float = 0.6, val: float = 0.2, min_train: int = 10_000) -> DataFrame:
     """split_id, role, start, stop of expanding splits by row position."""
     step, rows = n // (n_splits + 2), []
     for i in range(n_splits):
@@ -36,8 +38,12 @@ def walk_forward(spark: SparkSession, n: int, n_splits: int = 5, train: float =
 
 
 def with_position(rows: DataFrame) -> DataFrame:
-    """Column pos from 0 per symbol in time order."""
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy("datetime_ns", "row_hash")) - 1)
+    """Column pos from 0 per symbol in time order: numbers within each day behind the rows of earlier days."""
+    before = Window.partitionBy("symbol").orderBy("trading_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("symbol", "trading_day").agg(F.count("*").alias("_n"))
+    days = days.select("symbol", "trading_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("symbol", "trading_day").orderBy("datetime_ns", "row_hash"))
+    return rows.withColumn("_nth", nth).join(days, ["symbol", "trading_day"]).withColumn("pos", F.col("_base") + F.col("_nth") - 1).select(*rows.columns, "pos")
 
 
 def apply_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def apply_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(splits), (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))).drop("start", "stop")
 
 
-def walk_forward_by_symbol(rows: DataFrame, n_splits: int = 5, train: float = 0.7, val: float = 0.15, min_train: int = 100) -> DataFrame:
+def walk_forward_by_symbol(rows: DataFrame, n_splits: int = 5, train: float = 0.6, val: float = 0.2, min_train: int = 10_000) -> DataFrame:
     """rows with pos, a row for each split and role it falls in; bounds follow from the symbol's own row count."""
     sizes = rows.groupBy("symbol").agg(F.floor(F.count("*") / (n_splits + 2)).alias("_step"))
     ends = sizes.select("symbol", F.posexplode(F.transform(F.sequence(F.lit(3), F.lit(n_splits + 2)), lambda k: k * F.col("_step"))).alias("split_id", "_end"))
@@ -79,12 +85,15 @@ def fit_model(rows: DataFrame, columns: list[str], label: str, kind: str = "logi
 def sweep(rows: DataFrame, columns: list[str], label: str, options: list[dict]) -> tuple[dict, float]:
     """Best options by accuracy on the last 15 of 85 percent, split by time."""
     n = rows.groupBy("symbol").agg(F.count("*").alias("_n"))
-    placed = with_position(rows).join(n, "symbol").withColumn("_at", F.col("pos") / F.col("_n")).cache()
+    placed = with_position(rows).join(n, "symbol").withColumn("_at", F.col("pos") / F.col("_n")).persist()
     scores = []
-    for o in options:
-        model = fit_model(placed.filter("_at < 0.7"), columns, label, **o)
-        out = model.transform(placed.filter("_at >= 0.7 and _at < 0.85"))
-        scores.append((out.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).head()[0] or 0.0, o))
+    try:
+        for o in options:
+            model = fit_model(placed.filter("_at < 0.7"), columns, label, **o)
+            out = model.transform(placed.filter("_at >= 0.7 and _at < 0.85"))
+            scores.append((out.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).head()[0] or 0.0, o))
+    finally:
+        placed.unpersist()
     best = max(scores, key=lambda s: s[0])
     return best[1], best[0]
 
@@ -105,6 +114,24 @@ def classification_metrics(scored: DataFrame, keys: list[str], label: str = "lab
     return out.join(rows.groupBy(*keys).agg(F.avg(-F.log(F.greatest(F.lit(1e-10), F.least(F.lit(1.0), p)))).alias("log_loss")), keys)
 
 
+def class_recall(scored: DataFrame, keys: list[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Support, recall and precision of every class that occurs as a label."""
+    rows = scored.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    said = rows.groupBy(*keys, F.col(prediction).alias("class")).agg(F.count("*").alias("_said"))
+    true = rows.groupBy(*keys, F.col(label).alias("class")).agg(F.count("*").alias("support"), F.count_if(F.col(label) == F.col(prediction)).alias("_hits"))
+    out = true.join(said, [*keys, "class"], "left")
+    return out.select(*keys, "class", "support", (F.col("_hits") / F.col("support")).alias("recall"), F.coalesce(F.try_divide("_hits", "_said"), F.lit(0.0)).alias("precision"))
+
+
+def brier_score(scored: DataFrame, keys: list[str], label: str, probability: list[str]) -> DataFrame:
+    """Mean squared distance of the class probabilities from the label's class; keys may be a symbol, a regime or an hour."""
+    parts = [F.pow(F.col(p) - (F.col(label) == i).cast("double"), 2) for i, p in enumerate(probability)]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return scored.filter(F.col(label).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(total).alias("brier"))
+
+
 def calibration_error(scored: DataFrame, keys: list[str], confidence: Column, correct: Column, bins: int = 10) -> DataFrame:
     """Expected and maximum calibration error over equal bins (low, high] of the top probability."""
     binned = scored.select(*keys, F.greatest(F.lit(1), F.ceil(confidence * bins)).alias("bin"), confidence.alias("c"), correct.cast("double").alias("ok")).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("c").alias("c"), F.avg("ok").alias("ok"))
@@ -120,18 +147,38 @@ def position_of(p_down: Column, p_up: Column, threshold: float, size: int = 1) -
     return F.when(p_up > threshold, size).when(p_down > threshold, -size).otherwise(0)
 
 
+def _prefixed(rows: DataFrame, key: str, day_value: Column, column: str, fold: Callable[[str], Column]) -> DataFrame:
+    """rows with ``column``: fold of the values of all earlier days of the key, from one row for each day."""
+    before = Window.partitionBy(key).orderBy("trading_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(key, "trading_day").agg(day_value.alias("_v"))
+    return rows.join(days.select(key, "trading_day", fold("_v").over(before).alias(column)), [key, "trading_day"])
+
+
 def mark_to_mid(rows: DataFrame, key: str = "symbol", cost: float = 0.0) -> DataFrame:
-    """pnl, equity and traded quantity of a position path (key, datetime_ns, row_hash, position, mid); cost is a share of traded value."""
-    by = Window.partitionBy(key).orderBy("datetime_ns", "row_hash")
+    """pnl, equity and traded quantity of a position path (key, trading_day, datetime_ns, row_hash, position, mid); cost is a share of traded value.
+
+    Days are worked on apart: each is lent the last row of the day before, and
+    sums of earlier days come from one row for each day.
+    """
+    columns = rows.columns
+    last = Window.partitionBy(key, "trading_day").orderBy(F.desc("datetime_ns"), F.desc("row_hash"))
+    near = Window.partitionBy(key).orderBy("trading_day")
+    days = rows.select(key, "trading_day").distinct().withColumn("_next", F.lead("trading_day").over(near))
+    lent = rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").join(days, [key, "trading_day"]).filter("_next is not null")
+    both = rows.withColumn("_own", F.lit(True)).unionByName(lent.withColumn("trading_day", F.col("_next")).select(*columns, F.lit(False).alias("_own")))
+    by = Window.partitionBy(key, "trading_day").orderBy("datetime_ns", "row_hash")
     was, mid_was = F.coalesce(F.lag("position").over(by), F.lit(0)), F.lag("mid").over(by)
-    out = rows.withColumn("traded", F.abs(F.col("position") - was)).withColumn("pnl", F.coalesce(was * (F.col("mid") - mid_was), F.lit(0.0)) - F.lit(cost) * F.col("traded") * F.col("mid"))
-    return out.withColumn("equity", F.sum("pnl").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    out = both.withColumn("traded", F.abs(F.col("position") - was)).withColumn("pnl", F.coalesce(was * (F.col("mid") - mid_was), F.lit(0.0)) - F.lit(cost) * F.col("traded") * F.col("mid"))
+    out = _prefixed(out.filter("_own"), key, F.sum("pnl"), "_base", F.sum)
+    within = F.sum("pnl").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("equity", F.coalesce("_base", F.lit(0.0)) + within).select(*columns, "traded", "pnl", "equity")
 
 
 def strategy_report(path: DataFrame, key: str = "symbol", base: float = 1e6) -> DataFrame:
     """Trades, PnL, largest drawdown, annualised daily Sharpe, profit factor and win rate of each path from mark_to_mid."""
-    by = Window.partitionBy(key).orderBy("datetime_ns", "row_hash").rowsBetween(Window.unboundedPreceding, 0)
-    worth = path.withColumn("_w", F.lit(base) + F.col("equity")).withColumn("_peak", F.max("_w").over(by))
+    by = Window.partitionBy(key, "trading_day").orderBy("datetime_ns", "row_hash").rowsBetween(Window.unboundedPreceding, 0)
+    worth = _prefixed(path.withColumn("_w", F.lit(base) + F.col("equity")), key, F.max("_w"), "_before", F.max)
+    worth = worth.withColumn("_peak", F.greatest("_before", F.max("_w").over(by)))
     totals = worth.groupBy(key).agg(
         F.count_if(F.col("traded") > 0).alias("trades"), F.sum("pnl").alias("pnl"), F.min(F.try_divide("_w", "_peak") - 1).alias("max_drawdown"),
         F.try_divide(F.sum(F.greatest("pnl", F.lit(0.0))), -F.sum(F.least("pnl", F.lit(0.0)))).alias("profit_factor"), F.try_divide(F.count_if(F.col("pnl") > 0), F.count_if(F.col("pnl") != 0)).alias("win_rate"),

@@ -26,8 +26,11 @@ def daily_schedule(days: DataFrame, events: DataFrame, key: str = "symbol", cont
     Both tables are dimensions (days by varieties), so one window per key holds them.
     """
     by = Window.partitionBy(key).orderBy("day")
-    grid = events.select(key).distinct().join(F.broadcast(days))
-    filled = grid.join(events, [key, "day"], "left").withColumn(contract, F.last(contract, True).over(by)).filter(F.col(contract).isNotNull())
+    # each key's days from its first event on, without pairing all keys with all days
+    first = events.groupBy(key).agg(F.min("day").alias("_from"))
+    end = days.agg(F.max("day").alias("_to"))  # one row
+    grid = first.join(F.broadcast(end)).filter(F.col("_from") <= F.col("_to")).select(key, F.explode(F.sequence("_from", "_to")).alias("day")).join(days.select("day"), "day", "left_semi")
+    filled = grid.unionByName(events.select(key, "day")).distinct().join(events, [key, "day"], "left").withColumn(contract, F.last(contract, True).over(by)).filter(F.col(contract).isNotNull()).join(days.select("day"), "day", "left_semi")
     return with_segments(filled.select(key, "day", contract), key, "day", contract)
 
 

@@ -103,17 +103,22 @@ def run_totals(summary: DataFrame) -> DataFrame:
 
 
 def states(totals: DataFrame, gap_block: int = 0, outside_block: float = 0, half_block: float = 0.05, half_info: float = 0.0, tolerance: int = 0, source_blocking: bool = True, segments_warn: float = 0.0) -> DataFrame:
-    """Engineering, source, policy and overall state and one reason code, by fixed priority."""
+    """Engineering, source, policy and overall state and one reason code, by fixed priority.
+
+    Columns provider_errors and provider_missing_segments, if there, make the source state warn.
+    """
     outside_blocked = F.col("outside_seconds") > outside_block
     half = F.when(F.col("missing_half_seconds") <= 0, "ok").when(F.col("half_ratio") >= half_block, "error").when(F.col("half_ratio") >= half_info, "info").otherwise("ok")
     gap_blocked = F.col("gap_gt_30") > gap_block
     days_blocked = F.lit(source_blocking) & (F.col("missing_days") > tolerance)
+    doubtful = reduce(Column.__or__, [F.coalesce(F.col(c) > 0, F.lit(False)) for c in ("provider_errors", "provider_missing_segments") if c in totals.columns], F.lit(False))
     rows = totals.withColumn("half_state", half)
     rows = rows.withColumn("engineering_state", F.when(outside_blocked, "error").when(F.col("outside_seconds") > 0, "warn").otherwise("ok"))
     rows = rows.withColumn("policy_state", F.when(gap_blocked | (F.col("half_state") == "error"), "error").when((F.col("half_state") == "info") | (F.lit(segments_warn > 0) & (F.col("segments_avg") > segments_warn)), "warn").otherwise("ok"))
-    rows = rows.withColumn("source_state", F.when(days_blocked, "error").when(F.col("missing_days") > 0, "warn").otherwise("ok"))
+    rows = rows.withColumn("source_state", F.when(days_blocked, "error").when((F.col("missing_days") > 0) | doubtful, "warn").otherwise("ok"))
     three = F.array("engineering_state", "source_state", "policy_state")
     rows = rows.withColumn("overall_state", F.when(F.array_contains(three, "error"), "error").when(F.array_contains(three, "warn"), "warn").otherwise("ok"))
+    # The reason codes.
     reason = (
         F.when(outside_blocked, "outside_sessions_block").when(F.col("half_state") == "error", "missing_half_seconds_block").when(gap_blocked, "gap_gt30_block").when(days_blocked, "source_missing_days_block")
         .when(F.col("missing_days") > 0, "source_missing_days_warn").when(F.col("half_state") == "info", "missing_half_seconds_info").when(F.col("engineering_state") == "warn", "outside_sessions_warn").otherwise("quality_ok")
@@ -152,7 +157,7 @@ def resolve_policy(targets: DataFrame, policies: DataFrame, name: str, default:
     both = p.filter("variety is not null and session is not null").select("variety", "session", F.col("value").alias("_vs"))
     one = p.filter("variety is not null and session is null").select("variety", F.col("value").alias("_v"))
     every = p.filter("variety is null and session is null").agg(F.max("value").alias("_g"))
-    out = targets.join(F.broadcast(both), ["variety", "session"], "left").join(F.broadcast(one), "variety", "left").join(F.broadcast(every))
+    out = targets.join(both, ["variety", "session"], "left").join(one, "variety", "left").join(F.broadcast(every))
     value = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce("_vs", "_v", "_g", F.lit(default))))
     source = F.when(F.col("_vs").isNotNull(), "session").when(F.col("_v").isNotNull(), "variety").when(F.col("_g").isNotNull(), "global").otherwise("default")
     return out.select(*targets.columns, value.alias("value"), source.alias("origin"))

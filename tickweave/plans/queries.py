@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickweave.functions import calendars, scalars
 from tickweave.operators import evaluation, extras, features, quality, schedule, validation
 from tickweave.sources import ticks as T
-from tickweave.sources.ticks import TICKS_SQL, ticks_from_events
+from tickweave.sources.ticks import TICKS_SQL, shared_root, ticks_from_events
 from tickweave.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -547,14 +547,14 @@ def k1_training_set(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, i::INT AS split_id, CASE WHEN pos < a THEN 'train' WHEN pos < a + v THEN 'val' ELSE 'test' END AS role, count(*) AS n FROM p JOIN x ON pos < e WHERE a >= 100 GROUP BY ALL""")
 def k2_k3_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     rows = evaluation.with_position(ticks_from_events(spark, sf))
-    return evaluation.apply_splits(rows, evaluation.walk_forward(spark, 500)).groupBy("symbol", "split_id", "role").agg(F.count("*").alias("n"))
+    return evaluation.apply_splits(rows, evaluation.walk_forward(spark, 500, train=0.7, val=0.15, min_train=100)).groupBy("symbol", "split_id", "role").agg(F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY datetime_ns, row_hash) - 1 AS pos, count(*) OVER (PARTITION BY symbol) // 7 AS step FROM t), s AS (SELECT symbol, pos, i, (i + 3) * step AS e FROM p, range(5) r(i)), x AS (SELECT symbol, pos, i, e, floor(e * 0.7::DOUBLE)::BIGINT AS a, floor(e * 0.15::DOUBLE)::BIGINT AS v FROM s)
 SELECT symbol, i::INT AS split_id, CASE WHEN pos < a THEN 'train' WHEN pos < a + v THEN 'val' ELSE 'test' END AS role, count(*) AS n FROM x WHERE pos < e AND a >= 100 AND e > a + v GROUP BY ALL""")
 def k2_k3_walk_forward_by_symbol(spark: SparkSession, sf: str) -> DataFrame:
     rows = evaluation.with_position(ticks_from_events(spark, sf))
-    return evaluation.walk_forward_by_symbol(rows).groupBy("symbol", "split_id", "role").agg(F.count("*").alias("n"))
+    return evaluation.walk_forward_by_symbol(rows, train=0.7, val=0.15, min_train=100).groupBy("symbol", "split_id", "role").agg(F.count("*").alias("n"))
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER w AS n, min(segment_id) OVER f AS lo, max(segment_id) OVER f AS hi, sum(coalesce(bid_price1, 0)) OVER p AS s FROM t WINDOW w AS (PARTITION BY symbol ORDER BY datetime_ns, row_hash), f AS (PARTITION BY symbol ORDER BY datetime_ns, row_hash ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), p AS (PARTITION BY symbol ORDER BY datetime_ns, row_hash ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
@@ -632,7 +632,7 @@ def l2_regimes(spark: SparkSession, sf: str) -> DataFrame:
 # M: streaming ---------------------------------------------------------------
 def _as_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf}/events*.parquet")
     return ticks_from_events_stream(raw)
 
 
@@ -648,7 +648,7 @@ def ticks_from_events_stream(raw: DataFrame) -> DataFrame:
 
 
 def _stream_path(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tickweave-checkpoints"
+    root = shared_root(spark)
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

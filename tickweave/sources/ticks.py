@@ -68,6 +68,16 @@ def first_days_sample(ticks: DataFrame, symbol: str, start: str, end: str, colum
     return ticks.filter((F.col("symbol") == symbol) & F.col("trading_day").between(start, end)).orderBy("trading_day", *ORDER).limit(max_rows).select(*columns)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a local one only where the session runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/tickweave-checkpoints"
+
+
 def latest_by_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Of rows with equal keys the one with the greatest version (then the greatest of the other columns)."""
     rest = [c for c in df.columns if c not in keys and c != version]
@@ -82,7 +92,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], vers
     target = jvm.org.apache.hadoop.fs.Path(path)
     merged = new
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        old = spark.read.parquet(path).join(F.broadcast(touched), partition, "left_semi")
+        old = spark.read.parquet(path).join(touched, partition, "left_semi")
         merged = old.unionByName(new, allowMissingColumns=True)
     merged = latest_by_key(merged, keys, version).checkpoint()  # read before the folder it comes from is overwritten
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

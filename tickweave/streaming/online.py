@@ -64,19 +64,20 @@ def stream_factors(stream: DataFrame) -> DataFrame:
     return stream.groupBy("symbol").applyInPandasWithState(_factor_rows, _FACTOR_OUT, _FACTOR_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def online_calibration(stream: DataFrame, features: list[str], horizon: int, threshold: float, rate: float = 0.05, decay: float = 1e-4, l2: float = 1e-4, clip: float = 1.0) -> DataFrame:
+def online_calibration(stream: DataFrame, features: list[str], horizon: int, threshold: float, rate: float = 0.01, decay: float = 0.999, l2: float = 1e-4, clip: float = 1.0) -> DataFrame:
     """Delayed labels feed a softmax regression for each symbol, step by step.
 
     Each tick is scored with the weights so far; ``horizon`` ticks later its
     label (0 down, 1 flat, 2 up) is known and one clipped gradient step is
-    made.  Weights start at 0.  A mean of the last 100 losses over 2 disables
-    the model (probabilities are then uniform).
+    made, its rate falling by a constant factor.  Weights start at 0.  A mean of
+    the last 100 losses over 2 disables the model for good (probabilities are
+    then uniform and nothing more is learned).
     """
     k = len(features) + 1
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["datetime_ns", "row_hash"])
-        flat, n, losses, buffer = state.get if state.exists else ([0.0] * (3 * k), 0, [], [])
+        flat, n, losses, buffer, off = state.get if state.exists else ([0.0] * (3 * k), 0, [], [], False)
         w, losses, buffer = np.array(flat).reshape(3, k), list(losses), [list(b) for b in buffer]
         out = []
         for r in rows.to_dict("records"):
@@ -85,23 +86,24 @@ def online_calibration(stream: DataFrame, features: list[str], horizon: int, thr
                 old = buffer[-horizon]
                 delta = r["mid"] - old[-1]
                 label = 2 if delta >= threshold else 0 if delta <= -threshold else 1
+            if label is not None and not off:
                 x = np.array(old[:-1])
                 p = _softmax(w @ x)
                 losses = [*losses, float(-np.log(max(p[label], 1e-10)))][-100:]
                 g = np.outer(p - np.eye(3)[label], x) + l2 * w
-                w = w - rate / (1 + decay * n) * g * min(1.0, clip / max(float(np.linalg.norm(g)), 1e-12))
+                w = w - rate * decay**n * g * min(1.0, clip / max(float(np.linalg.norm(g)), 1e-12))
                 n += 1
             x = np.array([1.0, *[0.0 if pd.isna(r[f]) else float(r[f]) for f in features]])
-            usable = len(losses) < 100 or np.mean(losses) <= 2
-            p = _softmax(w @ x) if usable else np.full(3, 1 / 3)
+            off = off or (len(losses) == 100 and float(np.mean(losses)) > 2)
+            p = np.full(3, 1 / 3) if off else _softmax(w @ x)
             out.append((key[0], r["datetime_ns"], r["row_hash"], label, *map(float, p)))
             if pd.notna(r["mid"]):
                 buffer = [*buffer, [*map(float, x), float(r["mid"])]][-horizon:]
-        state.update((w.ravel().tolist(), n, losses, buffer))
+        state.update((w.ravel().tolist(), n, losses, buffer, off))
         yield pd.DataFrame(out, columns=["symbol", "datetime_ns", "row_hash", "delayed_label", "p_down", "p_flat", "p_up"]).astype({"delayed_label": "Int64"})
 
     return stream.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, datetime_ns long, row_hash long, delayed_label long, p_down double, p_flat double, p_up double", "w array<double>, n long, losses array<double>, buffer array<array<double>>", "append", GroupStateTimeout.NoTimeout
+        step, "symbol string, datetime_ns long, row_hash long, delayed_label long, p_down double, p_flat double, p_up double", "w array<double>, n long, losses array<double>, buffer array<array<double>>, off boolean", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -125,13 +127,13 @@ def run_to_end(stream: DataFrame, path: str, handler: Callable[[DataFrame, int],
 
 
 def tick_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(folder)
 
 
 def feature_store(updates: DataFrame, now: Column, registry: DataFrame | None = None) -> DataFrame:
     """Latest value of each (symbol, feature) with age and staleness by the feature's ttl_s (60 if unknown)."""
     latest = updates.groupBy("symbol", "feature").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
-    rows = latest if registry is None else latest.join(F.broadcast(registry.select("feature", "ttl_s")), "feature", "left")
+    rows = latest if registry is None else latest.join(registry.select("feature", "ttl_s"), "feature", "left")
     ttl = F.coalesce(F.col("ttl_s") if registry is not None else F.lit(None).cast("int"), F.lit(60))
     return rows.withColumn("age_s", now - F.col("at")).withColumn("is_stale", F.col("age_s") > ttl)
 
