@@ -50,6 +50,14 @@ def bucket_correlation(ticks: DataFrame, bucket_ns: int) -> DataFrame:
     return x.join(y, "h").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("corr"))
 
 
+def lead_lag(ticks: DataFrame, wanted: DataFrame, bucket_ns: int) -> DataFrame:
+    """Correlation of a's mean price with b's ``lag`` buckets later, for the wanted (a, b, lag)."""
+    means = ticks.groupBy("symbol", whole(F.col("datetime_ns"), bucket_ns).alias("h")).agg(F.avg("last_price").alias("p"))
+    x = wanted.join(means.select(F.col("symbol").alias("a"), "h", F.col("p").alias("x")), "a").withColumn("h", F.col("h") + F.col("lag"))
+    y = means.select(F.col("symbol").alias("b"), "h", F.col("p").alias("y"))
+    return x.join(y, ["b", "h"]).groupBy("a", "b", "lag").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("corr"))
+
+
 def slippage(fills: DataFrame, ticks: DataFrame) -> DataFrame:
     """Fill price against the last price at arrival: backward as-of join by union and one window per symbol."""
     marked = ticks.select("symbol", "datetime_ns", "row_hash", F.col("last_price").alias("arrival"), F.lit(None).cast("double").alias("price"), F.lit(0).alias("_side"))

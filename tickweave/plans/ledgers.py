@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.operators import builds, evaluation, features, ledgers, schedule, validation
+from tickweave.functions import calendars, scalars
+from tickweave.operators import builds, evaluation, extras, features, ledgers, schedule, validation
 from tickweave.plans import queries as q
 from tickweave.plans.queries import DAYSUM, DEEP, GAPS, ORD, PATH, TOTALS, W, query, r6
 from tickweave.sources.ticks import ticks_from_events
@@ -220,3 +221,93 @@ def k17_daily_chain(spark: SparkSession, sf: str) -> DataFrame:
 def o7_generated_features(spark: SparkSession, sf: str) -> DataFrame:
     out = features.generated(ticks_from_events(spark, sf), ["mid", "spread"], (1,))
     return out.select("symbol", "row_hash", "mid_lag_1", "mid_diff_1", "mid_x_spread", r6("mid_per_spread").alias("mid_per_spread"))
+
+
+# helpers --------------------------------------------------------------------
+@query("WITH x AS (SELECT symbol, trading_day, make_timestamp(datetime_ns // 1000) + INTERVAL 8 HOUR AS l FROM t) SELECT symbol, CASE WHEN hour(l) >= 18 THEN l::DATE + 1 ELSE l::DATE END AS trading_day, count(*) AS n FROM x GROUP BY ALL")
+def c4_trading_day_without_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    out = calendars.trading_day(ticks_from_events(spark, sf).drop("trading_day"), F.col("datetime_ns"), None)
+    return out.groupBy("symbol", "trading_day").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT trading_day::VARCHAR AS day, trading_day::VARCHAR AS from_seconds, trading_day::VARCHAR AS from_digits FROM t")
+def b19_any_dates(spark: SparkSession, sf: str) -> DataFrame:
+    days = ticks_from_events(spark, sf).select("trading_day").distinct()
+    seconds = F.unix_timestamp(F.col("trading_day").cast("timestamp")) + 3600
+    return days.select(F.col("trading_day").cast("string").alias("day"), scalars.any_date(seconds).alias("from_seconds"), scalars.any_date(F.date_format("trading_day", "yyyyMMdd")).alias("from_digits"))
+
+
+@query("WITH s AS (SELECT DISTINCT underlying_contract AS c FROM t) SELECT c AS symbol, regexp_replace(c, '[0-9]+$', '') AS prefix, regexp_extract(c, '([0-9]+)$', 1)::BIGINT AS number FROM s")
+def b5_sort_keys(spark: SparkSession, sf: str) -> DataFrame:
+    prefix, number = scalars.symbol_order(F.col("symbol"))
+    return ticks_from_events(spark, sf).select(F.col("underlying_contract").alias("symbol")).distinct().select("symbol", prefix.alias("prefix"), number.alias("number"))
+
+
+@query("SELECT DISTINCT symbol AS name, substr(sha256('{\"inputs\":[\"bid\",\"ask\"],\"name\":\"' || symbol || '\"}'), 1, 16) AS hash FROM t")
+def b16_definition_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    names = ticks_from_events(spark, sf).select(F.col("symbol").alias("name")).distinct()
+    return names.select("name", scalars.definition_hash(F.struct(F.array(F.lit("bid"), F.lit("ask")).alias("inputs"), F.col("name"))).alias("hash"))
+
+
+@query(f"WITH {_PLAN}, l AS (SELECT day::VARCHAR || ',' || contract || ',' || segment_id AS x FROM pl WHERE symbol = 'click') SELECT substr(sha256(string_agg(x, chr(10) ORDER BY x)), 1, 16) AS hash FROM l")
+def d5_schedule_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return schedule.schedule_hash(_plan(ticks_from_events(spark, sf)).filter("symbol = 'click'"))
+
+
+@query(f"WITH {q.SCORED}, s AS (SELECT symbol, l AS class, count(*) AS support, avg((l = p)::INT) AS recall FROM z GROUP BY ALL), p AS (SELECT symbol, p AS class, avg((l = p)::INT) AS precision FROM z GROUP BY ALL) SELECT symbol, class, support, round(recall, 6) AS recall, round(coalesce(precision, 0), 6) AS precision FROM s LEFT JOIN p USING (symbol, class)")
+def k7_class_recall(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluation.class_recall(q._scored(spark, sf), ["symbol"], "l", "p")
+    return out.select("symbol", "class", "support", r6("recall").alias("recall"), r6("precision").alias("precision"))
+
+
+_PROBS = "pb AS (SELECT symbol, hour(make_timestamp(datetime_ns // 1000)) AS hour, row_hash % 3 AS l, 0.5 AS p0, (row_hash % 5) / 10.0 AS p1, 0.5 - (row_hash % 5) / 10.0 AS p2 FROM t)"
+
+
+def _probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    p1 = (F.col("row_hash") % 5) / F.lit(10.0)
+    hour = F.hour(F.timestamp_micros(F.expr("datetime_ns div 1000")))
+    return ticks_from_events(spark, sf).select("symbol", hour.alias("hour"), (F.col("row_hash") % 3).alias("l"), F.lit(0.5).alias("p0"), p1.alias("p1"), (0.5 - p1).alias("p2"))
+
+
+@query(f"WITH {_PROBS} SELECT symbol, hour, count(*) AS n, round(avg(pow(p0 - (l = 0)::INT, 2) + pow(p1 - (l = 1)::INT, 2) + pow(p2 - (l = 2)::INT, 2)), 6) AS brier FROM pb GROUP BY ALL")
+def o6_brier_by_hour(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluation.brier_score(_probabilities(spark, sf), ["symbol", "hour"], "l", ["p0", "p1", "p2"])
+    return out.select("symbol", "hour", "n", r6("brier").alias("brier"))
+
+
+@query(f"WITH {_PROBS} SELECT symbol, round(avg(-ln(greatest(1e-10, CASE l WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END))), 6) AS log_loss FROM pb GROUP BY 1")
+def k7_log_loss(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _probabilities(spark, sf).withColumn("prediction", F.lit(0))
+    return evaluation.classification_metrics(rows, ["symbol"], "l", "prediction", ["p0", "p1", "p2"]).select("symbol", r6("log_loss").alias("log_loss"))
+
+
+@query(f"WITH {q.SCORED}, a AS (SELECT symbol, avg((l = p)::INT) AS acc FROM z GROUP BY 1) SELECT round(avg(acc), 6) AS accuracy_mean, round(stddev_pop(acc), 6) AS accuracy_std FROM a")
+def k9_over_splits(spark: SparkSession, sf: str) -> DataFrame:
+    metrics = evaluation.classification_metrics(q._scored(spark, sf), ["symbol"], "l", "p").withColumn("model", F.lit("m"))
+    return evaluation.over_splits(metrics, ["model"], ["accuracy"]).select(r6("accuracy_mean").alias("accuracy_mean"), r6("accuracy_std").alias("accuracy_std"))
+
+
+@query("WITH b AS (SELECT symbol, datetime_ns // 3600000000000 AS h, avg(last_price) AS p FROM t GROUP BY ALL), w(a, b, k) AS (VALUES ('click', 'view', 0), ('click', 'view', 1), ('view', 'click', 2)) SELECT w.a, w.b, k::INT AS lag, count(*) AS n, round(corr(x.p, y.p), 6) AS corr FROM w JOIN b x ON x.symbol = w.a JOIN b y ON y.symbol = w.b AND y.h = x.h + k GROUP BY ALL")
+def o8_lead_lag(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = spark.createDataFrame([("click", "view", 0), ("click", "view", 1), ("view", "click", 2)], "a string, b string, lag int")
+    return extras.lead_lag(ticks_from_events(spark, sf), wanted, 3_600_000_000_000)
+
+
+@query("WITH s AS (SELECT DISTINCT symbol, underlying_contract AS c FROM t), n AS (SELECT 'KQ.m@SHFE.' || symbol AS name, true AS alias, symbol AS variety FROM s UNION SELECT c, false, regexp_extract(c, '[.]([A-Za-z]+)', 1) FROM s) SELECT name, alias, 'SHFE' AS exchange, variety FROM n")
+def b2_continuous_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    t = ticks_from_events(spark, sf)
+    names = t.select(F.concat(F.lit("KQ.m@SHFE."), "symbol").alias("name")).union(t.select("underlying_contract")).distinct()
+    return names.select("name", scalars.is_continuous(F.col("name")).alias("alias"), scalars.exchange_and_variety(F.col("name")).alias("e")).select("name", "alias", "e.exchange", "e.variety")
+
+
+@query("SELECT DISTINCT trading_day, CASE WHEN day(trading_day) BETWEEN 5 AND 12 THEN 1 ELSE 0 END AS active FROM t WHERE day(trading_day) BETWEEN 5 AND 12")
+def c10_events_of_days(spark: SparkSession, sf: str) -> DataFrame:
+    days = ticks_from_events(spark, sf).select("trading_day").distinct()
+    events = days.select(F.lit("2024-01-05").cast("date").alias("start_day"), F.lit("2024-01-12").cast("date").alias("end_day")).distinct()
+    return days.join(calendars.events_for_day(events, "2024-01-07"), F.col("trading_day").between(F.col("start_day"), F.col("end_day"))).select("trading_day", F.lit(1).alias("active"))
+
+
+@query("SELECT symbol, trading_day, count(*) AS n, count(*) FILTER (WHERE last_price IS NULL) AS no_price, count(DISTINCT segment_id) AS segments FROM t GROUP BY ALL")
+def e2_stored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    stored = schedule.stored_ticks(_with_hash(spark, sf), F.col("symbol"))
+    return stored.groupBy("symbol", "trading_day").agg(F.count("*").alias("n"), F.count_if(F.col("last_price").isNull()).alias("no_price"), F.count_distinct("segment_id").alias("segments"))
