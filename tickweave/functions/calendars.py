@@ -113,6 +113,10 @@ def trim_to_windows(ticks: DataFrame, intervals: DataFrame) -> DataFrame:
     return ticks.join(intervals, (F.col("trading_day") == F.col("day")) & second.between(F.col("start_s"), F.col("end_s")), "left_semi")
 
 
-def kept_and_dropped(ticks: DataFrame, kept: DataFrame) -> DataFrame:
-    counts = ticks.groupBy("trading_day").agg(F.count("*").alias("total")).join(kept.groupBy("trading_day").agg(F.count("*").alias("kept")), "trading_day", "left")
-    return counts.select("trading_day", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("total") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+def window_counts(ticks: DataFrame, intervals: DataFrame) -> DataFrame:
+    """trading_day, kept, dropped: ticks inside and outside the windows of their day, in one pass; a day's windows are a handful."""
+    windows = intervals.groupBy("day").agg(F.collect_list(F.struct("start_s", "end_s")).alias("_windows"))
+    second = whole(F.col("datetime_ns"), 1_000_000_000)
+    inside = F.coalesce(F.exists("_windows", lambda w: second.between(w["start_s"], w["end_s"])), F.lit(False))
+    joined = ticks.select("trading_day", "datetime_ns").join(windows, F.col("trading_day") == F.col("day"), "left")
+    return joined.groupBy("trading_day").agg(F.count_if(inside).alias("kept"), F.count_if(~inside).alias("dropped"))

@@ -203,7 +203,7 @@ def c7_c9_session_intervals(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {INTERVALS}, k AS (SELECT trading_day, EXISTS (SELECT 1 FROM iv WHERE day = trading_day AND datetime_ns // 1000000000 BETWEEN start_s AND end_s) AS keep FROM t) SELECT trading_day, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS dropped FROM k GROUP BY 1")
 def c11_session_trim(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks_from_events(spark, sf)
-    return calendars.kept_and_dropped(t, calendars.trim_to_windows(t, _intervals(spark)))
+    return calendars.window_counts(t, _intervals(spark))
 
 
 # D, E, F: schedule, series, coverage ---------------------------------------
