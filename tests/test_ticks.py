@@ -159,3 +159,17 @@ def test_lent_rows_reach_one_day_and_not_across_segments(spark):
     df = spark.createDataFrame(rows, "symbol string, trading_day string, datetime_ns long, row_hash long, segment_id long, bid_price1 double, ask_price1 double")
     out = {r["row_hash"]: r["label_2"] for r in features.compute_labels(df, (2,)).collect()}
     assert out == {100: 1, 101: 2, 102: 2, 200: None, 201: None, 400: None, 401: None}
+
+
+def test_stream_factors_over_several_batches_equal_batch_factors(spark, sf, tmp_path):
+    from tickweave.plans.queries import ticks_from_events_stream
+    from tickweave.streaming import online
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for i in range(4):
+        events.filter(F.col("event_id") * 4 >= i * events.count()).filter(F.col("event_id") * 4 < (i + 1) * events.count()).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = online.run_to_end(online.stream_factors(ticks_from_events_stream(stream)), str(tmp_path / "run"))
+    want = features.compute_factors(T.ticks_from_events(spark, sf), online.FEATURES, ("row_hash",))
+    rounded = lambda df: sorted(((r["row_hash"], *[None if r[c] is None else round(r[c], 9) for c in online.FEATURES]) for r in df.collect()))
+    assert rounded(got) == rounded(want)

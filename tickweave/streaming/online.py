@@ -30,36 +30,50 @@ def split_late(batch: DataFrame, watermark: Column) -> tuple[DataFrame, DataFram
     return batch.filter(F.col("ts") >= watermark), batch.filter(F.col("ts") < watermark)
 
 
-def _series(values: list, n: int) -> list:
-    return values[-n:]
+RING = 21
 
 
 def _factor_rows(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(frames)).sort_values(["datetime_ns", "row_hash"])
     segment, ordinal, day, mids, volumes, interest, days = state.get if state.exists else (-1, 0, "", [], [], [], [])
-    mids, volumes, interest, days = ([None if v is None else v for v in x] for x in (mids, volumes, interest, days))
-    out = []
-    for r in rows.itertuples(index=False):
-        if str(r.trading_day) != day:
-            ordinal, day = ordinal + 1, str(r.trading_day)
-        if r.segment_id != segment:  # a roll: nothing crosses it
-            segment, mids, volumes, interest, days = int(r.segment_id), [], [], [], []
-        mid = None if pd.isna(r.bid_price1) or pd.isna(r.ask_price1) else (r.bid_price1 + r.ask_price1) / 2
-        mids, volumes, interest, days = (_series([*x, v], 21) for x, v in ((mids, mid), (volumes, float(r.volume)), (interest, float(r.open_interest)), (days, ordinal)))
-        back = len(mids) - 11
-        near = back >= 0 and days[back] >= ordinal - 1
-        ten = mids[back] / 1.0 if near and mids[back] is not None else None
-        rets = [b / a - 1 for a, b in zip(mids[:-1], mids[1:]) if a and b is not None]
-        full = len(mids) == 21 and len(rets) == 20 and days[0] >= ordinal - 1
-        out.append((r.symbol, r.trading_day, r.datetime_ns, r.row_hash, r.segment_id, mid / ten - 1 if ten and mid is not None else None, float(np.std(rets, ddof=1)) if full else None, volumes[-1] - volumes[back] if near else None, interest[-1] - interest[back] if near else None))
-    state.update((segment, ordinal, day, mids, volumes, interest, days))
-    yield pd.DataFrame(out, columns=["symbol", "trading_day", "datetime_ns", "row_hash", "segment_id", *FEATURES])
+    kept = len(mids)
+    name = rows["trading_day"].astype(str).to_numpy()
+    ordinals = ordinal + np.cumsum(name != np.append([day], name[:-1]))
+    own = rows["segment_id"].to_numpy(np.int64)
+    run = np.append(np.zeros(kept, np.int64), np.cumsum(own != np.append([segment], own[:-1])))  # a roll starts a new run: nothing crosses it
+    number = lambda old, new: np.append(np.array([np.nan if v is None else v for v in old], np.float64), new.astype(np.float64))
+    mid = number(mids, ((rows["bid_price1"] + rows["ask_price1"]) / 2).to_numpy())
+    volume, oi, at = number(volumes, rows["volume"].to_numpy()), number(interest, rows["open_interest"].to_numpy()), np.append(np.array(days, np.int64), ordinals)
+    n = len(mid)
+
+    def back(x: np.ndarray, k: int) -> np.ndarray:
+        return np.append(np.full(min(k, n), np.nan), x[: max(0, n - k)])
+
+    near = {k: (back(run.astype(np.float64), k) == run) & (back(at.astype(np.float64), k) >= at - 1) for k in (10, 20)}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ten = np.where(near[10], back(mid, 10), np.nan)
+        returned = np.where(ten != 0, mid / ten - 1, np.nan)
+        before = np.where(back(run.astype(np.float64), 1) == run, back(mid, 1), np.nan)
+        step = np.where(before != 0, mid / before - 1, np.nan)
+    deviation = np.full(n, np.nan)
+    if n >= 20:
+        deviation[19:] = np.lib.stride_tricks.sliding_window_view(step, 20).std(axis=1, ddof=1)
+    factors = (returned, np.where(near[20], deviation, np.nan), np.where(near[10], volume - back(volume, 10), np.nan), np.where(near[10], oi - back(oi, 10), np.nan))
+    out = rows[["symbol", "trading_day", "datetime_ns", "row_hash", "segment_id"]].reset_index(drop=True)
+    for f, x in zip(FEATURES, factors, strict=True):
+        # NaN is null, as in batch
+        out[f] = pd.array(np.where(np.isnan(x[kept:]), None, x[kept:]), dtype="Float64")
+    last = np.flatnonzero(run == run[-1])[-RING:]
+    lists = [[None if np.isnan(v) else float(v) for v in x[last]] for x in (mid, volume, oi)]
+    state.update((int(own[-1]), int(ordinals[-1]), str(name[-1]), *lists, [int(x) for x in at[last]]))
+    yield out
 
 
 def stream_factors(stream: DataFrame) -> DataFrame:
     """The rolling factors tick by tick from a ring of 21 ticks for each symbol; same rules as in batch.
 
-    Ticks of a micro-batch are put in order; the state is cleared at a roll.
+    Ticks of a micro-batch, whose files the trigger bounds, are put in order and
+    computed as arrays; the state is cleared at a roll.
     """
     return stream.groupBy("symbol").applyInPandasWithState(_factor_rows, _FACTOR_OUT, _FACTOR_STATE, "append", GroupStateTimeout.NoTimeout)
 
