@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tickweave.functions import calendars, scalars
 from tickweave.operators import builds, evaluation, extras, features, ledgers, schedule, validation
 from tickweave.plans import queries as q
 from tickweave.plans.queries import DAYSUM, DEEP, GAPS, ORD, PATH, TOTALS, W, query, r6
-from tickweave.sources.ticks import ticks_from_events
+from tickweave.sources.ticks import shared_root, ticks_from_events, upsert
 
 TOP = "row_number() OVER (PARTITION BY symbol ORDER BY {order}) AS rank"
 
@@ -311,3 +313,52 @@ def c10_events_of_days(spark: SparkSession, sf: str) -> DataFrame:
 def e2_stored_rows(spark: SparkSession, sf: str) -> DataFrame:
     stored = schedule.stored_ticks(_with_hash(spark, sf), F.col("symbol"))
     return stored.groupBy("symbol", "trading_day").agg(F.count("*").alias("n"), F.count_if(F.col("last_price").isNull()).alias("no_price"), F.count_distinct("segment_id").alias("segments"))
+
+
+# inputs on which the results differ by row ------------------------------------
+@query("SELECT DISTINCT 'SHFE.' || v AS symbol, CASE v WHEN 'cu2401' THEN 10 WHEN 'au2402' THEN 0.02 ELSE 1 END::DOUBLE AS tick FROM (SELECT (CASE segment_id WHEN 0 THEN 'cu' WHEN 1 THEN 'au' ELSE 'ag' END) || '240' || (segment_id + 1) AS v FROM t)")
+def b3_price_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    variety = F.when(F.col("segment_id") == 0, "cu").when(F.col("segment_id") == 1, "au").otherwise("ag")
+    names = ticks_from_events(spark, sf).select(F.concat(F.lit("SHFE."), variety, F.lit("240"), (F.col("segment_id") + 1).cast("string")).alias("symbol")).distinct()
+    return names.select("symbol", scalars.price_tick(F.col("symbol")).alias("tick"))
+
+
+@query(f"""WITH {_PLAN}, b AS (SELECT symbol, day, CASE WHEN day(day) % 5 = 0 THEN 'other' ELSE contract END AS contract, CASE WHEN day(day) % 7 = 0 THEN 9 ELSE segment_id END AS segment_id FROM pl WHERE day(day) % 11 <> 0)
+SELECT symbol, count(*) FILTER (WHERE day(pl.day) % 11 = 0) AS only_stored, 0::BIGINT AS only_expected, count(*) FILTER (WHERE b.contract = 'other') AS other_contract, count(*) FILTER (WHERE b.segment_id = 9) AS other_segment FROM pl LEFT JOIN b USING (symbol, day) GROUP BY symbol""")
+def d7_d11_changed_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    stored = _plan(ticks_from_events(spark, sf))
+    d = F.dayofmonth("day")
+    changed = stored.filter(d % 11 != 0).withColumn("contract", F.when(d % 5 == 0, "other").otherwise(F.col("contract"))).withColumn("segment_id", F.when(d % 7 == 0, 9).otherwise(F.col("segment_id")))
+    return schedule.schedule_difference(stored, changed)
+
+
+@query(f"""WITH {_PLAN}, m AS (SELECT symbol, count(*) FILTER (WHERE day(day) % 9 = 0) AS provider, count(*) FILTER (WHERE symbol = 'click' AND day(day) % 9 = 1) AS engineering FROM pl GROUP BY 1), h AS (SELECT symbol, CASE WHEN symbol = 'view' THEN count(DISTINCT segment_id) ELSE 1 END AS n_hashes FROM pl GROUP BY 1)
+SELECT symbol, n_hashes, provider, engineering, engineering = 0 AND provider <= 4 AND n_hashes = 1 AS healthy FROM h JOIN m USING (symbol)""")
+def d12_e9_health_of_mixed_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    plan = _plan(ticks_from_events(spark, sf))
+    d = F.dayofmonth("day") % 9
+    cause = F.when(d == 0, "provider").when((F.col("symbol") == "click") & (d == 1), "engineering")
+    missing = plan.select("symbol", "day", cause.alias("cause")).filter("cause is not null")
+    hashes = plan.groupBy("symbol").agg(F.count_distinct(F.when(F.col("symbol") == "view", F.col("segment_id")).otherwise(0)).alias("n_hashes"))
+    return schedule.health(missing, hashes, 4).select("symbol", "n_hashes", "provider", "engineering", "healthy")
+
+
+@query(f"""WITH sch AS (SELECT symbol, trading_day AS day, max(underlying_contract) AS contract FROM (SELECT symbol, trading_day + 2 AS trading_day, underlying_contract FROM t) GROUP BY ALL)
+SELECT t.symbol, count(*) AS n, min(t.trading_day) AS first_day, count(DISTINCT t.trading_day) AS days FROM t JOIN sch ON sch.symbol = t.symbol AND sch.day = t.trading_day AND sch.contract = t.underlying_contract WHERE {DEEP} GROUP BY 1""")
+def e1_splice_of_a_late_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    t = ticks_from_events(spark, sf)
+    late = t.select("symbol", F.date_add("trading_day", 2).alias("day"), "underlying_contract").groupBy("symbol", "day").agg(F.max("underlying_contract").alias("contract"))
+    plan = schedule.with_segments(late, "symbol", "day", "contract")
+    out = schedule.splice(t.drop("segment_id"), plan)
+    return out.groupBy("symbol").agg(F.count("*").alias("n"), F.min("trading_day").alias("first_day"), F.count_distinct("trading_day").alias("days"))
+
+
+@query("SELECT symbol, trading_day, max(row_hash) AS row_hash, arg_max(last_price + CASE WHEN day(trading_day) % 2 = 0 THEN 1 ELSE 0 END, row_hash) AS last_price FROM t GROUP BY symbol, trading_day")
+def a5_upserted_table(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_root(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    rows = ticks_from_events(spark, sf).select("symbol", "trading_day", "row_hash", "last_price")
+    upsert(spark, path, rows, ["symbol", "trading_day"], "row_hash")
+    # a correction of the even days: the same versions with a greater price win
+    even = rows.filter(F.dayofmonth("trading_day") % 2 == 0).withColumn("last_price", F.col("last_price") + 1)
+    upsert(spark, path, even, ["symbol", "trading_day"], "row_hash")
+    return spark.read.parquet(path).select("symbol", "trading_day", "row_hash", "last_price")

@@ -94,6 +94,8 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], vers
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         old = spark.read.parquet(path).join(touched, partition, "left_semi")
         merged = old.unionByName(new, allowMissingColumns=True)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     merged = latest_by_key(merged, keys, version).checkpoint()  # read before the folder it comes from is overwritten
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
