@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickweave.llm import exact_topk, hilbert_ann, html_extract, ngram_join, packing, queries, secrets, toxicity, url_rules, warc
+from tickweave.llm import exact_topk, hilbert_ann, html_extract, mixing, ngram_join, packing, queries, secrets, toxicity, url_rules, warc
 from tickweave.llm.text import word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -326,3 +326,18 @@ def test_topk_of_mixed_dimensions_and_large_components(spark):
     huge = spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e16, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="range of a long"):
         exact_topk.top_k(huge, F.lit(True)).collect()
+
+
+def test_mixing_of_repeated_rows_and_clashing_names(spark):
+    rows = [(i, " ".join(["w"] * (5 + i % 9)), f"s{i % 4}", "en" if i % 3 else None, "x", 1, 0.5, 1.0) for i in range(200)]
+    rows += [rows[7]] * 3 + [(None, "w w w", "s1", "en", "x", 1, 0.5, 1.0), (None, "another text w", "s2", "en", "x", 1, 0.5, 1.0), (9, "a second text of id nine", "s3", None, "x", 1, 0.5, 1.0)]
+    schema = "doc_id long, text string, source string, lang string, topic string, n_tokens int, _p double, probability double"
+    docs = spark.createDataFrame(rows, schema)
+    out = mixing.mix(docs).toPandas()
+    assert len(out) == len(rows) and out[out["doc_id"] == 7]["selected"].nunique() == 1
+    assert out["probability"].between(0, 1).all() and set(out["lang"]) == {"en", "(none)"}
+    left = mixing.draw(docs)
+    assert left.columns == docs.columns
+    chosen = Counter((None if pd.isna(i) else int(i), s) for i, s, c in zip(out["doc_id"], out["source"], out["selected"], strict=True) if c)
+    assert Counter((r["doc_id"], r["source"]) for r in left.collect()) == chosen and 0 < sum(chosen.values()) < len(rows)
+    assert mixing.draw(docs.limit(0)).count() == 0
