@@ -205,9 +205,9 @@ def test_blocks_of_a_class_of_many_short_texts(spark):
     head = " ".join(WORDS[:30])
     docs = _docs(spark, [_doc(i, f"{head} n{i}") for i in range(4500)])  # 27 shingles each, 26 of them shared
     signed = ngram_join._signatures(docs.select("doc_id", "text"), 5)
-    texts = signed.select("key", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("copies"), "n_shingles", "labels").localCheckpoint()
+    texts = signed.select("key", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("copies"), "n_shingles", "labels").checkpoint()
     root = texts.agg(F.min("key")).head()[0]
-    found = ngram_join._verified(docs.select("doc_id", "text"), texts, texts.select(F.col("key").alias("node"), F.lit(root).alias("root")), 0.8, 5).localCheckpoint()
+    found = ngram_join._verified(docs.select("doc_id", "text"), texts, texts.select(F.col("key").alias("node"), F.lit(root).alias("root")), 0.8, 5).checkpoint()
     assert {r["rows"] for r in found.groupBy("key").agg(F.count("*").alias("rows")).collect()} == {3}  # three blocks: with itself and two others
     assert {r["links"] for r in found.groupBy("key").agg(F.sum("links").alias("links")).collect()} == {4499}
     assert graph.components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select("root").distinct().count() == 1
