@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import decontamination, exact_topk, hilbert_ann, html_extract, mixing, ngram_join, packing, secrets, toxicity, url_rules, warc
+from tickweave.llm import decontamination, exact_topk, hilbert_ann, html_extract, mixing, ngram_join, packing, secrets, toxicity, url_rules, warc, whitening
 from tickweave.llm.common import read, scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,13 +71,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every usable vector."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and benchmark items hit in every document; a null text has no words."""
     return decontamination.report(decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_source_mixing, op3_secret_scan, op4_exact_topk, op5_hilbert_ann, op6_packing, op7_warc, op8_ngram_join, op9_url_filter, op10_toxicity, op13_decontamination)
+    f.__name__: f for f in (op1_html_extraction, op2_source_mixing, op3_secret_scan, op4_exact_topk, op5_hilbert_ann, op6_packing, op7_warc, op8_ngram_join, op9_url_filter, op10_toxicity, op11_whitening, op13_decontamination)
 }
 
 _OP3 = r"""
