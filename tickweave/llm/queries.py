@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import decontamination, exact_topk, hilbert_ann, html_extract, mixing, ngram_join, packing, secrets, toxicity, url_rules, warc, whitening
+from tickweave.llm import alignment, decontamination, exact_topk, hilbert_ann, html_extract, mixing, ngram_join, packing, secrets, toxicity, url_rules, warc, whitening
 from tickweave.llm.common import read, scratch_path
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +76,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of both tokenizers in every document."""
+    return alignment.align(read(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and benchmark items hit in every document; a null text has no words."""
     return decontamination.report(decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_source_mixing, op3_secret_scan, op4_exact_topk, op5_hilbert_ann, op6_packing, op7_warc, op8_ngram_join, op9_url_filter, op10_toxicity, op11_whitening, op13_decontamination)
+    f.__name__: f for f in (op1_html_extraction, op2_source_mixing, op3_secret_scan, op4_exact_topk, op5_hilbert_ann, op6_packing, op7_warc, op8_ngram_join, op9_url_filter, op10_toxicity, op11_whitening, op12_token_alignment, op13_decontamination)
 }
 
 _OP3 = r"""
