@@ -3,25 +3,27 @@
 FP-growth mines combinations of URL tokens that go with the label "block";
 rules below the least support or confidence, and rules that a shorter kept
 rule implies, are pruned.  Tokens that occur on the same labelled URLs are one
-item, so nested host suffixes and repeated long URLs don't multiply.  Kept rules form an inverted index from token to
-rule; a URL fires a rule when all the rule's tokens are among its own.
-Built-in functions and pyspark.ml only.
+item, so nested host suffixes and repeated long URLs don't multiply.  URLs of
+many items, whose combinations FP-growth could not list, are mined by
+PrefixSpan, which ends at a rule's length.  What either finds is counted over
+all labelled URLs.  Kept rules form an inverted index from token to rule; a
+URL fires a rule when all the rule's tokens are among its own.  Built-in
+functions and pyspark.ml only.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import cut
 
-BLOCK = "label=block"
 #: Least share and least number of labelled URLs behind a rule, least share of them to block, most tokens of a rule.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 5, 0.8, 3
-#: Most items of a labelled URL that enter the mining, the most frequent first: at most 2^MAX_ITEMS combinations each.
+#: Most items of a URL that FP-growth takes, with at most 2^MAX_ITEMS combinations; PrefixSpan takes those with more.
 MAX_ITEMS = 12
 # The rules of the query, (verdict, host, path).
 FIXED_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -62,37 +64,70 @@ def tokens(url: Column) -> Column:
 
 
 def items_of(labelled: DataFrame, tokens_col: str, block_col: str, least: int) -> DataFrame:
-    """items, block of each labelled URL: one token of each group that occurs on the same URLs, if on ``least`` or more."""
+    """items, block of each labelled URL: one token of each group that occurs on the same URLs, if on ``least`` or more.
+
+    Items are ordered by how many URLs hold them, the rarest first.
+    """
     rows = labelled.select(F.monotonically_increasing_id().alias("_row"), F.col(tokens_col).alias("tokens"), F.col(block_col).alias("block"))
     rows = cut(rows)
     each = rows.select("_row", F.explode("tokens").alias("token"))
-    # two sums of hashes and a count stand for the set of URLs
-    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("_row"), 8)).alias("h1"), F.sum(F.shiftright(F.xxhash64("_row", F.lit(1)), 8)).alias("h2")).filter(F.col("n") >= least)
+    # two folded hashes and a count stand for the set of URLs
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_row")).alias("h1"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("h2")).filter(F.col("n") >= least)
     shortest = F.min(F.struct(F.length("token"), F.col("token")))["token"]
     chosen = seen.groupBy("n", "h1", "h2").agg(shortest.alias("token")).select("token", "n")
-    order = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("n", "token")), False), 1, MAX_ITEMS), lambda x: x["token"])
+    order = F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
     kept = each.join(chosen, "token").groupBy("_row").agg(order.alias("items"))
     return rows.join(kept, "_row").select("items", "block")
 
 
+def candidates(rows: DataFrame, share: float, max_tokens: int) -> DataFrame:
+    """antecedent (sorted): token sets that may be on this share of the labelled URLs and to be blocked.
+
+    A set that is frequent in all rows is so among those of few items or among
+    those of many, so each part is mined with the same share of its own size.
+    """
+    spark = rows.sparkSession
+    found = spark.createDataFrame([], "antecedent array<string>")
+    for many in (False, True):
+        part = rows.filter(F.size("items") > MAX_ITEMS if many else F.size("items") <= MAX_ITEMS)
+        n, blocked = part.count(), part.filter("block").select("items")
+        n_blocked = blocked.count()
+        if not n_blocked:
+            continue
+        support = min(1.0, max(0.5, math.ceil(share * n - 1e-9) - 0.5) / n_blocked)
+        if many:
+            ordered = blocked.select(F.transform(F.array_sort("items"), lambda x: F.array(x)).alias("sequence"))
+            sets = PrefixSpan(minSupport=support, maxPatternLength=max_tokens, sequenceCol="sequence").findFrequentSequentialPatterns(ordered).select(F.flatten("sequence").alias("items"))
+        else:
+            sets = FPGrowth(itemsCol="items", minSupport=support).fit(blocked).freqItemsets.select("items")
+        found = found.unionByName(sets.filter(F.size("items") <= max_tokens).select(F.array_sort("items").alias("antecedent")))
+    return found.distinct()
+
+
 def mine_rules(labelled: DataFrame, tokens_col: str, block_col: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
     """rule_id, antecedent, confidence, support of the kept rules for blocking; support is the share of labelled URLs.
 
-    A rule has up to max_tokens tokens, holds on at least min_count labelled
-    URLs to block and on min_support of all.  Of tokens that occur on the same
-    labelled URLs the shortest stands for all.  Without labelled URLs: no rules.
+    A rule has up to max_tokens tokens (20 at most), holds on at least
+    min_count labelled URLs to block and on min_support of all.  Of tokens that
+    occur on the same labelled URLs the shortest stands for all.  URLs may have
+    any number of tokens.  Without labelled URLs: no rules.
     """
+    assert 1 <= max_tokens <= 20
     total = labelled.count()
     least = max(min_count, math.ceil(min_support * total - 1e-9))
     spark = labelled.sparkSession
     rows = cut(items_of(labelled, tokens_col, block_col, least)) if total else None
-    n = rows.count() if total else 0
-    if not n:
+    if not total or rows.isEmpty():
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, rule_id long")
-    items = F.when(F.col("block"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(rows.select(items.alias("items")))
-    rules = model.associationRules.filter((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= max_tokens))
-    rules = cut(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * n / total).alias("support")).withColumn("rule_id", F.xxhash64("antecedent")))
+    sets = cut(candidates(rows, least / total, max_tokens).withColumn("rule_id", F.xxhash64("antecedent")))
+    # equal item lists count together; a set meets those that hold its rarest token
+    lists = rows.groupBy("items").agg(F.count("*").alias("n"), F.count_if("block").alias("n_block"))
+    rank = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("held"))
+    rarest = sets.select("rule_id", F.explode("antecedent").alias("token")).join(rank, "token").groupBy("rule_id").agg(F.min(F.struct("held", "token"))["token"].alias("token"))
+    met = lists.select("items", "n", "n_block", F.explode("items").alias("token")).join(sets.join(rarest, "rule_id"), "token").filter(F.size(F.array_except("antecedent", "items")) == 0)
+    counted = met.groupBy("rule_id", "antecedent").agg(F.sum("n").alias("n"), F.sum("n_block").alias("n_block"))
+    kept = counted.filter((F.col("n_block") >= least) & (F.col("n_block") / F.col("n") >= min_confidence))
+    rules = cut(kept.select("antecedent", (F.col("n_block") / F.col("n")).alias("confidence"), (F.col("n_block") / total).alias("support"), "rule_id"))
     # a rule is implied by a kept one of fewer tokens: look its proper subsets up
     subsets = rules.select("rule_id", F.explode(_proper_subsets(F.col("antecedent"))).alias("subset")).select("rule_id", F.xxhash64("subset").alias("shorter"))
     implied = subsets.join(rules.select(F.col("rule_id").alias("shorter")), "shorter").select("rule_id").distinct()
@@ -101,8 +136,7 @@ def mine_rules(labelled: DataFrame, tokens_col: str, block_col: str, min_support
 
 def _proper_subsets(items: Column) -> Column:
     """Non-empty proper subsets, in order; small because antecedents are."""
-    n = F.size(items)
-    masks = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.shiftleft(F.lit(1), 8) - 2)), lambda m: m < F.pow(F.lit(2), n) - 1)
+    masks = F.when(F.size(items) > 1, F.sequence(F.lit(1), F.pow(F.lit(2), F.size(items)).cast("int") - 2)).otherwise(F.array().cast("array<int>"))
     return F.transform(masks, lambda m: F.filter(items, lambda x, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1))
 
 
