@@ -8,9 +8,14 @@ stand in, the share inside the marked region sets the weight.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments, known by tag or by a whole class, id or role token, are
-neutral for the scan and left out of the text, unless they hold most of the
-page's words or the marked content.  Names that only contain such a word (as
-"has-sidebar") just give an element's words a weight of their own.
+neutral for the scan and left out of the text, however long they are.  Only a
+page without marked content and text of its own outside them gives up one: the
+element that holds most of its words, or an unclosed one or a form around the
+content; reader comments never.  Names that only contain such a word (as
+"has-sidebar") just give an element's words a weight of their own.  Tags inside
+``<article>`` hardly count, so a long list there doesn't part it.
+
+Pages are read in linear time, also damaged ones.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,15 +42,19 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|xmp"
+RAW = frozenset("script style noscript template textarea iframe svg math object xmp".split())
 LEFT_OUT_TAGS = frozenset("head nav header footer aside form menu dialog button select fieldset".split())
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply "
     "replies respond responses sidebar aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer related recommended pager "
-    "pagination toolbar widget widgets search complementary contentinfo".split()
+    "pagination toolbar widget widgets search complementary contentinfo discussion discussions talkback guestbook kommentar kommentare comentario "
+    "comentarios commentaire commentaires".split()
+)
+COMMENT_NAMES = frozenset(
+    "comment comments commentlist disqus reply replies respond responses discussion discussions talkback guestbook kommentar kommentare comentario "
+    "comentarios commentaire commentaires".split()
 )
-COMMENT_NAMES = frozenset("comment comments reply replies respond responses".split())
 NEUTRAL_NAMES = frozenset("site page main top bottom left right bar box block area section list container wrapper inner item link links form panel".split())
 ABOUT_NAMES = frozenset("post article entry reader user".split())
 # Which open elements an opening tag ends, and the elements that such an end does not cross.
@@ -56,19 +66,21 @@ ENDED_BY = {
 }
 CLOSES_P = BLOCKS - {"br", "option", "summary", "caption", "tr", "td", "th", "tbody", "thead", "tfoot", "legend", "title"}
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# a tag whose attributes hold no < and no > in quotes ends in one match; others are looked up by _tag_end
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^\"'<>]++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_SIGNS = re.compile("[\"'>]")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+_NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-#: Least words of a left-out element known by its name that may turn out to hold the page's text.
-LEAST_WORDS = 100
+#: A page with fewer words outside left-out elements and links has no text of its own.
+LEAST_OWN = 20
+#: What is left of a tag's weight inside <article>.
+INSIDE_ARTICLE = 0.02
 
 
-def named(attributes: str) -> tuple[bool, bool]:
-    """(a whole class, id or role token names something to leave out, a part of one does)."""
+def named(attributes: str) -> tuple[bool, bool, bool]:
+    """(a whole class, id or role token names something to leave out, a part of one does, it names reader comments)."""
     part = False
     for found in _NAMES.finditer(attributes):
         for token in (found[1] or found[2] or found[3] or "").lower().split():
@@ -76,106 +88,179 @@ def named(attributes: str) -> tuple[bool, bool]:
             hits = pieces & LEFT_OUT_NAMES
             if hits:
                 rest = pieces - LEFT_OUT_NAMES - NEUTRAL_NAMES
-                if not rest or (hits & COMMENT_NAMES and not rest - ABOUT_NAMES):
-                    return True, True
+                comments = bool(hits & COMMENT_NAMES)
+                if not rest or (comments and not rest - ABOUT_NAMES):
+                    return True, True, comments
                 part = True
-    return False, part
+    return False, part, False
+
+
+class _TagEnds:
+    """Ends of tags that hold < or unpaired quotes, from one pass over a page from behind."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in _SIGNS.finditer(page)]
+        n = len(self.at)
+        self.quoted, self.plain = [-1] * (n + 1), [-1] * (n + 1)  # outside quotes from each sign on; the next > whatever the quotes
+        following = {'"': -1, "'": -1}
+        for k in range(n - 1, -1, -1):
+            sign = page[self.at[k]]
+            if sign == ">":
+                self.quoted[k] = self.plain[k] = self.at[k]
+                continue
+            self.plain[k] = self.plain[k + 1]
+            self.quoted[k] = self.quoted[following[sign] + 1] if following[sign] >= 0 else -1
+            following[sign] = k
+
+    def find(self, begin: int) -> int:
+        """Position of the > that ends a tag whose name ends at begin; quotes that nothing closes are ordinary signs."""
+        k = bisect_left(self.at, begin)
+        return self.quoted[k] if self.quoted[k] >= 0 else self.plain[k]
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, "") of text runs, ("open" or "close", tag, attributes) of tags; comments, declarations and raw elements are left out."""
+    at = i = 0  # what is before at has been given out
+    ends: _TagEnds | None = None
+    no_end = no_section = False  # nothing ends a tag, or a CDATA section, from here on
+    while (i := page.find("<", i)) >= 0:
+        begin, raw = i, ""
+        found = None
+        if page.startswith("<!--", i):
+            stop = page.find("-->", i + 4)
+            i = stop + 3 if stop >= 0 else len(page)
+        elif not no_section and page.startswith("<![CDATA[", i):
+            stop = page.find("]]>", i)
+            no_section = stop < 0
+            if no_section:
+                continue
+            i = stop + 3
+        elif page.startswith(("<!", "<?"), i):
+            stop = -1 if no_end else page.find(">", i)
+            no_end = stop < 0
+            if no_end:
+                i += 1
+                continue
+            i = stop + 1
+        else:
+            m = None if no_end else _TAG.match(page, i)
+            if m:
+                found, i = (m[1], m[2].lower(), m[3]), m.end()
+            else:
+                m = None if no_end else _TAG_NAME.match(page, i)
+                if not m:
+                    i += 1
+                    continue
+                ends = ends or _TagEnds(page)
+                stop = ends.find(m.end())
+                no_end = stop < 0
+                if no_end:
+                    i += 1
+                    continue
+                found, i = (m[1], m[2].lower(), page[m.end() : stop]), stop + 1
+            if not found[0] and found[1] in RAW and not (found[1] in ("svg", "math") and found[2].endswith("/")):
+                raw = found[1]
+        if begin > at:
+            yield "text", page[at:begin], ""
+        if raw:
+            m = _RAW_END[raw].search(page, i)
+            i = m.end() if m else len(page)
+        elif found:
+            yield "close" if found[0] else "open", found[1], found[2]
+        at = i
+    if at < len(page):
+        yield "text", page[at:], ""
 
 
 class _Element:
     """An open element, or one that is left out: its words, the left-out element around it, and what it holds."""
 
-    __slots__ = ("tag", "outer", "hint", "left_out", "by_name", "words", "content", "closed")
+    __slots__ = ("tag", "outer", "hint", "left_out", "by_name", "comments", "words", "content", "closed")
 
-    def __init__(self, tag: str, outer: "_Element | None", hint: bool, left_out: bool, by_name: bool):
-        self.tag, self.outer, self.hint, self.left_out, self.by_name = tag, outer, hint, left_out, by_name
+    def __init__(self, tag: str, outer: "_Element | None", hint: bool, left_out: bool, by_name: bool, comments: bool):
+        self.tag, self.outer, self.hint, self.left_out, self.by_name, self.comments = tag, outer, hint, left_out, by_name, comments
         self.words, self.content, self.closed = 0, False, False
 
-    def kept(self, total: int) -> bool:
-        """Whether a left-out element holds the page's text after all."""
-        if self.tag == "head":
+    def kept(self, own: int, total: int) -> bool:
+        """Whether a left-out element holds the content of a page that has own words outside links and such elements, of total."""
+        if self.tag == "head" or self.comments:
             return False
         most = 2 * self.words > total
-        if self.by_name:
-            return most and self.words >= LEAST_WORDS
-        return self.content or (most and (self.tag == "form" or not self.closed))
+        if most and own < LEAST_OWN:
+            return True
+        return not self.by_name and (self.content or (most and (self.tag == "form" or not self.closed)))
 
 
-def events(page: str) -> list[tuple[str, str, bool, bool, bool]]:
+def events(page: str) -> list[tuple[str, str, bool, bool, int]]:
     """(key, text, is block tag, in left-out element, in marked content) of each tag and text run.
 
     Keys are t:<tag> and w:<element>, from a fixed vocabulary.  Open elements
     form a stack; optional end tags are implied, an end tag closes all that is
-    open inside its element, and one without an open element counts for nothing.
+    open inside its element, and one without an open element counts for
+    nothing.  In marked content: 2 inside <article>, 1 inside <main> alone.
     """
-    out: list[tuple[str, str, bool, _Element | None, bool]] = []
+    out: list[tuple[str, str, bool, _Element | None, int]] = []
     stack: list[_Element] = []
+    where: dict[str, list[int]] = defaultdict(list)  # places of open elements in the stack, by tag
     left_out: list[_Element] = []
-    opened: Counter = Counter()
-    total = at = marked = link = 0
+    total = own = own_marked = link = 0
+
+    def marked() -> int:
+        return 2 if where["article"] else 1 if where["main"] else 0
 
     def pop(upto: int, end_tag: bool) -> None:
-        nonlocal marked
         stack[upto].closed = end_tag
         for e in stack[upto:]:
-            marked -= e.tag in ("article", "main")
-            opened[e.tag] -= 1
+            where[e.tag].pop()
         del stack[upto:]
 
-    def words_of(piece: str) -> None:
-        nonlocal total
+    def around_top() -> _Element | None:
         top = stack[-1] if stack else None
-        around = top and (top if top.left_out else top.outer)
-        n = len(piece.split())
-        inside_head = around is not None and around.tag == "head"
-        total += 0 if inside_head else n
-        if around is not None:
-            around.words += n
-        key = "a" if link else "hint" if top and top.hint else top.tag if top and top.tag in BLOCKS else "body"
-        out.append((f"w:{key}", piece, False, around, marked > 0))
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            words_of(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
+        return top and (top if top.left_out else top.outer)
+
+    for kind, piece, attributes in tokens(page):
+        if kind == "text":
+            top, around = stack[-1] if stack else None, around_top()
+            n = len(piece.split())
+            if around is not None:
+                around.words += n
+            if around is None or around.tag != "head":
+                total += 0 if around is not None and around.comments else n
+            if around is None:
+                own += 0 if link else n
+                own_marked += n if marked() else 0
+            key = "a" if link else "hint" if top and top.hint else top.tag if top and top.tag in BLOCKS else "body"
+            out.append((f"w:{key}", piece, False, around, marked()))
             continue
-        close, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
+        tag = piece
         known = tag if tag in BLOCKS or tag in INLINE else "other"
-        if close:
+        if kind == "close":
             if tag == "a":
                 link = 0
-            if opened[tag] > 0:
-                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), True)
-            top = stack[-1] if stack else None
-            out.append((f"t:{known}", "", tag in BLOCKS, top and (top if top.left_out else top.outer), marked > 0))
+            if where[tag]:
+                pop(where[tag][-1], True)
+            out.append((f"t:{known}", "", tag in BLOCKS, around_top(), marked()))
             continue
-        if tag in CLOSES_P and stack and any(e.tag == "p" for e in stack[-4:]):
-            pop(max(i for i, e in enumerate(stack) if e.tag == "p"), True)
+        if tag in CLOSES_P and where["p"] and where["p"][-1] >= len(stack) - 4:
+            pop(where["p"][-1], True)
         if tag in ENDED_BY:
             ends, within = ENDED_BY[tag]
-            first = None
-            for i in range(len(stack) - 1, -1, -1) if any(opened[x] > 0 for x in ends) else ():
-                if stack[i].tag in within:
-                    break
-                if stack[i].tag in ends:
-                    first = i
+            limit = max((where[x][-1] for x in within if where[x]), default=-1)
+            first = min((where[x][k] for x in ends if (k := bisect_right(where[x], limit)) < len(where[x])), default=None)
             if first is not None:
                 pop(first, True)
         if tag == "a":
             link = 1
-        top = stack[-1] if stack else None
-        around = top and (top if top.left_out else top.outer)
+        around = around_top()
         if tag not in VOID and not attributes.endswith("/"):
-            by_name, part = named(attributes) if attributes and tag not in ("html", "body", "article", "main") else (False, False)
+            by_name, part, comments = named(attributes) if attributes and tag not in ("html", "body", "article", "main") else (False, False, False)
             gone = tag in LEFT_OUT_TAGS or by_name
             if gone or tag not in INLINE:
-                e = _Element(tag, around, bool(part or (top and top.hint)), gone, by_name and tag not in LEFT_OUT_TAGS)
+                top = stack[-1] if stack else None
+                e = _Element(tag, around, bool(part or (top and top.hint)), gone, by_name and tag not in LEFT_OUT_TAGS, comments or bool(around and around.comments))
+                where[tag].append(len(stack))
                 stack.append(e)
-                opened[tag] += 1
                 if tag in ("article", "main"):
-                    marked += 1
                     for x in reversed(stack):
                         if x.content:
                             break
@@ -183,15 +268,13 @@ def events(page: str) -> list[tuple[str, str, bool, bool, bool]]:
                 if gone:
                     left_out.append(e)
                     around = e
-        out.append((f"t:{known}", "", tag in BLOCKS, around, marked > 0))
-    if at < len(page):
-        words_of(page[at:])
+        out.append((f"t:{known}", "", tag in BLOCKS, around, marked()))
     for e in reversed(left_out):  # inner ones come later
-        if e.outer is not None:
+        if e.outer is not None and not e.comments:
             e.outer.words += e.words
     hidden: dict[int, bool] = {}
     for e in left_out:
-        hidden[id(e)] = (e.outer is not None and hidden[id(e.outer)]) or not e.kept(total)
+        hidden[id(e)] = own_marked > 0 or (e.outer is not None and hidden[id(e.outer)]) or not e.kept(own, total)
     return [(key, text, block, e is not None and hidden[id(e)], inside) for key, text, block, e, inside in out]
 
 
@@ -235,7 +318,7 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     """Text of the best-scoring region, blocks joined by one space."""
     found = events(page or "")
     # left-out elements are neutral
-    begin, end = best_region([0.0 if hidden else weight[key] * (len(text.split()) if text else key[0] == "t") for key, text, _, hidden, _ in found])
+    begin, end = best_region([0.0 if hidden else weight[key] * (len(text.split()) if text else (key[0] == "t") * (INSIDE_ARTICLE if inside == 2 else 1.0)) for key, text, _, hidden, inside in found])
     parts = []
     for _, text, block, hidden, _ in found[begin:end]:
         if block:
