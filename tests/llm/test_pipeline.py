@@ -113,3 +113,23 @@ def test_redaction_reaches_rows_without_id(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, score double")
     got = sorted((r["text"], r["n_chars"]) for r in corpus_pipeline.redact_secrets(spark, docs, sf).collect())
     assert got == [("key [secret]", 12)] * 3 + [("plain", 5)]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, sf):
+    # one id with several texts reaches the part of the join that tells rows apart
+    texts = [(1, "one text of quite a few words here"), (1, "another text that has its own id not"), (1, "one text of quite a few words here"), (None, "key token = abcdefgh12"), (2, "key token = abcdefgh12"), (3, None), (4, "")]
+    names = ["hex", "assign", "access", "_blob", "_id", "_text", "_source", "_lang", "_mixed", "_key", "_wanted", "__id", "blob", "key", "kept", "lost", "worded", "stays", "chosen", "root", "class_id", "verdict", "_verdict", "rep", "path", "a.b", "kind"]
+    rows = [(i, t, "s", "en", len(t or ""), *[f"{n} {k}" for n in names]) for k, (i, t) in enumerate(texts)]
+    fields = ", ".join(["doc_id long", "text string", "source string", "lang string", "n_chars long", *[f"`{n}` string" for n in names]])
+    docs = spark.createDataFrame(rows, fields)
+    whole = {tuple(r[5:]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        got = out.collect()
+        assert out.columns == docs.columns and {tuple(r[5:]) for r in got} <= whole, name
+        if name == "ngram_join":
+            kept = sorted((r["doc_id"], r["text"]) for r in got if r["text"])
+            assert kept == sorted([(1, texts[0][1]), (1, texts[1][1]), (2, texts[4][1])])
+        if name in ("toxicity", "secret_scan"):
+            assert len(got) == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= len(rows)

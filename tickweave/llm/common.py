@@ -38,3 +38,16 @@ def text_or_empty(column: str) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as no column of df begins with."""
+    front = "_"
+    while any(c.startswith(front) for c in df.columns):
+        front += "_"
+    return [front + n for n in names]
+
+
+def as_given(df: DataFrame, other: DataFrame) -> DataFrame:
+    """The columns that other has, in its order, whatever signs their names hold."""
+    return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in other.columns])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import cut, text_or_empty
+from tickweave.llm.common import cut, text_or_empty, unused
 
 MARGINS = ("source", "lang", "topic")
 #: Target share of a margin's value: proportional to its tokens to this power.
@@ -114,9 +114,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of docs that mix selects, each by its own id, source, language and text."""
     left = _drawn(docs, id_col, text_col, source_col, lang_col, **options).filter("not selected")
-    left = left.select(F.col("doc_id").alias("_id"), F.col("raw_source").alias("_source"), F.col("raw_lang").alias("_lang"), F.col("text_hash").alias("_text")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source")) & docs[lang_col].cast("string").eqNullSafe(F.col("_lang"))
-    return docs.join(left, same & (F.xxhash64(docs[text_col].cast("string")) == F.col("_text")), "left_anti")
+    own, text, source, lang = unused(docs, "id", "text", "source", "lang")
+    left = left.select(F.col("doc_id").alias(own), F.col("raw_source").alias(source), F.col("raw_lang").alias(lang), F.col("text_hash").alias(text)).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col(own)) & docs[source_col].cast("string").eqNullSafe(F.col(source)) & docs[lang_col].cast("string").eqNullSafe(F.col(lang))
+    return docs.join(left, same & (F.xxhash64(docs[text_col].cast("string")) == F.col(text)), "left_anti")
 
 
 def oracle_sql(rounds: int = ROUNDS) -> str:

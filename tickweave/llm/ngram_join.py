@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import cut
+from tickweave.llm.common import as_given, cut, unused
 from tickweave.llm.graph import components
 from tickweave.llm.text import chunks, shingle_hashes, word_hashes
 
@@ -336,13 +336,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     by_id = verdicts.groupBy(id_col).agg(F.count_if("stays").alias("kept"), F.count_if(~F.col("stays")).alias("lost"), F.count_if(F.col("stays") & F.col("key").isNotNull()).alias("worded"))
     by_id = cut(by_id.filter("lost > 0 or worded > 1"))
     gone = by_id.filter(f"kept = 0 and {id_col} is not null").select(id_col)
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    mixed = by_id.filter(f"kept > 0 or {id_col} is null").select(F.col(id_col).alias("_mixed"))
+    left = as_given(docs.join(gone, id_col, "left_anti"), docs)
+    mixed_id, text, own, wanted_text = unused(docs, "mixed", "key", "id", "wanted")
+    mixed = by_id.filter(f"kept > 0 or {id_col} is null").select(F.col(id_col).alias(mixed_id))
     if mixed.isEmpty():
         return left
     # ids with several rows, only some of which stay: told apart by their texts
-    same = left[id_col].eqNullSafe(F.col("_mixed"))
-    several = left.join(mixed, same, "left_semi").withColumn("_key", text_key(F.col(text_col).cast("string")))
-    wanted = verdicts.filter("stays and key is not null").select(F.col(id_col).alias("_id"), F.col("key").alias("_wanted")).distinct()
-    worded = several.join(wanted, several[id_col].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_wanted")), "left_semi").dropDuplicates([id_col, "_key"])
-    return left.join(mixed, same, "left_anti").unionByName(several.filter("_key is null").unionByName(worded).select(*docs.columns))
+    same = left[id_col].eqNullSafe(F.col(mixed_id))
+    several = left.join(mixed, same, "left_semi").withColumn(text, text_key(F.col(text_col).cast("string")))
+    wanted = verdicts.filter("stays and key is not null").select(F.col(id_col).alias(own), F.col("key").alias(wanted_text)).distinct()
+    worded = several.join(wanted, several[id_col].eqNullSafe(F.col(own)) & (F.col(text) == F.col(wanted_text)), "left_semi").dropDuplicates([id_col, text])
+    return left.join(mixed, same, "left_anti").unionByName(as_given(several.filter(F.col(text).isNull()).unionByName(worded), docs))
