@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm import mixing, ngram_join, packing, secrets, toxicity
-from tickweave.llm.common import read, scratch_path
+from tickweave.llm.common import as_given, read, scratch_path, unused
 from tickweave.llm.queries import TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go; every row is judged by its own text."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    # a name that no column of documents has
-    verdict = max(docs.columns, key=len) + "_verdict"
+    (verdict,) = unused(docs, "verdict")
     return docs.withColumn(verdict, toxicity.scores(model, F.col("text"))).filter(F.col(verdict)["score"] < 0.5).drop(verdict)
 
 
@@ -32,12 +31,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     kinds = [r.kind for r in secrets.BASE_RULES]
     findings, _ = secrets.scan_versions(docs, "doc_id", "text")
     # spans belong to the text, so its digest alone finds them, also for rows without an id
-    marked = findings.filter(F.greatest(*[F.size(k) for k in kinds]) > 0).select("blob", *kinds).dropDuplicates(["blob"])
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    joined = rows.join(marked.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    text = F.when(F.col(kinds[0]).isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), kinds))
-    n_chars = F.when(F.col(kinds[0]).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long")
-    return joined.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
+    blob, *found = unused(docs, "blob", *kinds)
+    marked = findings.filter(F.greatest(*[F.size(k) for k in kinds]) > 0).select(F.col("blob").alias(blob), *[F.col(k).alias(f) for k, f in zip(kinds, found, strict=True)]).dropDuplicates([blob])
+    rows = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    joined = rows.join(marked, blob, "left")
+    text = F.when(F.col(found[0]).isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), found))
+    n_chars = F.when(F.col(found[0]).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long")
+    return as_given(joined.withColumn("n_chars", n_chars).withColumn("text", text), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
