@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from tickweave.plans import ledgers, queries  # noqa: F401
+from tickweave.plans import ledgers, queries, streams  # noqa: F401
