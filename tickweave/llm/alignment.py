@@ -31,7 +31,7 @@ from tickweave.llm.common import scratch_path
 from tickweave.llm.packing import CachedTokenizer
 
 #: Bytes of text of a block (or one longer text), and chunks of text that a worker keeps for each tokenizer.
-BLOCK_BYTES, MAX_CACHED = 1_500_000, 200_000
+BLOCK_BYTES, MAX_CACHED = 1_500_000, 400_000
 #: A group with more links than this is counted by its distinct ids.
 LARGE_GROUP = 4096
 #: Stands for a blank in pieces.
