@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickweave.operators import days
+
 KEYS = ["symbol", "datetime_ns", "row_hash"]
 ESTIMATORS = {
     "logistic": lambda **o: LogisticRegression(family="multinomial", **o),
@@ -62,12 +64,14 @@ def walk_forward_by_symbol(rows: DataFrame, n_splits: int = 5, train: float = 0.
 
 
 def sequences(rows: DataFrame, columns: list[str], length: int, label: str) -> DataFrame:
-    """The ``length`` rows before each labelled row, all of one segment, missing as 0."""
-    by = Window.partitionBy("symbol").orderBy("datetime_ns", "row_hash")
+    """The ``length`` rows before each labelled row, all of one segment, missing as 0; days take their first ones from those before."""
+    needed = dict.fromkeys(["symbol", "trading_day", "datetime_ns", "row_hash", "segment_id", label, *columns])
+    rows = days.with_preceding(rows.select(*needed), length, ["symbol"], "trading_day")
+    by = Window.partitionBy("symbol", "trading_day").orderBy("datetime_ns", "row_hash")
     frame, whole = by.rowsBetween(-length, -1), by.rowsBetween(-length, 0)
     cell = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
-    out = rows.select("symbol", "datetime_ns", "row_hash", label, F.collect_list(cell).over(frame).alias("sequence"), (F.min("segment_id").over(whole) == F.max("segment_id").over(whole)).alias("_one"), F.row_number().over(by).alias("_n"))
-    return out.filter(F.col("_one") & (F.col("_n") > length) & F.col(label).isNotNull()).drop("_one", "_n")
+    out = rows.select("symbol", "datetime_ns", "row_hash", label, "own", F.collect_list(cell).over(frame).alias("sequence"), (F.min("segment_id").over(whole) == F.max("segment_id").over(whole)).alias("_one"), F.row_number().over(by).alias("_n"))
+    return out.filter(F.col("own") & F.col("_one") & (F.col("_n") > length) & F.col(label).isNotNull()).drop("_one", "_n", "own")
 
 
 def fit_model(rows: DataFrame, columns: list[str], label: str, kind: str = "logistic", **options: object):
@@ -196,12 +200,13 @@ def promotion_gate(report: DataFrame, min_sharpe: float = 0.5, max_drawdown: flo
 
 def regime_inputs(ticks: DataFrame) -> DataFrame:
     """Log return, its 20-tick deviation, log volume change and relative spread; missing as 0."""
-    by = Window.partitionBy("symbol", "segment_id").orderBy("datetime_ns", "row_hash")
+    ticks = days.with_preceding(ticks.select("symbol", "segment_id", "trading_day", "datetime_ns", "row_hash", "bid_price1", "ask_price1", "last_price", "volume"), 20, ["symbol", "segment_id"], "trading_day")
+    by = Window.partitionBy("symbol", "segment_id", "trading_day").orderBy("datetime_ns", "row_hash")
     mid = F.coalesce((F.col("bid_price1") + F.col("ask_price1")) / 2, F.col("last_price"))
     rows = ticks.withColumn("_m", mid).withColumn("_was", F.lag("_m").over(by))
     rows = rows.withColumn("log_return", F.when((F.col("_m") > 0) & (F.col("_was") > 0), F.log(F.try_divide("_m", "_was"))))
     rows = rows.withColumn("volatility", F.stddev_samp("log_return").over(by.rowsBetween(-19, 0))).withColumn("volume_change", F.log1p(F.greatest(F.col("volume") - F.lag("volume").over(by), F.lit(0.0)))).withColumn("rel_spread", F.try_divide(F.col("ask_price1") - F.col("bid_price1"), F.col("_m")))
-    return rows.select("symbol", "trading_day", "datetime_ns", "row_hash", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("log_return", "volatility", "volume_change", "rel_spread")])
+    return rows.filter("own").select("symbol", "trading_day", "datetime_ns", "row_hash", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("log_return", "volatility", "volume_change", "rel_spread")])
 
 
 def regimes(inputs: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import whole
+from tickweave.operators import days
+
+DAY_NS = 86_400_000_000_000
 
 
 def by_day() -> WindowSpec:
@@ -19,11 +22,8 @@ def tick_intervals(ticks: DataFrame, suspicious_s: float = 30) -> DataFrame:
 
 
 def runs(ticks: DataFrame, condition: Column, least: int) -> DataFrame:
-    """Runs of at least ``least`` consecutive ticks of a symbol that meet the condition."""
-    by = Window.partitionBy("symbol").orderBy("datetime_ns", "row_hash")
-    marked = ticks.withColumn("_bad", F.coalesce(condition, F.lit(False))).withColumn("_group", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(by))
-    out = marked.filter("_bad").groupBy("symbol", "_group").agg(F.count("*").alias("n"), F.min("datetime_ns").alias("first_ns"), F.max("datetime_ns").alias("last_ns"))
-    return out.filter(F.col("n") >= least).drop("_group")
+    """Runs of at least ``least`` consecutive ticks of a symbol that meet the condition, also across days."""
+    return days.runs(ticks, condition, least, ["symbol"], "trading_day")
 
 
 def outliers(ticks: DataFrame) -> DataFrame:
@@ -58,13 +58,40 @@ def lead_lag(ticks: DataFrame, wanted: DataFrame, bucket_ns: int) -> DataFrame:
     return x.join(y, ["b", "h"]).groupBy("a", "b", "lag").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("corr"))
 
 
+def _by_time(rows: DataFrame, at: str = "datetime_ns") -> DataFrame:
+    return rows.withColumn("_day", whole(F.col(at), DAY_NS))
+
+
 def slippage(fills: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Fill price against the last price at arrival: backward as-of join by union and one window per symbol."""
-    marked = ticks.select("symbol", "datetime_ns", "row_hash", F.col("last_price").alias("arrival"), F.lit(None).cast("double").alias("price"), F.lit(0).alias("_side"))
-    asked = fills.select("symbol", "datetime_ns", "row_hash", F.lit(None).cast("double").alias("arrival"), "price", F.lit(1).alias("_side"))
-    by = Window.partitionBy("symbol").orderBy("datetime_ns", "_side", "row_hash").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marked.unionByName(asked).withColumn("arrival", F.last("arrival", True).over(by)).filter("_side = 1")
-    return rows.select("symbol", "row_hash", "price", "arrival", (F.col("price") - F.col("arrival")).alias("slippage"))
+    """Fill price against the last price at arrival: backward as-of join by days."""
+    rows = _by_time(ticks.select("symbol", "datetime_ns", "row_hash", F.col("last_price").alias("arrival")))
+    out = days.as_of(_by_time(fills.select("symbol", "datetime_ns", "row_hash", "price")), rows, ["arrival"], ["symbol"], "_day")
+    return out.select("symbol", "row_hash", "price", "arrival", (F.col("price") - F.col("arrival")).alias("slippage"))
+
+
+def execution_cost(orders: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Cost of orders (symbol, order_id, side 1 or -1, arrival_ns, fill_ns, price) and what it comes from.
+
+    arrival is the last price at arrival_ns, vwap the mean price between
+    arrival and fill weighted by traded volume (null without any).  slippage =
+    timing (arrival to vwap) + execution (vwap to price), each with the side's
+    sign; without a vwap only slippage is known, without an arrival nothing.
+    Running sums are taken within days and carried by the table of days.
+    """
+    by = by_day()
+    rows = ticks.withColumn("_dv", F.greatest(F.col("volume") - F.lag("volume").over(by), F.lit(0.0))).withColumn("_pv", F.coalesce(F.col("last_price") * F.col("_dv"), F.lit(0.0)))
+    sums = [("_v", "_dv"), ("_w", "_pv")]
+    total = rows.groupBy("symbol", "trading_day").agg(*[F.sum(c).alias(f"_day{n}") for n, c in sums])
+    over = Window.partitionBy("symbol").orderBy("trading_day").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("symbol", "trading_day", *[F.coalesce(F.sum(f"_day{n}").over(over), F.lit(0.0)).alias(f"_to{n}") for n, _ in sums])
+    rows = rows.join(total, ["symbol", "trading_day"]).select("symbol", "datetime_ns", "row_hash", "last_price", *[(F.col(f"_to{n}") + F.sum(c).over(by)).alias(n) for n, c in sums])
+    both = orders.withColumn("row_hash", F.col("order_id").cast("long")).select("*", F.inline(F.array(F.struct(F.lit(0).alias("_end"), F.col("arrival_ns").alias("datetime_ns")), F.struct(F.lit(1).alias("_end"), F.col("fill_ns").alias("datetime_ns")))))
+    met = days.as_of(_by_time(both), _by_time(rows), ["last_price", "_v", "_w"], ["symbol"], "_day")
+    at = lambda c, end: F.max(F.when(F.col("_end") == end, F.col(c)))
+    out = met.groupBy("symbol", "order_id", "side", "price").agg(at("last_price", 0).alias("arrival"), (at("_v", 1) - F.coalesce(at("_v", 0), F.lit(0.0))).alias("_dv"), (at("_w", 1) - F.coalesce(at("_w", 0), F.lit(0.0))).alias("_dw"))
+    out = out.withColumn("vwap", F.when(F.col("_dv") > 0, F.col("_dw") / F.col("_dv")))
+    signed = lambda x, y: F.col("side") * (F.col(x) - F.col(y))
+    return out.select("symbol", "order_id", "price", "arrival", "vwap", signed("price", "arrival").alias("slippage"), signed("vwap", "arrival").alias("timing"), signed("price", "vwap").alias("execution"))
 
 
 def vwap(ticks: DataFrame, keys: list[str]) -> DataFrame:

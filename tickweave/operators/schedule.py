@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import row_hash, table_hash, whole
+from tickweave.operators import days as days_
 from tickweave.sources.ticks import NUMERIC, has_depth, with_missing_columns
 
 
-def change_events(observations: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """The first observation of a key and each one whose value differs from the one before."""
-    by = Window.partitionBy(key).orderBy(at)
-    rows = observations.withColumn("_before", F.lag(value).over(by)).withColumn("_n", F.row_number().over(by))
-    return rows.filter((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_before", "_n")
+def change_events(observations: DataFrame, key: str, at: str, value: str, day: str = "trading_day") -> DataFrame:
+    """The first observation of a key and each one whose value differs from the one before; found within days and stitched."""
+    return days_.changes(observations, [key], day, value, (at,))
 
 
 def last_event_of_day(events: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

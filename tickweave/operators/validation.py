@@ -97,9 +97,9 @@ def first_gaps(gaps: DataFrame, per_day: int = 200) -> DataFrame:
 
 def run_totals(summary: DataFrame) -> DataFrame:
     totals = [c for c in summary.columns if summary.schema[c].dataType.typeName() in ("long", "integer") and c not in ("max_gap_s", "end_lag_s")]
-    out = summary.groupBy("symbol").agg(F.count("*").alias("days"), *[F.sum(c).alias(c) for c in totals], F.max("max_gap_s").alias("max_gap_s"), F.count_if("missing_day").alias("missing_days"), F.max("end_lag_s").alias("max_end_lag_s"))
-    # the strict range is the denominator everywhere
-    return out.withColumn("missing_ratio", F.coalesce(F.try_divide("missing_seconds", "strict_seconds"), F.lit(0.0))).withColumn("half_ratio", F.coalesce(F.try_divide("missing_half_seconds", "strict_seconds"), F.lit(0.0))).withColumn("segments_avg", F.try_divide("missing_segments", "days"))
+    out = summary.groupBy("symbol").agg(F.count("*").alias("days"), *[F.sum(c).alias(c) for c in totals], F.max("max_gap_s").alias("max_gap_s"), F.count_if("missing_day").alias("missing_days"), F.max("end_lag_s").alias("max_end_lag_s"), F.sum(F.when(F.col("cadence") == "fixed_0p5s", F.col("strict_seconds")).otherwise(0)).alias("fixed_strict_seconds"))
+    # the strict range is the denominator; of half seconds that of days with a fixed cadence, where alone they are missed
+    return out.withColumn("missing_ratio", F.coalesce(F.try_divide("missing_seconds", "strict_seconds"), F.lit(0.0))).withColumn("half_ratio", F.coalesce(F.try_divide("missing_half_seconds", "fixed_strict_seconds"), F.lit(0.0))).withColumn("segments_avg", F.try_divide("missing_segments", "days"))
 
 
 def states(totals: DataFrame, gap_block: int = 0, outside_block: float = 0, half_block: float = 0.05, half_info: float = 0.0, tolerance: int = 0, source_blocking: bool = True, segments_warn: float = 0.0) -> DataFrame:
@@ -108,7 +108,7 @@ def states(totals: DataFrame, gap_block: int = 0, outside_block: float = 0, half
     Columns provider_errors and provider_missing_segments, if there, make the source state warn.
     """
     outside_blocked = F.col("outside_seconds") > outside_block
-    half = F.when(F.col("missing_half_seconds") <= 0, "ok").when(F.col("half_ratio") >= half_block, "error").when(F.col("half_ratio") >= half_info, "info").otherwise("ok")
+    half = F.when(F.col("missing_half_seconds") <= 0, "ok").when((F.col("fixed_strict_seconds") <= 0) | (F.col("half_ratio") >= half_block), "error").when(F.col("half_ratio") >= half_info, "info").otherwise("ok")
     gap_blocked = F.col("gap_gt_30") > gap_block
     days_blocked = F.lit(source_blocking) & (F.col("missing_days") > tolerance)
     doubtful = reduce(Column.__or__, [F.coalesce(F.col(c) > 0, F.lit(False)) for c in ("provider_errors", "provider_missing_segments") if c in totals.columns], F.lit(False))
@@ -141,9 +141,18 @@ def lag_p95(summary: DataFrame, column: str = "end_lag_s") -> DataFrame:
 
 
 def attribute_gaps(gaps: DataFrame, provider: DataFrame) -> DataFrame:
-    """Column provider_has_ticks: the provider has a depth tick between the gap's ends."""
-    seconds = per_second_counts(provider).select(*DAY, "sec")
-    hit = gaps.join(seconds, DAY).filter(F.col("sec").between(F.col("gap_start"), F.col("gap_end"))).select(*DAY, "session", "seq", "gap_start").distinct().withColumn("provider_has_ticks", F.lit(True))
+    """Column provider_has_ticks: the provider has a depth tick between the gap's ends.
+
+    Gap ends and provider seconds of a day meet in one order; a gap holds
+    seconds if more have passed at its end than before its start.  The work
+    is in proportion to gaps plus seconds.
+    """
+    seconds = per_second_counts(provider).select(*DAY, "sec").distinct().select(*DAY, "sec", F.lit(1).alias("_kind"))
+    key = F.struct("session", "seq", "gap_start").alias("_gap")
+    ends = gaps.select(*DAY, key, F.inline(F.array(F.struct(F.col("gap_start").alias("sec"), F.lit(0).alias("_kind")), F.struct(F.col("gap_end").alias("sec"), F.lit(2).alias("_kind")))))
+    by = Window.partitionBy(*DAY).orderBy("sec", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    passed = ends.unionByName(seconds, allowMissingColumns=True).withColumn("_passed", F.count(F.when(F.col("_kind") == 1, 1)).over(by)).filter("_kind <> 1")
+    hit = passed.groupBy(*DAY, "_gap").agg((F.max("_passed") > F.min("_passed")).alias("provider_has_ticks")).select(*DAY, "_gap.*", "provider_has_ticks")
     return gaps.join(hit, [*DAY, "session", "seq", "gap_start"], "left").fillna(False, ["provider_has_ticks"])
 
 

@@ -543,11 +543,13 @@ def k1_training_set(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "datetime_ns", "row_hash", "mid", "label_10")
 
 
-@query("""WITH p AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY datetime_ns, row_hash) - 1 AS pos FROM t), s AS (SELECT i, ((i + 3) * 71)::INT AS e FROM range(5) r(i)), x AS (SELECT i, e, floor(e * 0.7)::INT AS a, floor(e * 0.15)::INT AS v FROM s)
-SELECT symbol, i::INT AS split_id, CASE WHEN pos < a THEN 'train' WHEN pos < a + v THEN 'val' ELSE 'test' END AS role, count(*) AS n FROM p JOIN x ON pos < e WHERE a >= 100 GROUP BY ALL""")
+@query("""WITH p AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY datetime_ns, row_hash) - 1 AS pos FROM t), s AS (SELECT i, ((i + 3) * ((SELECT max(pos) + 1 FROM p) // 7))::INT AS e FROM range(5) r(i)), x AS (SELECT i, e, floor(e * 0.7::DOUBLE)::INT AS a, floor(e * 0.15::DOUBLE)::INT AS v FROM s)
+SELECT symbol, i::INT AS split_id, CASE WHEN pos < a THEN 'train' WHEN pos < a + v THEN 'val' ELSE 'test' END AS role, count(*) AS n FROM p JOIN x ON pos < e WHERE a >= 100 AND e > a + v GROUP BY ALL""")
 def k2_k3_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds of the longest series, the same for all symbols."""
     rows = evaluation.with_position(ticks_from_events(spark, sf))
-    return evaluation.apply_splits(rows, evaluation.walk_forward(spark, 500, train=0.7, val=0.15, min_train=100)).groupBy("symbol", "split_id", "role").agg(F.count("*").alias("n"))
+    longest = ticks_from_events(spark, sf).groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
+    return evaluation.apply_splits(rows, evaluation.walk_forward(spark, longest, train=0.7, val=0.15, min_train=100)).groupBy("symbol", "split_id", "role").agg(F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY datetime_ns, row_hash) - 1 AS pos, count(*) OVER (PARTITION BY symbol) // 7 AS step FROM t), s AS (SELECT symbol, pos, i, (i + 3) * step AS e FROM p, range(5) r(i)), x AS (SELECT symbol, pos, i, e, floor(e * 0.7::DOUBLE)::BIGINT AS a, floor(e * 0.15::DOUBLE)::BIGINT AS v FROM s)
@@ -747,8 +749,43 @@ def o8_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return extras.bucket_correlation(ticks_from_events(spark, sf), 3_600_000_000_000)
 
 
-@query("WITH f AS (SELECT symbol, row_hash, last_price AS arrival, last_price + 3 AS price FROM t WHERE row_hash % 17 = 0) SELECT *, price - arrival AS slippage FROM f")
+@query("WITH f AS (SELECT symbol, row_hash, last_price AS arrival, last_price + 3 AS price FROM t) SELECT *, price - arrival AS slippage FROM f")
 def o9_slippage(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks_from_events(spark, sf)
-    fills = t.filter("row_hash % 17 = 0").select("symbol", (F.col("datetime_ns") + 1).alias("datetime_ns"), "row_hash", (F.col("last_price") + 3).alias("price"))
+    fills = t.select("symbol", (F.col("datetime_ns") + 1).alias("datetime_ns"), "row_hash", (F.col("last_price") + 3).alias("price"))
     return extras.slippage(fills, t)
+
+
+@query("""WITH v AS (SELECT *, greatest(volume - lag(volume) OVER (PARTITION BY symbol, trading_day ORDER BY datetime_ns, row_hash), 0) AS dv FROM t),
+c AS (SELECT symbol, datetime_ns, last_price, sum(coalesce(dv, 0)) OVER w AS cv, sum(coalesce(last_price * dv, 0)) OVER w AS cw FROM v WINDOW w AS (PARTITION BY symbol ORDER BY datetime_ns, row_hash)),
+o AS (SELECT symbol, row_hash AS order_id, CASE WHEN row_hash % 2 = 0 THEN 1 ELSE -1 END AS side, datetime_ns - 20000000000000 AS a_ns, datetime_ns + 1 AS f_ns, last_price + 3 AS price FROM t),
+x AS (SELECT o.*, c.last_price AS arrival, coalesce(c.cv, 0) AS v0, coalesce(c.cw, 0) AS w0 FROM o ASOF LEFT JOIN c ON o.symbol = c.symbol AND o.a_ns >= c.datetime_ns),
+y AS (SELECT x.*, c.cv AS v1, c.cw AS w1 FROM x ASOF LEFT JOIN c ON x.symbol = c.symbol AND x.f_ns >= c.datetime_ns),
+z AS (SELECT *, CASE WHEN v1 - v0 > 0 THEN (w1 - w0) / (v1 - v0) END AS vwap FROM y)
+SELECT symbol, order_id, price, arrival, round(vwap, 6) AS vwap, side * (price - arrival) AS slippage, round(side * (vwap - arrival), 6) AS timing, round(side * (price - vwap), 6) AS execution FROM z""")
+def o9_execution_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """An order for every tick, placed 20,000 seconds before it and filled just behind it."""
+    t, side = ticks_from_events(spark, sf), F.when(F.col("row_hash") % 2 == 0, 1).otherwise(-1)
+    orders = t.select("symbol", F.col("row_hash").alias("order_id"), side.alias("side"), (F.col("datetime_ns") - 20_000_000_000_000).alias("arrival_ns"), (F.col("datetime_ns") + 1).alias("fill_ns"), (F.col("last_price") + 3).alias("price"))
+    out = extras.execution_cost(orders, t)
+    return out.select("symbol", "order_id", "price", "arrival", r6("vwap").alias("vwap"), "slippage", r6("timing").alias("timing"), r6("execution").alias("execution"))
+
+
+MIXED_SQL = TICKS_SQL.replace(", t AS (", ", t0 AS (", 1) + ", t AS (SELECT * FROM t0 UNION ALL SELECT * REPLACE (datetime_ns + 1000 AS datetime_ns) FROM t0 WHERE day(trading_day) % 2 = 0 AND row_hash % 5 <> 0)"
+
+
+@query(
+    f"""WITH {MIXED_SQL}, {DAYSUM}, tt AS (SELECT symbol, sum(missing_half_seconds)::BIGINT AS half, sum(CASE WHEN cadence = 'fixed_0p5s' THEN strict_seconds ELSE 0 END)::BIGINT AS fixed, sum(strict_seconds)::BIGINT AS strict, sum(outside_seconds)::BIGINT AS outside_seconds, count(*) FILTER (WHERE missing_day) AS missing_days FROM ds GROUP BY 1),
+r AS (SELECT *, CASE WHEN fixed > 0 THEN half / fixed ELSE 0 END AS ratio FROM tt), h AS (SELECT *, CASE WHEN half <= 0 THEN 'ok' WHEN fixed <= 0 OR ratio >= 0.9 THEN 'error' WHEN ratio >= 0 THEN 'info' ELSE 'ok' END AS hs FROM r)
+SELECT symbol, half AS missing_half_seconds, fixed AS fixed_strict_seconds, round(ratio, 6) AS half_ratio, half / strict >= 0.9 AS blocked_over_all_days, CASE hs WHEN 'error' THEN 'error' WHEN 'info' THEN 'warn' ELSE 'ok' END AS policy_state,
+  CASE WHEN outside_seconds > 10000000 THEN 'outside_sessions_block' WHEN hs = 'error' THEN 'missing_half_seconds_block' WHEN missing_days > 0 THEN 'source_missing_days_warn' WHEN hs = 'info' THEN 'missing_half_seconds_info' WHEN outside_seconds > 0 THEN 'outside_sessions_warn' ELSE 'quality_ok' END AS reason_code FROM h""",
+    raw=True,
+)
+def g21_states_of_mixed_cadence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other day has two ticks a second: half seconds missed there alone decide the state."""
+    t = ticks_from_events(spark, sf)
+    t = t.unionByName(t.filter("day(trading_day) % 2 = 0 and row_hash % 5 <> 0").withColumn("datetime_ns", F.col("datetime_ns") + 1000))
+    totals = validation.run_totals(validation.day_summary(validation.per_second_counts(t), _symbol_intervals(spark, sf), default_threshold=5 * MINUTE, unit=MINUTE))
+    out = validation.states(totals, gap_block=10**9, outside_block=10_000_000, half_block=0.9, tolerance=10**6)
+    over_all = F.col("missing_half_seconds") / F.col("strict_seconds") >= 0.9
+    return out.select("symbol", "missing_half_seconds", "fixed_strict_seconds", r6("half_ratio").alias("half_ratio"), over_all.alias("blocked_over_all_days"), "policy_state", "reason_code")

@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickweave.functions.scalars import whole
+from tickweave.operators import days
+
 FEATURES = ["return_10", "volatility_20", "volume_delta_10", "oi_delta_10"]
 _FACTOR_OUT = "symbol string, trading_day date, datetime_ns long, row_hash long, segment_id long, return_10 double, volatility_20 double, volume_delta_10 double, oi_delta_10 double"
 _FACTOR_STATE = "segment long, ordinal long, day string, mids array<double>, volumes array<double>, interest array<double>, days array<long>"
@@ -25,10 +28,6 @@ def unique_ids(stream: DataFrame, id_col: str, delay: str = "10 minutes") -> Dat
     return stream.filter(F.trim(id_col) != "").withWatermark("ts", delay).dropDuplicatesWithinWatermark([id_col])
 
 
-def split_late(batch: DataFrame, watermark: Column) -> tuple[DataFrame, DataFrame]:
-    """(ticks in time, late ones); days of late ticks are to be run again in batch."""
-    return batch.filter(F.col("ts") >= watermark), batch.filter(F.col("ts") < watermark)
-
 
 RING = 21
 
@@ -78,7 +77,7 @@ def stream_factors(stream: DataFrame) -> DataFrame:
     return stream.groupBy("symbol").applyInPandasWithState(_factor_rows, _FACTOR_OUT, _FACTOR_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def online_calibration(stream: DataFrame, features: list[str], horizon: int, threshold: float, rate: float = 0.01, decay: float = 0.999, l2: float = 1e-4, clip: float = 1.0) -> DataFrame:
+def online_calibration(stream: DataFrame, features: list[str], horizon: int, threshold: float, rate: float = 0.01, decay: float = 0.999, l2: float = 1e-3, clip: float = 1.0) -> DataFrame:
     """Delayed labels feed a softmax regression for each symbol, step by step.
 
     Each tick is scored with the weights so far; ``horizon`` ticks later its
@@ -127,9 +126,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def target_changes(scored: DataFrame, key: str = "symbol") -> DataFrame:
-    """Rows whose target differs from the one before (batch form, by window)."""
-    by = Window.partitionBy(key).orderBy("datetime_ns", "row_hash")
-    return scored.withColumn("_was", F.lag("target").over(by)).filter(~F.col("target").eqNullSafe(F.col("_was"))).drop("_was")
+    """Rows whose target differs from the one before (batch form); a first row without a target is none."""
+    rows = scored.withColumn("_day", whole(F.col("datetime_ns"), 86_400_000_000_000))
+    return days.changes(rows, [key], "_day", "target", first_null=False).drop("_day")
 
 
 def run_to_end(stream: DataFrame, path: str, handler: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -140,9 +139,6 @@ def run_to_end(stream: DataFrame, path: str, handler: Callable[[DataFrame, int],
     return stream.sparkSession.read.parquet(f"{path}/out")
 
 
-def tick_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(folder)
-
 
 def feature_store(updates: DataFrame, now: Column, registry: DataFrame | None = None) -> DataFrame:
     """Latest value of each (symbol, feature) with age and staleness by the feature's ttl_s (60 if unknown)."""
