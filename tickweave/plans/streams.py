@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.plans.queries import query
+from tickweave.sources import provider
 from tickweave.sources.ticks import shared_root, ticks_from_events
 from tickweave.streaming import state
 from tickweave.streaming.late import DayTable
@@ -128,3 +129,36 @@ SELECT * FROM r WHERE trading_day < CAST(to_timestamp((SELECT max(datetime_ns) F
 )
 def m13_days_with_late_ticks(spark: SparkSession, sf: str) -> DataFrame:
     return _repaired(spark, sf).built().select("symbol", "trading_day", "n", "price_sum", "first_ns", "last_ns", "close")
+
+
+TICK_FIELDS = "symbol string, trading_day date, datetime_ns long, row_hash long, last_price double"
+
+
+def _provider(spark: SparkSession, sf: str, folder: str) -> provider.FolderProvider:
+    """The ticks as a provider's folder, written by symbol and day."""
+    names = [f.split()[0] for f in TICK_FIELDS.split(", ")]
+    ticks_from_events(spark, sf).select(*names).write.mode("append").partitionBy("symbol", "trading_day").parquet(f"{folder}/ticks")
+    found = provider.FolderProvider(f"{folder}/ticks", TICK_FIELDS)
+    provider.register(spark, "ticks", found)
+    return found
+
+
+@query("SELECT symbol, trading_day, datetime_ns, row_hash, last_price FROM t WHERE symbol <> 'view' AND trading_day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+def n5_provider_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    _provider(spark, sf, _folder(spark))
+    rows = spark.read.format("ticks").load()
+    return rows.filter(F.col("trading_day").between("2024-01-05", "2024-01-20") & (F.col("symbol") != "view"))
+
+
+@query("SELECT symbol, trading_day, count(*) AS n, sum(row_hash)::BIGINT AS ids FROM t GROUP BY ALL")
+def n5_provider_stream(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _folder(spark)
+    _provider(spark, sf, folder)
+    state.run(spark.readStream.format("ticks").load(), f"{folder}/state", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").groupBy("symbol", "trading_day").agg(F.count("*").alias("n"), F.sum("row_hash").alias("ids"))
+
+
+@query("SELECT symbol, min(trading_day) AS first_day, max(trading_day) AS last_day, (SELECT count(DISTINCT trading_day) FROM t) AS trading_days FROM t GROUP BY symbol")
+def n5_provider_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    found = _provider(spark, sf, _folder(spark))
+    return provider.contracts_of(spark, found).join(F.broadcast(provider.calendar_of(spark, found).agg(F.count("*").alias("trading_days"))))  # one row
