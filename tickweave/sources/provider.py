@@ -55,6 +55,7 @@ class FolderProvider(TickProvider):
 
     def __init__(self, path: str, schema: str):
         self.path, self.schema = path.removeprefix("file://").removeprefix("file:"), schema
+        self.names = [f.name for f in StructType.fromDDL(schema)]
 
     def _files(self) -> ds.Dataset:
         return ds.dataset(self.path, format="parquet", partitioning=ds.partitioning(pa.schema([("symbol", pa.string()), ("trading_day", pa.string())]), flavor="hive"))
@@ -68,10 +69,9 @@ class FolderProvider(TickProvider):
 
     def ticks(self, symbol: str, day: dt.date) -> Iterator[pa.RecordBatch]:
         mine = (ds.field("symbol") == symbol) & (ds.field("trading_day") == day.isoformat())
-        names = [f.name for f in StructType.fromDDL(self.schema)]
-        for batch in self._files().to_batches(filter=mine, columns=names):
+        for batch in self._files().to_batches(filter=mine, columns=self.names, use_threads=False):
             if len(batch):
-                at = names.index("trading_day")
+                at = self.names.index("trading_day")
                 yield batch.set_column(at, "trading_day", batch.column(at).cast(pa.date32()))
 
 
