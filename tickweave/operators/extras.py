@@ -15,10 +15,10 @@ def by_day() -> WindowSpec:
     return Window.partitionBy("symbol", "trading_day").orderBy("datetime_ns", "row_hash")
 
 
-def tick_intervals(ticks: DataFrame, suspicious_s: float = 30) -> DataFrame:
-    """Seconds between ticks of a day: count, median, p95, largest, and how many are suspicious."""
+def tick_intervals(ticks: DataFrame, suspicious_s: float = 30, critical_s: float = 300) -> DataFrame:
+    """Seconds between ticks of a day: count, median, p95, p99, largest, and how many are suspicious or critical."""
     rows = ticks.select("symbol", "trading_day", ((F.col("datetime_ns") - F.lag("datetime_ns").over(by_day())) / 1e9).alias("s"))
-    return rows.groupBy("symbol", "trading_day").agg(F.count("s").alias("n"), F.round(F.percentile("s", F.lit(0.5)), 4).alias("median_s"), F.round(F.percentile("s", F.lit(0.95)), 4).alias("p95_s"), F.round(F.max("s"), 4).alias("max_s"), F.count_if(F.col("s") > suspicious_s).alias("suspicious"))
+    return rows.groupBy("symbol", "trading_day").agg(F.count("s").alias("n"), F.round(F.percentile("s", F.lit(0.5)), 4).alias("median_s"), F.round(F.percentile("s", F.lit(0.95)), 4).alias("p95_s"), F.round(F.percentile("s", F.lit(0.99)), 4).alias("p99_s"), F.round(F.max("s"), 4).alias("max_s"), F.count_if(F.col("s") > suspicious_s).alias("suspicious"), F.count_if(F.col("s") > critical_s).alias("critical"))
 
 
 def runs(ticks: DataFrame, condition: Column, least: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.functions import calendars, scalars
-from tickweave.operators import evaluation, extras, features, quality, schedule, validation
+from tickweave.operators import evaluation, extras, features, quality, schedule, sketches, validation
 from tickweave.sources import ticks as T
 from tickweave.sources.ticks import TICKS_SQL, shared_root, ticks_from_events
 from tickweave.streaming import online
@@ -716,9 +716,9 @@ def m12_metric_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # O: specified extras --------------------------------------------------------
-@query("WITH l AS (SELECT symbol, trading_day, (datetime_ns - lag(datetime_ns) OVER (PARTITION BY symbol, trading_day ORDER BY datetime_ns, row_hash)) / 1e9 AS s FROM t) SELECT symbol, trading_day, count(s) AS n, round(quantile_cont(s, 0.5), 4) AS median_s, round(quantile_cont(s, 0.95), 4) AS p95_s, round(max(s), 4) AS max_s, count(*) FILTER (WHERE s > 600) AS suspicious FROM l GROUP BY ALL")
+@query("WITH l AS (SELECT symbol, trading_day, (datetime_ns - lag(datetime_ns) OVER (PARTITION BY symbol, trading_day ORDER BY datetime_ns, row_hash)) / 1e9 AS s FROM t) SELECT symbol, trading_day, count(s) AS n, round(quantile_cont(s, 0.5), 4) AS median_s, round(quantile_cont(s, 0.95), 4) AS p95_s, round(quantile_cont(s, 0.99), 4) AS p99_s, round(max(s), 4) AS max_s, count(*) FILTER (WHERE s > 600) AS suspicious, count(*) FILTER (WHERE s > 3600) AS critical FROM l GROUP BY ALL")
 def o3_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    return extras.tick_intervals(ticks_from_events(spark, sf), 600)
+    return extras.tick_intervals(ticks_from_events(spark, sf), 600, 3600)
 
 
 @query("""WITH f AS (SELECT symbol, trading_day, last_price - lag(last_price) OVER d AS jump, volume - lag(volume) OVER d AS v, ask_price1 - bid_price1 AS s, datetime_ns, row_hash FROM t WINDOW d AS (PARTITION BY symbol, trading_day ORDER BY datetime_ns, row_hash)),
@@ -789,3 +789,17 @@ def g21_states_of_mixed_cadence(spark: SparkSession, sf: str) -> DataFrame:
     out = validation.states(totals, gap_block=10**9, outside_block=10_000_000, half_block=0.9, tolerance=10**6)
     over_all = F.col("missing_half_seconds") / F.col("strict_seconds") >= 0.9
     return out.select("symbol", "missing_half_seconds", "fixed_strict_seconds", r6("half_ratio").alias("half_ratio"), over_all.alias("blocked_over_all_days"), "policy_state", "reason_code")
+
+
+@query("SELECT symbol, count(*) AS n, sum(last_price) AS total, min(last_price) AS least, max(last_price) AS most, true AS p50_within, true AS p95_within, true AS p99_within FROM t GROUP BY symbol")
+def m11_sketched_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of days merged over all days; whether each quantile's true rank is within the stated bound."""
+    t, shares = ticks_from_events(spark, sf), [0.5, 0.95, 0.99]
+    whole = sketches.merged(sketches.daily_sketches(t, ["symbol"], "trading_day", "last_price"), ["symbol"])
+    found = sketches.quantiles(whole, ["symbol"], shares)
+    ranks = t.select("symbol", "last_price").join(found, "symbol").groupBy("symbol").agg(
+        *[F.struct(F.avg((F.col("last_price") < F.col(sketches.name(q))).cast("int")).alias("a"), F.avg((F.col("last_price") <= F.col(sketches.name(q))).cast("int")).alias("b")).alias(sketches.name(q)) for q in shares]
+    )
+    off = sketches.rank_error()
+    within = [((F.col(f"{sketches.name(q)}.a") <= q + off) & (F.col(f"{sketches.name(q)}.b") >= q - off)).alias(f"{sketches.name(q)}_within") for q in shares]
+    return whole.select("symbol", "n", "total", "least", "most").join(ranks.select("symbol", *within), "symbol")
