@@ -155,14 +155,22 @@ def compute_factors(ticks: DataFrame, names: list[str] | None = None, keep: tupl
     return rows.select("own", *keep, *[FACTORS[n].build().alias(n) for n in names]).filter("own").drop("own")
 
 
-def generated(ticks: DataFrame, names: list[str], lags: tuple[int, ...] = (1, 5)) -> DataFrame:
-    """Candidate features from factors: lagged values, differences, and products and ratios of pairs."""
+def generated(ticks: DataFrame, names: list[str], lags: tuple[int, ...] = (1, 5), windows: tuple[int, ...] = ()) -> DataFrame:
+    """Candidate features from factors: lagged values, differences, products and ratios of pairs, and mean and deviation of full windows.
+
+    A window reaches at most one available day back, as offsets do.
+    """
     keys = ["symbol", "trading_day", "datetime_ns", "row_hash", "segment_id"]
-    rows = with_neighbours(ticks.select(*dict.fromkeys([*keys, "bid_price1", "ask_price1", *[c for n in names for c in FACTORS[n].inputs]])), max(lags), 0).withColumn("_mid", mid())
+    rows = with_neighbours(ticks.select(*dict.fromkeys([*keys, "bid_price1", "ask_price1", *[c for n in names for c in FACTORS[n].inputs]])), max(*lags, *windows, 1), 0).withColumn("_mid", mid())
     rows = rows.select("own", *keys, *[FACTORS[n].build().alias(n) for n in names])
     out = [x for n in names for k in lags for x in (before(F.col(n), k).alias(f"{n}_lag_{k}"), (F.col(n) - before(F.col(n), k)).alias(f"{n}_diff_{k}"))]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     out += [x for a, b in pairs for x in ((F.col(a) * F.col(b)).alias(f"{a}_x_{b}"), F.try_divide(a, b).alias(f"{a}_per_{b}"))]
+    for n in names:
+        for k in windows:
+            frame = series().rowsBetween(-(k - 1), 0)
+            whole = F.count(n).over(frame) == k
+            out += [F.when(whole, F.avg(n).over(frame)).alias(f"{n}_mean_{k}"), F.when(whole, F.stddev_samp(n).over(frame)).alias(f"{n}_std_{k}")]
     return rows.select("own", *keys, *out).filter("own").drop("own")
 
 
