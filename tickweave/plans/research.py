@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.operators import features, research
+from tickweave.operators import evaluation, experiments, features, research
 from tickweave.plans.queries import ORD, W, query, r6
 from tickweave.sources.ticks import ticks_from_events
 
@@ -76,3 +76,42 @@ def o6_fading_metrics(spark: SparkSession, sf: str) -> DataFrame:
     rows = ticks_from_events(spark, sf).select("symbol", "trading_day", "datetime_ns", shift.alias("shift"), regime.alias("regime"), (F.col("row_hash") % 3).alias("l"), F.lit(0.5).alias("p0"), p1.alias("p1"), (0.5 - p1).alias("p2"))
     out = research.fading_metrics(rows, ["symbol", "regime", "shift"], "l", ["p0", "p1", "p2"], 3 * 86_400)
     return out.select("symbol", "regime", "shift", "trading_day", "n", *[r6(c).alias(c) for c in ("brier", "log_loss", "accuracy")])
+
+
+_BUILDS = "bf AS (SELECT DISTINCT symbol, CASE symbol WHEN 'view' THEN 'raw' ELSE 'main_l5' END AS kind, 'v2' AS version, CASE symbol WHEN 'error' THEN '' ELSE 'h1' END AS hash FROM t), bl AS (SELECT DISTINCT symbol, 'main_l5' AS kind, CASE symbol WHEN 'signup' THEN 'v1' ELSE 'v2' END AS version, CASE symbol WHEN 'click' THEN 'h1' ELSE 'h2' END AS hash FROM t)"
+
+
+@query(f"WITH {_BUILDS} SELECT f.symbol, CASE WHEN f.kind <> l.kind THEN 'ticks_kind_mismatch' WHEN f.version <> l.version THEN 'dataset_version_mismatch' WHEN f.hash = '' OR l.hash = '' THEN 'missing_schedule' WHEN f.hash <> l.hash THEN 'schedule_hash_mismatch' END AS reason FROM bf f JOIN bl l USING (symbol)")
+def k1_training_guards(spark: SparkSession, sf: str) -> DataFrame:
+    symbols = ticks_from_events(spark, sf).select("symbol").distinct()
+    at = lambda symbol, yes, no: F.when(F.col("symbol") == symbol, yes).otherwise(no)
+    record = lambda kind, version, schedule: symbols.select("symbol", kind.alias("ticks_kind"), version.alias("dataset_version"), F.lit("fnv").alias("row_hash_algo"), schedule.alias("schedule_hash"))
+    return experiments.training_guards(record(at("view", "raw", "main_l5"), F.lit("v2"), at("error", "", "h1")), record(F.lit("main_l5"), at("signup", "v1", "v2"), at("click", "h1", "h2")))
+
+
+NAMES = ["spread", "imbalance_1", "book_slope"]
+OPTIONS = [{"l2": 1e-4}, {"l2": 1e-1}]
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    t = ticks_from_events(spark, sf)
+    data = evaluation.training_set(features.compute_factors(t, NAMES), features.compute_labels(t, (10,)))
+    data = data.join(t.select("symbol", "datetime_ns", "row_hash", features.mid().alias("mid")), ["symbol", "datetime_ns", "row_hash"])
+    return evaluation.walk_forward_by_symbol(evaluation.with_position(data), min_train=30)
+
+
+@query()
+def k10_benchmark_of_fits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _units(spark, sf)
+    return experiments.benchmark(experiments.score_units(rows, NAMES, "label_10", experiments.fit_units(rows, NAMES, "label_10", OPTIONS, min_rows=30)))
+
+
+@query()
+def k16_swept_options(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _units(spark, sf)
+    return experiments.best_options(experiments.score_units(rows, NAMES, "label_10", experiments.fit_units(rows, NAMES, "label_10", OPTIONS, min_rows=30)))
+
+
+@query()
+def k17_daily_run(spark: SparkSession, sf: str) -> DataFrame:
+    return experiments.daily_run(ticks_from_events(spark, sf), k1_training_guards(spark, sf).withColumn("reason", F.when(F.col("symbol") == "view", F.col("reason"))), NAMES, 10, OPTIONS, min_train=30)
