@@ -91,10 +91,10 @@ def definition_hash(definition: Column) -> Column:
     return F.substring(F.sha2(F.to_json(definition), 256), 1, 16)
 
 
-def table_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: hash of a small ordered table's lines."""
+def table_hash(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Hash of a small ordered table's lines, in one row or one for each key."""
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return df.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16).alias("hash"))
+    return df.groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16).alias("hash"))
 
 
 def row_hash(time: Column, columns: list[str] = NUMERIC) -> Column:
@@ -139,6 +139,29 @@ def schema_hash() -> str:
     return hashlib.sha256(",".join(f"{f.name}:{f.dataType.simpleString()}" for f in TICK_SCHEMA).encode()).hexdigest()[:16]
 
 
+def safe_long(text: Column) -> Column:
+    """Whole number of a text, blanks around it allowed; anything else, also a fraction or one beyond 64 bits, is null."""
+    trimmed = F.trim(text.cast("string"))
+    return F.when(trimmed.rlike(r"^[+-]?[0-9]+$"), trimmed.try_cast("long"))
+
+
+def safe_double(text: Column) -> Column:
+    """Number of a text; NaN and anything else is null."""
+    value = F.trim(text.cast("string")).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def json_array(values: Column) -> Column:
+    """Array as JSON text; a null array is an empty one, null entries stay."""
+    return F.coalesce(F.to_json(values, {"ignoreNullFields": "false"}), F.lit("[]"))
+
+
+def array_of_json(text: Column, entries: str = "string") -> Column:
+    """Array of a JSON text; what is no array, or null, gives an empty one."""
+    found = F.when(F.trim(text).startswith("["), F.from_json(text, f"array<{entries}>"))
+    return F.coalesce(found, F.array().cast(f"array<{entries}>"))
+
+
 def null_rate(column: Column, rows: Column | None = None) -> Column:
     return F.coalesce(F.try_divide(F.count_if(column.isNull()), F.count("*") if rows is None else rows), F.lit(0.0))
 

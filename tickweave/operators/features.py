@@ -244,6 +244,13 @@ def build_record(kind: str, symbol: str, parameters: str, rows: DataFrame, creat
     )
 
 
+def build_records(kind: str, parameters: str, rows: DataFrame, created_at: str) -> DataFrame:
+    """The same of every symbol of rows."""
+    return rows.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("trading_day").alias("first_day"), F.max("trading_day").alias("last_day")).select(
+        short_id(F.lit(kind), F.col("symbol"), F.lit(parameters)).alias("build_id"), F.lit(kind).alias("kind"), "symbol", F.lit(created_at).alias("created_at"), "n_rows", "first_day", "last_day"
+    )
+
+
 def read_latest_build(rows: DataFrame, builds: DataFrame, preferred: str) -> DataFrame:
     """Rows of each symbol's newest build, of the preferred kind if there is one."""
     chosen = builds.groupBy("symbol").agg(F.max_by("build_id", F.struct((F.col("kind") == preferred).alias("p"), "created_at")).alias("build_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.functions.scalars import row_hash, table_hash, whole
+from tickweave.functions.scalars import any_date, row_hash, safe_long, table_hash, whole
 from tickweave.operators import days as days_
 from tickweave.sources.ticks import NUMERIC, has_depth, with_missing_columns
 
@@ -44,6 +44,19 @@ def schedule_hash(schedule: DataFrame) -> DataFrame:
     return table_hash(schedule, ["day", "contract", "segment_id"])
 
 
+def schedule_range(stored: DataFrame, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """symbol, day, contract, segment_id, schedule_hash of stored rows of any column types, typed and sorted; rows without a valid day are left out."""
+    rows = stored.select(F.col("symbol").cast("string").alias("symbol"), any_date(F.col("day")).cast("date").alias("day"), F.col("contract").cast("string").alias("contract"), safe_long(F.col("segment_id")).alias("segment_id"), F.col("schedule_hash").cast("string").alias("schedule_hash"))
+    rows = rows.filter(F.col("day").isNotNull())
+    if symbols is not None:
+        rows = rows.filter(F.col("symbol").isin(symbols))
+    if start is not None:
+        rows = rows.filter(F.col("day") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.filter(F.col("day") <= F.lit(end).cast("date"))
+    return rows.orderBy("symbol", "day")
+
+
 def schedule_state(schedule: DataFrame, key: str = "symbol") -> DataFrame:
     return schedule.groupBy(key).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"), F.count_distinct("contract").alias("contracts"), F.count_distinct("segment_id").alias("segments"))
 

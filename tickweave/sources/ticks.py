@@ -86,7 +86,12 @@ def latest_by_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: str, partition: str = "trading_day") -> None:
-    """Merge rows into a partitioned Parquet table: latest row of a key wins, only touched partitions are rewritten."""
+    """Merge rows into a partitioned Parquet table: latest row of a key wins, only touched partitions are rewritten.
+
+    Each partition is replaced as a whole, but not all at once: after a failure
+    some are new and some old, and running it again mends that.  One writer at
+    a time.
+    """
     touched = new.select(partition).distinct()
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -100,10 +105,10 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], vers
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def delete_where(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows that stay, one-row count of the removed); a null condition keeps the row."""
+def delete_where(df: DataFrame, condition: Column, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, count of the removed, in one row or one for each key); a null condition keeps the row."""
     hit = F.coalesce(condition, F.lit(False))
-    return df.filter(~hit), df.agg(F.count_if(hit).alias("removed"))
+    return df.filter(~hit), df.groupBy(*by).agg(F.count_if(hit).alias("removed"))
 
 
 def export_rows(ticks: DataFrame, per_day: int | None = None, limit: int | None = None, provenance: bool = True) -> DataFrame:
