@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.operators import days
+from tickweave.sources.ticks import kept
 
 KEYS = ["symbol", "datetime_ns", "row_hash"]
 ESTIMATORS = {
@@ -173,7 +174,8 @@ def mark_to_mid(rows: DataFrame, key: str = "symbol", cost: float = 0.0) -> Data
     by = Window.partitionBy(key, "trading_day").orderBy("datetime_ns", "row_hash")
     was, mid_was = F.coalesce(F.lag("position").over(by), F.lit(0)), F.lag("mid").over(by)
     out = both.withColumn("traded", F.abs(F.col("position") - was)).withColumn("pnl", F.coalesce(was * (F.col("mid") - mid_was), F.lit(0.0)) - F.lit(cost) * F.col("traded") * F.col("mid"))
-    out = _prefixed(out.filter("_own"), key, F.sum("pnl"), "_base", F.sum)
+    # both the day sums and the rows read it
+    out = _prefixed(kept(out.filter("_own")), key, F.sum("pnl"), "_base", F.sum)
     within = F.sum("pnl").over(by.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("equity", F.coalesce("_base", F.lit(0.0)) + within).select(*columns, "traded", "pnl", "equity")
 
@@ -181,6 +183,7 @@ def mark_to_mid(rows: DataFrame, key: str = "symbol", cost: float = 0.0) -> Data
 def strategy_report(path: DataFrame, key: str = "symbol", base: float = 1e6) -> DataFrame:
     """Trades, PnL, largest drawdown, annualised daily Sharpe, profit factor and win rate of each path from mark_to_mid."""
     by = Window.partitionBy(key, "trading_day").orderBy("datetime_ns", "row_hash").rowsBetween(Window.unboundedPreceding, 0)
+    path = kept(path)
     worth = _prefixed(path.withColumn("_w", F.lit(base) + F.col("equity")), key, F.max("_w"), "_before", F.max)
     worth = worth.withColumn("_peak", F.greatest("_before", F.max("_w").over(by)))
     totals = worth.groupBy(key).agg(

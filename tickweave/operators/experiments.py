@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.operators import evaluation, features
-from tickweave.sources.ticks import shared_root
+from tickweave.sources.ticks import kept
 
 UNIT = ["symbol", "split_id"]
 FITS = "symbol string, split_id int, option int, status string, error string, n long, steps int, loss double, model binary"
@@ -77,13 +77,6 @@ def _stages(x: np.ndarray, y: np.ndarray, w: np.ndarray, present: list[int]) ->
     return np.concatenate(([len(x), loss], grad.ravel(), hess.ravel()))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
-
-
 def fit_units(rows: DataFrame, columns: list[str], label: str, options: list[dict], min_rows: int = 100, steps: int = 30, tolerance: float = 1e-8) -> DataFrame:
     """A row for each unit and option: status (fitted, skipped, failed), error, n, steps, loss, model.
 
@@ -95,7 +88,7 @@ def fit_units(rows: DataFrame, columns: list[str], label: str, options: list[dic
     settle within the steps fails alone.
     """
     spark, d = rows.sparkSession, len(columns) + 1
-    train = _kept(rows.filter((F.col("role") == "train") & F.col(label).isin(0, 1, 2)).select(F.col("symbol").cast("string").alias("symbol"), F.col("split_id").cast("int").alias("split_id"), _vector(columns).alias("x"), F.col(label).cast("int").alias("y")))
+    train = kept(rows.filter((F.col("role") == "train") & F.col(label).isin(0, 1, 2)).select(F.col("symbol").cast("string").alias("symbol"), F.col("split_id").cast("int").alias("split_id"), _vector(columns).alias("x"), F.col(label).cast("int").alias("y")))
     each = [F.struct(F.avg(F.col("x")[i]).alias("m"), F.stddev_pop(F.col("x")[i]).alias("s")) for i in range(len(columns))]
     counted = rows.select("symbol", F.col("split_id").cast("int").alias("split_id")).distinct().join(train.groupBy(*UNIT).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("y")).alias("classes"), F.array(*each).alias("scale")), UNIT, "left")
     scale, out, weights, last, n_of = {}, {}, {}, {}, {}
@@ -220,11 +213,11 @@ def daily_run(ticks: DataFrame, guards: DataFrame, names: list[str], horizon: in
     labels = features.compute_labels(allowed, (horizon,))
     label = f"label_{horizon}"
     mids = allowed.select("symbol", "datetime_ns", "row_hash", features.mid().alias("mid"))
-    data = _kept(evaluation.training_set(wanted, labels).join(mids, ["symbol", "datetime_ns", "row_hash"]))
+    data = kept(evaluation.training_set(wanted, labels).join(mids, ["symbol", "datetime_ns", "row_hash"]))
     placed = evaluation.walk_forward_by_symbol(evaluation.with_position(data), n_splits=n_splits, min_train=min_train)
-    placed = _kept(placed.withColumn("split_id", F.col("split_id").cast("int")))
+    placed = kept(placed.withColumn("split_id", F.col("split_id").cast("int")))
     fits = fit_units(placed, names, label, options, min_train)
-    scored = _kept(score_units(placed, names, label, fits))
+    scored = kept(score_units(placed, names, label, fits))
     newest = scored.join(scored.groupBy("symbol").agg(F.max("split_id").alias("split_id")), UNIT, "left_semi")
     best = best_options(newest)
     test = newest.filter("role = 'test'").join(best.select("symbol", "option"), ["symbol", "option"], "left_semi")

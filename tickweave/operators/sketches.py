@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.sources.ticks import shared_root
+from tickweave.sources.ticks import kept
 
 #: Size parameter of the sketches.
 K = 1024
@@ -61,10 +61,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     high = lambda q: edge(q + off) if q + off < 1 else F.lit(float("inf"))
     brackets = sketched.select(*keys, "n", F.inline(F.array(*[F.struct(F.lit(float(q)).alias("q"), low(q).alias("low"), high(q).alias("high")) for q in shares])))
     # sketches are random: what one run of them found is kept, so that both parts speak of the same
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    first = _picked(own, brackets, keys).checkpoint()
+    first = kept(_picked(own, brackets, keys))
     missed = first.filter("not found").select(*keys, "q", "n", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
     all_ = first.filter("found").unionByName(_picked(own, missed, keys))
     return all_.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == float(q), F.col("value"))).alias(name(q)) for q in shares])

@@ -78,6 +78,14 @@ def shared_root(spark: SparkSession) -> str:
     return "/tmp/tickweave-checkpoints"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, for plans that read it several times."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()
+
+
 def latest_by_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Of rows with equal keys the one with the greatest version (then the greatest of the other columns)."""
     rest = [c for c in df.columns if c not in keys and c != version]
@@ -99,9 +107,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], vers
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         old = spark.read.parquet(path).join(touched, partition, "left_semi")
         merged = old.unionByName(new, allowMissingColumns=True)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    merged = latest_by_key(merged, keys, version).checkpoint()  # read before the folder it comes from is overwritten
+    merged = kept(latest_by_key(merged, keys, version))  # read before the folder it comes from is overwritten
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
