@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import tempfile
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -246,3 +247,19 @@ def test_toxicity_counts_unlike_training_documents(spark):
         if not any(j % 3 == 0 == i % 3 or (j % 3 and i % 3) for j in kept if len(pairs[i] & pairs[j]) >= 0.8 * len(pairs[i] | pairs[j])):
             kept.append(i)
     assert got == {*kept, 1000, 1010, 2001}
+
+
+def test_warc_leaves_no_table_behind_and_takes_any_path(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    pages = spark.createDataFrame([(1, "u", "<p>same</p>"), (2, "u", "<p>same</p>"), (3, None, None)], "page_id long, url string, html string")
+    got = sorted(tuple(r)[:1] + (r["record_type"], r["refers_to"]) for r in warc.archive_and_read(pages).collect())
+    assert [g[1:] for g in got] == [("revisit", 2), ("response", None), ("response", None)]
+    root = tempfile.mkdtemp(prefix="spark-") + "/it's a path"
+    data = spark.createDataFrame([(hashlib.sha256(b"x").hexdigest(), bytearray(b"x"))], "sha256 string, data binary")
+    data.write.parquet(f"{root}/payloads")
+    assert spark.read.parquet(f"{root}/payloads").count() == 1
+    name = f"b_{abs(hash(root))}"
+    data.write.bucketBy(1, "sha256").sortBy("sha256").option("path", f"{root}-b/payloads").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    assert warc.read_payloads(spark, f"{root}-b", 1).collect()[0]["data"] == b"x"
+    assert {t.name for t in spark.catalog.listTables()} == before

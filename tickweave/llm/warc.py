@@ -83,9 +83,11 @@ def read_payloads(spark: SparkSession, path: str, buckets: int | None = None) ->
     if buckets is None:
         stored = spark.read.parquet(f"{path}/payloads")
     else:
-        name = f"warc_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {name} (sha256 STRING, data BINARY) USING parquet CLUSTERED BY (sha256) SORTED BY (sha256) INTO {buckets} BUCKETS LOCATION '{path}/payloads'")
+        # the catalog knows the buckets; what it gave stays usable without the entry, and the files are not its own
+        name, place = f"warc_{uuid.uuid4().hex}", f"{path}/payloads".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} (sha256 STRING, data BINARY) USING parquet CLUSTERED BY (sha256) SORTED BY (sha256) INTO {buckets} BUCKETS LOCATION '{place}'")
         stored = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
     good = F.sha2("data", 256) == F.col("sha256")
     return stored.select("sha256", F.when(good, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("sha256"))).cast("binary")).alias("data"))
 
