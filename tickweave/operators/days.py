@@ -28,14 +28,13 @@ def changes(rows: DataFrame, keys: list[str], day: str, value: str, order: tuple
     Without first_null a first row without a value isn't one of them.
     """
     by = _within(keys, day, order)
-    marked = rows.withColumn("_before", F.lag(value).over(by)).withColumn("_first", F.row_number().over(by) == 1)
-    some = marked.filter(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before")))
-    last = rows.groupBy(*keys, day).agg(F.max_by(F.struct(value), F.struct(*order))[value].alias("_last"))
-    over = _over_days(keys, day)
-    carried = last.withColumn("_carried", F.lag("_last").over(over)).withColumn("_any", F.row_number().over(over) > 1).select(*keys, day, "_carried", "_any")
-    met = some.join(carried, [*keys, day])
+    marked = rows.withColumn("_before", F.lag(value).over(by)).withColumn("_first", F.row_number().over(by) == 1).withColumn("_last", F.lead(F.lit(1)).over(by).isNull())
+    within = ~F.col("_first") & ~F.col(value).eqNullSafe(F.col("_before"))
+    # with each day's last row among them, a first row's predecessor is the day before's last
+    over = Window.partitionBy(*keys).orderBy(day, *order)
+    some = marked.filter(F.col("_first") | F.col("_last") | within).withColumn("_carried", F.lag(value).over(over)).withColumn("_any", F.row_number().over(over) > 1)
     start = ~F.col("_any") if first_null else F.lit(False)
-    return met.filter(~F.col("_first") | start | ~F.col(value).eqNullSafe(F.col("_carried"))).select(*rows.columns)
+    return some.filter(within | (F.col("_first") & (start | ~F.col(value).eqNullSafe(F.col("_carried"))))).select(*rows.columns)
 
 
 def runs(rows: DataFrame, condition: Column, least: int, keys: list[str], day: str, order: tuple[str, ...] = ORDER) -> DataFrame:
