@@ -107,12 +107,6 @@ def events_for_day(events: DataFrame, day: str) -> DataFrame:
     return events.filter(F.lit(day).cast("date").between(F.col("start_day"), F.col("end_day")))
 
 
-def trim_to_windows(ticks: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Ticks whose second lies in a window of their trading day, ends included; equi join on the day, range as residual."""
-    second = whole(F.col("datetime_ns"), 1_000_000_000)
-    return ticks.join(intervals, (F.col("trading_day") == F.col("day")) & second.between(F.col("start_s"), F.col("end_s")), "left_semi")
-
-
 def window_counts(ticks: DataFrame, intervals: DataFrame) -> DataFrame:
     """trading_day, kept, dropped: ticks inside and outside the windows of their day, in one pass; a day's windows are a handful."""
     windows = intervals.groupBy("day").agg(F.collect_list(F.struct("start_s", "end_s")).alias("_windows"))

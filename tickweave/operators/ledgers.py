@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.calendars import trading_day
+from tickweave.functions.scalars import HASH_TAG, schema_hash, short_id, whole
 from tickweave.operators.schedule import daily_aggregate
 from tickweave.operators.validation import DAY, issue_days
-from tickweave.sources.ticks import delete_where, has_depth
+from tickweave.sources.ticks import delete_where, has_depth, manifest, upsert, with_missing_columns
 
 
 def _first(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -21,24 +22,28 @@ def _clamp(n: int, most: int) -> int:
     return max(1, min(n, most))
 
 
-def latest_days(summary: DataFrame, n: int = 30) -> DataFrame:
-    """The newest n (1..3650) summary rows of each symbol."""
-    return _first(summary, [F.desc("trading_day")], _clamp(n, 3650))
+def _of_schedule(rows: DataFrame, schedule_hash: str | None) -> DataFrame:
+    return rows if schedule_hash is None else rows.filter(F.col("schedule_hash") == schedule_hash)
 
 
-def top_gap_days(summary: DataFrame, n: int = 10) -> DataFrame:
-    """The n (1..200) days of each symbol with the longest gaps."""
-    return _first(summary.filter("max_gap_s > 0"), [F.desc("max_gap_s"), F.desc("missing_segments"), F.desc("trading_day")], _clamp(n, 200))
+def latest_days(summary: DataFrame, n: int = 30, schedule_hash: str | None = None) -> DataFrame:
+    """The newest n (1..3650) summary rows of each symbol, of one schedule if it is named."""
+    return _first(_of_schedule(summary, schedule_hash), [F.desc("trading_day")], _clamp(n, 3650))
 
 
-def top_lag_days(summary: DataFrame, n: int = 10) -> DataFrame:
-    """The n (1..200) days of each symbol that end longest before their session."""
-    return _first(summary.filter("end_lag_s is not null"), [F.desc("end_lag_s"), F.desc("trading_day")], _clamp(n, 200))
+def top_gap_days(summary: DataFrame, n: int = 10, schedule_hash: str | None = None) -> DataFrame:
+    """The n (1..200) days of each symbol with the longest gaps, of one schedule if it is named."""
+    return _first(_of_schedule(summary, schedule_hash).filter("max_gap_s > 0"), [F.desc("max_gap_s"), F.desc("missing_segments"), F.desc("trading_day")], _clamp(n, 200))
 
 
-def list_gaps(gaps: DataFrame, start: str | None = None, end: str | None = None, least_s: int | None = None, n: int = 500) -> DataFrame:
-    """The newest n (1..10,000) gaps of each symbol in a day range, of a least length."""
-    rows = gaps
+def top_lag_days(summary: DataFrame, n: int = 10, schedule_hash: str | None = None) -> DataFrame:
+    """The n (1..200) days of each symbol that end longest before their session, of one schedule if it is named."""
+    return _first(_of_schedule(summary, schedule_hash).filter("end_lag_s is not null"), [F.desc("end_lag_s"), F.desc("trading_day")], _clamp(n, 200))
+
+
+def list_gaps(gaps: DataFrame, start: str | None = None, end: str | None = None, least_s: int | None = None, n: int = 500, schedule_hash: str | None = None) -> DataFrame:
+    """The newest n (1..10,000) gaps of each symbol in a day range, of a least length, of one schedule if it is named."""
+    rows = _of_schedule(gaps, schedule_hash)
     if start is not None:
         rows = rows.filter(F.col("trading_day") >= F.lit(start).cast("date"))
     if end is not None:
@@ -48,6 +53,51 @@ def list_gaps(gaps: DataFrame, start: str | None = None, end: str | None = None,
     return _first(rows, [F.desc("gap_start"), F.asc("session")], _clamp(n, 10_000))
 
 
+def list_tick_gaps(ledger: DataFrame, kind: str = "main_l5", version: str = "v2", n: int = 200) -> DataFrame:
+    """The newest n (1..5000) rows of each symbol in the tick-gap ledger, of one kind and dataset version; missing counts are 0."""
+    rows = _first(ledger.filter((F.col("ticks_kind") == kind) & (F.col("dataset_version") == version)), [F.desc("trading_day")], _clamp(n, 5000))
+    return rows.fillna(0, [c for c in ("expected_min", "expected_max", "max_interval_ms", "abnormal_gaps", "critical_gaps") if c in rows.columns])
+
+
+def latest_reports(reports: DataFrame, exchange: str | None = None, variety: str | None = None, symbol: str | None = None) -> DataFrame:
+    """The newest report of each (exchange, variety, symbol), or of those asked for; names in any case.
+
+    Reports without a text don't count; of equal times the greatest text.
+    """
+    names = {"exchange": F.upper(F.trim("exchange")), "variety": F.lower(F.trim("variety")), "symbol": F.trim("symbol")}
+    rows = reports.filter("report is not null").withColumns(names)
+    for column, asked in (("exchange", exchange and exchange.strip().upper()), ("variety", variety and variety.strip().lower()), ("symbol", symbol and symbol.strip())):
+        rows = rows if asked is None else rows.filter(F.col(column) == asked)
+    newest = rows.groupBy(*names).agg(F.max(F.struct("created_at", "report")).alias("_r"))
+    return newest.select(*names, "_r.created_at", "_r.report")
+
+
+def ingest_manifest(ticks: DataFrame, run_id: str, created_at: str) -> DataFrame:
+    """The manifest's row with the fingerprint of the canonical schema and the tag of the row hash."""
+    return manifest(ticks, run_id, created_at).withColumns({"schema_hash": F.lit(schema_hash()), "hash_algorithm": F.lit(HASH_TAG)})
+
+
+def day_rows(raw: DataFrame, windows: DataFrame, calendar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to store, a count row for each symbol and trading day) of fetched ticks.
+
+    Missing tick columns are null.  Depth ticks stay; of days with session
+    windows those inside one, ends included, of other days those whose own
+    trading day it is.  windows: day, start_s, end_s; a day has a handful.
+    The counts end in the reason of a day without rows: no_depth,
+    outside_sessions or other_day.
+    """
+    spans = windows.groupBy("day").agg(F.collect_list(F.struct("start_s", "end_s")).alias("_windows")).withColumnRenamed("day", "trading_day")
+    rows = with_missing_columns(raw).withColumn("_asked", F.col("trading_day"))
+    rows = trading_day(rows, F.col("datetime_ns"), calendar).withColumn("_own", F.col("trading_day")).withColumn("trading_day", F.col("_asked")).drop("_asked")
+    second = whole(F.col("datetime_ns"), 1_000_000_000)
+    inside = F.exists("_windows", lambda w: second.between(w["start_s"], w["end_s"]))
+    joined = rows.join(spans, "trading_day", "left").withColumn("_has", F.col("_windows").isNotNull()).withColumn("_deep", has_depth())
+    joined = joined.withColumn("_kept", F.col("_deep") & F.coalesce(F.when(F.col("_has"), inside).otherwise(F.col("_own") == F.col("trading_day")), F.lit(False)))
+    counts = joined.groupBy(*DAY).agg(F.count("*").alias("fetched"), F.count_if("_deep").alias("depth"), F.count_if("_kept").alias("stored"), F.bool_or("_has").alias("_has"))
+    reason = F.when(F.col("stored") > 0, None).when(F.col("depth") == 0, "no_depth").when(F.col("_has"), "outside_sessions").otherwise("other_day")
+    return joined.filter("_kept").drop("_windows", "_has", "_deep", "_kept", "_own"), counts.withColumn("reason", reason).drop("_has")
+
+
 def readiness(states: DataFrame) -> DataFrame:
     """States and reason of each symbol with the rates that operations watch."""
     return states.select("symbol", "overall_state", "engineering_state", "source_state", "policy_state", "reason_code", F.coalesce(F.try_divide("missing_days", "days"), F.lit(0.0)).alias("missing_day_rate"), "outside_seconds", "gap_gt_30")
@@ -123,6 +173,16 @@ def target_day_ticks(ticks: DataFrame, targets: DataFrame, calendar: DataFrame |
     return marked.filter("_wanted").drop("_wanted"), counts
 
 
+def regime_rows(states: DataFrame, method: str, parameters: str, updated_at: str) -> DataFrame:
+    """Regime states as rows of their table: how they were found, a hash of the parameters, and when."""
+    return states.select(*DAY, "state", "regime", "probabilities", F.lit(method).alias("method"), short_id(F.lit(method), F.lit(parameters)).alias("config_hash"), F.lit(updated_at).alias("updated_at"))
+
+
+def store_regimes(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Upsert of regime rows; of one symbol, day and configuration the row with the latest updated_at stays."""
+    upsert(spark, path, rows, [*DAY, "config_hash"], "updated_at")
+
+
 def training_days(rollup: DataFrame, today: str, window: int = 60, keep: int = 30) -> DataFrame:
     """The last ``keep`` days with ticks in the ``window`` calendar days up to today, of each symbol."""
     end = F.lit(today).cast("date")

@@ -61,6 +61,42 @@ def schedule_state(schedule: DataFrame, key: str = "symbol") -> DataFrame:
     return schedule.groupBy(key).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"), F.count_distinct("contract").alias("contracts"), F.count_distinct("segment_id").alias("segments"))
 
 
+def stored_schedule_state(stored: DataFrame, key: str = "symbol") -> DataFrame:
+    """Per key: first and last day, days and the set of schedule hashes, sorted; blank hashes are none."""
+    name = F.trim("schedule_hash")
+    return stored.groupBy(key).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"), F.array_sort(F.collect_set(F.when(name != "", name))).alias("hashes"))
+
+
+def schedule_health(stored: DataFrame, expected: DataFrame, key: str = "symbol") -> DataFrame:
+    """Per key the first check that a stored schedule fails, or ok: rows, days, contracts, segments, hashes.
+
+    Both sides have day, contract, segment_id and schedule_hash; rows without
+    a day or contract don't count.  A missing segment is -1; the stored hashes
+    must be exactly the expected one.
+    """
+    valid = lambda df: df.filter("day is not null and contract is not null")
+    sides = valid(stored).withColumn("_stored", F.lit(1)).unionByName(valid(expected).withColumn("_stored", F.lit(0)), allowMissingColumns=True)
+    mine, theirs = F.col("_stored") == 1, F.col("_stored") == 0
+    differs = lambda c: ~F.array_sort(F.collect_list(F.when(mine, c))).eqNullSafe(F.array_sort(F.collect_list(F.when(theirs, c))))
+    segment = F.coalesce("segment_id", F.lit(-1))
+    # a (key, day) has a row on each side, or a few where days repeat
+    by_day = sides.groupBy(key, "day").agg(
+        F.count_if(mine).alias("_a"), F.count_if(theirs).alias("_b"), differs(F.col("contract")).alias("_contract"), differs(segment).alias("_segment"),
+        F.collect_set(F.when(mine & (F.trim("schedule_hash") != ""), F.trim("schedule_hash"))).alias("_have"), F.collect_set(F.when(theirs, F.trim("schedule_hash"))).alias("_want"),
+    )
+    hashes = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    facts = by_day.groupBy(key).agg(
+        F.sum("_b").alias("expected_rows"), F.sum("_a").alias("stored_rows"), F.count_if(F.col("_a") != F.col("_b")).alias("_days"), F.count_if("_contract").alias("_contracts"), F.count_if("_segment").alias("_segments"),
+        hashes("_have").alias("hashes"), hashes("_want").alias("_want"),
+    )
+    # The names of the checks, in their order.
+    failed = (
+        F.when(F.col("stored_rows") != F.col("expected_rows"), "rows").when(F.col("_days") > 0, "days").when(F.col("_contracts") > 0, "contracts").when(F.col("_segments") > 0, "segments")
+        .when(~F.col("hashes").eqNullSafe(F.col("_want")), "hashes").otherwise("ok")
+    )
+    return facts.select(key, "expected_rows", "stored_rows", "hashes", failed.alias("state"))
+
+
 def schedule_difference(stored: DataFrame, expected: DataFrame, key: str = "symbol") -> DataFrame:
     """Per key: days only stored, only expected, and with another contract or segment; all 0 means nothing to do."""
     a, b = stored.alias("a"), expected.alias("b")
@@ -123,11 +159,18 @@ def missing_days(expected: DataFrame, covered: DataFrame, manifest_rows: DataFra
     return gone.select("symbol", "day", "segment_id", F.when(F.col("n_rows") <= 0, "provider").otherwise("engineering").alias("cause"))
 
 
-def health(missing: DataFrame, hashes: DataFrame, tolerance: int = 0) -> DataFrame:
-    """Per symbol: counts by cause, number of schedule hashes and healthy."""
+def health(missing: DataFrame, hashes: DataFrame, tolerance: int = 0, validation: DataFrame | None = None) -> DataFrame:
+    """Per symbol: counts by cause, number of schedule hashes and healthy.
+
+    With validation (symbol, overall_state) an error there, or no state, isn't healthy either.
+    """
     counts = missing.groupBy("symbol").agg(F.count_if(F.col("cause") == "provider").alias("provider"), F.count_if(F.col("cause") == "engineering").alias("engineering"))
     joined = hashes.join(counts, "symbol", "left").fillna(0, ["provider", "engineering"])
-    return joined.withColumn("healthy", (F.col("engineering") == 0) & (F.col("provider") <= tolerance) & (F.col("n_hashes") == 1))
+    healthy = (F.col("engineering") == 0) & (F.col("provider") <= tolerance) & (F.col("n_hashes") == 1)
+    if validation is None:
+        return joined.withColumn("healthy", healthy)
+    rows = joined.join(validation.select("symbol", F.col("overall_state").alias("validation")), "symbol", "left")
+    return rows.fillna("unknown", ["validation"]).withColumn("healthy", healthy & F.col("validation").isin("ok", "warn"))
 
 
 def daily_aggregate(ticks: DataFrame) -> DataFrame:
@@ -160,3 +203,37 @@ def contract_coverage(ticks: DataFrame) -> DataFrame:
     """Tick bounds and depth bounds of each contract in one pass."""
     deep = F.when(has_depth(), F.col("trading_day"))
     return ticks.groupBy("underlying_contract").agg(F.min("trading_day").alias("first_day"), F.max("trading_day").alias("last_day"), F.min(deep).alias("first_depth_day"), F.max(deep).alias("last_depth_day"), F.max("datetime_ns").alias("last_ns"))
+
+
+def coverage(wanted: DataFrame, ticks: DataFrame, series: DataFrame | None = None, last_only: bool = False) -> DataFrame:
+    """Bounds of ticks and of depth ticks of the wanted contracts (column contract); those with neither are left out.
+
+    series: the stored continuous series, far smaller than the ticks; where it
+    has none of the wanted contracts the ticks' own depth counts.  last_only
+    gives last days and times alone and, with a series, reads no book columns.
+    """
+    asked = wanted.select("contract").distinct()
+    of = lambda df: df.withColumnRenamed("underlying_contract", "contract").join(asked, "contract", "left_semi")
+    stored = None if series is None or of(series).isEmpty() else of(series)
+
+    def bounds(name: str, when: Column | None = None) -> list[Column]:
+        day, ns = (F.col(c) if when is None else F.when(when, F.col(c)) for c in ("trading_day", "datetime_ns"))
+        last = [F.max(day).alias(f"last_{name}_day"), F.max(ns).alias(f"last_{name}_ns")]
+        return last if last_only else [F.min(day).alias(f"first_{name}_day"), F.count_distinct(day).alias(f"{name}_days"), F.min(ns).alias(f"first_{name}_ns"), *last]
+
+    found = of(ticks).groupBy("contract").agg(*bounds("tick"), *([] if stored is not None else bounds("depth", has_depth())))
+    return found if stored is None else found.join(stored.groupBy("contract").agg(*bounds("depth")), "contract", "full")
+
+
+def symbols_by_variety(rollup: DataFrame, ticks: DataFrame, varieties: list[str], exchange: str = "shfe") -> DataFrame:
+    """variety, symbols, origin: how many symbols hold exchange.variety, by the rollup, by the ticks where it has none."""
+    names = list(dict.fromkeys(v.strip().lower() for v in varieties if v.strip()))
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        symbol = F.lower("symbol")
+        found = df.select("symbol").distinct().agg(*[F.count_if(symbol.contains(f"{exchange}.{v}")).alias(f"_{i}") for i, v in enumerate(names)])
+        return found.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variety"), F.col(f"_{i}").alias(name)) for i, v in enumerate(names)])))
+
+    both = counts(rollup, "_rolled").join(counts(ticks, "_raw"), "variety")
+    rolled = F.col("_rolled") > 0
+    return both.select("variety", F.when(rolled, F.col("_rolled")).otherwise(F.col("_raw")).alias("symbols"), F.when(rolled, "rollup").otherwise("ticks").alias("origin"))

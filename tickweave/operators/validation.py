@@ -15,9 +15,12 @@ DAY = ["symbol", "trading_day"]
 BUCKETS = {"gap_2_5": (2, 5), "gap_6_15": (6, 15), "gap_16_30": (16, 30), "gap_gt_30": (31, None)}
 
 
-def per_second_counts(ticks: DataFrame) -> DataFrame:
-    """Depth ticks of each second."""
-    return ticks.filter(has_depth()).groupBy(*DAY, whole(F.col("datetime_ns"), 1_000_000_000).alias("sec")).agg(F.count("*").alias("n"))
+def per_second_counts(ticks: DataFrame, shallow: bool = False) -> DataFrame:
+    """Depth ticks of each second; with shallow also seconds that have none, as 0."""
+    second = whole(F.col("datetime_ns"), 1_000_000_000).alias("sec")
+    if shallow:
+        return ticks.groupBy(*DAY, second).agg(F.count_if(has_depth()).alias("n"))
+    return ticks.filter(has_depth()).groupBy(*DAY, second).agg(F.count("*").alias("n"))
 
 
 def second_stats(seconds: DataFrame, strict_ratio: float = 0.5) -> DataFrame:

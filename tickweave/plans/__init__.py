@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from tickweave.plans import ledgers, queries, research, streams, values  # noqa: F401
+from tickweave.plans import ledgers, queries, research, streams, upkeep, values  # noqa: F401

@@ -332,7 +332,10 @@ def f8_counts(spark: SparkSession, sf: str) -> DataFrame:
 # G: validation --------------------------------------------------------------
 def _symbol_intervals(spark: SparkSession, sf: str) -> DataFrame:
     """Three intervals of each symbol and day, in UTC: enough for series of one tick in minutes."""
-    days = ticks_from_events(spark, sf).select("symbol", "trading_day").distinct()
+    return _day_intervals(ticks_from_events(spark, sf).select("symbol", "trading_day").distinct())
+
+
+def _day_intervals(days: DataFrame) -> DataFrame:
     base = F.unix_timestamp(F.col("trading_day").cast("timestamp"))
     parts = F.array(*[F.struct(F.lit(s).alias("session"), F.lit(q).alias("seq"), (base + a).alias("start_s"), (base + b).alias("end_s")) for s, q, a, b in (("day", 1, 32400, 41400), ("day", 2, 48600, 54000), ("night", 1, 75600, 86399))])
     return days.select("symbol", "trading_day", F.inline(parts))
@@ -358,7 +361,10 @@ def _seconds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.day_summary(_seconds(spark, sf), _symbol_intervals(spark, sf), default_threshold=5 * MINUTE, unit=MINUTE)
+    """The ticks are read once: their seconds are written, with those that have no depth, whose days count too."""
+    seconds = T.kept(validation.per_second_counts(ticks_from_events(spark, sf), shallow=True))
+    intervals = _day_intervals(seconds.select("symbol", "trading_day").distinct())
+    return validation.day_summary(seconds.filter("n > 0"), intervals, default_threshold=5 * MINUTE, unit=MINUTE)
 
 
 @query(f"SELECT symbol, trading_day, datetime_ns // 1000000000 AS sec, count(*) AS n FROM t WHERE {DEEP} GROUP BY ALL")

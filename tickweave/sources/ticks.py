@@ -55,12 +55,26 @@ def with_missing_columns(df: DataFrame) -> DataFrame:
     return out.withColumns({c: v for c, v in {"row_hash": F.lit(0).cast("long"), **{p: F.lit(None).cast("string") for p in PROVENANCE}}.items() if c not in have})
 
 
-def ticks_for_day(ticks: DataFrame, symbol: str, day: str, columns: list[str] | None = None, limit: int | None = None, descending: bool = False) -> DataFrame:
-    """One symbol's ticks of one trading day in order; the limit is clamped to 1..2,000,000."""
+def with_identity(df: DataFrame) -> DataFrame:
+    """A missing row_hash is added as 0, missing provenance as null."""
+    absent = {"row_hash": F.lit(0).cast("long"), "underlying_contract": F.lit(None).cast("string"), "segment_id": F.lit(None).cast("long"), "schedule_hash": F.lit(None).cast("string")}
+    return df.withColumns({c: v for c, v in absent.items() if c not in df.columns})
+
+
+def ticks_for_day(ticks: DataFrame, symbol: str, day: str, columns: list[str] | None = None, limit: int | None = None, descending: bool = False, provenance: bool = True) -> DataFrame:
+    """One symbol's ticks of one trading day in order; the limit is clamped to 1..2,000,000.
+
+    Without columns all are returned, those of the provenance only if asked.
+    Of equal times the order is by row_hash; where the table has none it is 0
+    and such an order is not fixed.
+    """
+    ticks = with_identity(ticks)
     keys = [F.desc(c) if descending else F.asc(c) for c in ORDER]
     out = ticks.filter((F.col("symbol") == symbol) & (F.col("trading_day") == F.lit(day).cast("date"))).orderBy(*keys)
     out = out if limit is None else out.limit(max(1, min(limit, 2_000_000)))
-    return out.select(*columns) if columns else out
+    if columns:
+        return out.select(*columns)
+    return out if provenance else out.drop(*PROVENANCE)
 
 
 def first_days_sample(ticks: DataFrame, symbol: str, start: str, end: str, columns: list[str], max_rows: int) -> DataFrame:
@@ -117,15 +131,16 @@ def delete_where(df: DataFrame, condition: Column, by: tuple[str, ...] = ()) ->
     return df.filter(~hit), df.groupBy(*by).agg(F.count_if(hit).alias("removed"))
 
 
-def export_rows(ticks: DataFrame, per_day: int | None = None, limit: int | None = None, provenance: bool = True) -> DataFrame:
-    """Ordered export with limits per (symbol, day) and in all."""
+def export_rows(ticks: DataFrame, per_day: int | None = None, limit: int | None = None, provenance: bool = True, descending: bool = False) -> DataFrame:
+    """Ordered export with limits per (symbol, day) and in all; descending takes the newest rows of each day and symbol first."""
     out = ticks
+    order = [F.desc(c) if descending else F.asc(c) for c in ORDER]
     if per_day is not None:
-        by = Window.partitionBy("symbol", "trading_day").orderBy(*ORDER)
+        by = Window.partitionBy("symbol", "trading_day").orderBy(*order)
         out = out.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_day).drop("_n")
     if not provenance:
         out = out.drop(*PROVENANCE)
-    out = out.orderBy("symbol", *ORDER)
+    out = out.orderBy("symbol", *order)
     return out if limit is None else out.limit(limit)
 
 
