@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tickweave.functions import scalars
-from tickweave.operators import ledgers, quality, schedule
+from tickweave.operators import features, ledgers, quality, schedule
 from tickweave.sources import ticks as T
+from tickweave.streaming import incremental, online
 
 DAY = dt.date(2024, 1, 10)
 BASE = 1_704_844_800  # its midnight, UTC
@@ -118,3 +121,32 @@ def test_varieties_by_rollup_then_ticks(spark):
     symbols = lambda *s: spark.createDataFrame([(x,) for x in s], "symbol string")
     out = schedule.symbols_by_variety(symbols("KQ.m@SHFE.cu", None), symbols("KQ.m@SHFE.cu", "shfe.CU2401", "SHFE.au2401", None), ["cu", "AU", "au", " ", "zn"])
     assert {r.variety: (r.symbols, r.origin) for r in out.collect()} == {"cu": (1, "rollup"), "au": (1, "ticks"), "zn": (0, "ticks")}
+
+
+def test_registered_factors_over_several_batches_equal_batch(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    n = events.count()
+    for i in range(5):  # in order of time, cut within days
+        events.filter((F.col("event_id") * 5 >= i * n) & (F.col("event_id") * 5 < (i + 1) * n)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = T.ticks_of(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    stream = stream.withColumn("note", F.lit("x"))
+    # a factor and its step registered from outside
+    features.register_factor("volume_delta_3", ("volume",), 3)(lambda: F.col("volume") - features.before(F.col("volume"), 3))
+    try:
+        with pytest.raises(ValueError, match="volume_delta_3"):
+            incremental.incremental_factors(stream)
+        incremental.register_step("volume_delta_3")(lambda trail: trail.columns["volume"] - trail.back(trail.columns["volume"], 3))
+        got = online.run_to_end(incremental.incremental_factors(stream), str(tmp_path / "run"))
+        want = features.compute_factors(T.ticks_from_events(spark, sf), list(features.FACTORS), ("row_hash",))
+        rounded = lambda df: sorted((r["row_hash"], *[None if r[c] is None else round(r[c], 9) for c in features.FACTORS]) for r in df.collect())
+        assert rounded(got) == rounded(want)
+    finally:
+        features.FACTORS.pop("volume_delta_3")
+        incremental.STEPS.pop("volume_delta_3", None)
+
+
+def test_trail_reaches_one_day_back_and_never_across_a_roll():
+    trail = incremental.Trail({"bid_price1": np.array([1.0, 3, 5, 7]), "ask_price1": np.array([3.0, 5, np.nan, 9])}, np.array([0, 0, 0, 1]), np.array([1, 2, 3, 3]))
+    assert trail.near(1).tolist() == [False, True, True, False] and trail.near(2).tolist() == [False] * 4
+    assert np.isnan(trail.back(trail.mid, 1)).tolist() == [True, False, False, True]
+    assert np.isnan(trail.deviation(trail.mid, 9)).all()

@@ -16,6 +16,7 @@ from tickweave.plans.queries import DAYSUM, DEEP, ORD, TOTALS, W, query, r6
 from tickweave.plans.values import TYPES
 from tickweave.sources import ticks as T
 from tickweave.sources.ticks import shared_root, ticks_from_events
+from tickweave.streaming import incremental, online
 
 
 @query("SELECT * EXCLUDE (segment_id, underlying_contract) FROM t WHERE symbol = 'click' AND trading_day = DATE '2024-01-12'")
@@ -211,6 +212,22 @@ def h7_contract_report(spark: SparkSession, sf: str) -> DataFrame:
     return checks.select("check", r6("value").alias("value"), "passed")
 
 
+# streams ------------------------------------------------------------------------
+_FACTORS = f"""{q.ROLLING}, h AS (SELECT symbol, row_hash, ask_price1 - bid_price1 AS spread, mid, CASE WHEN bid_volume1 + ask_volume1 > 0 THEN (ask_price1 * bid_volume1 + bid_price1 * ask_volume1) / (bid_volume1 + ask_volume1) ELSE mid END AS microprice,
+CASE WHEN bid_volume1 + ask_volume1 > 0 THEN (bid_volume1 - ask_volume1) / (bid_volume1 + ask_volume1) ELSE 0 END AS imbalance_1, CASE WHEN {q._BV} + {q._AV} > 0 THEN ({q._BV} - ({q._AV})) / ({q._BV} + {q._AV}) ELSE 0 END AS imbalance_total, CASE WHEN {q._BV} + {q._AV} > 0 THEN ({q._PV}) / ({q._BV} + {q._AV}) END AS depth_weighted_price,
+CASE WHEN {q._WB} + {q._WA} > 0 THEN ({q._WB} - ({q._WA})) / ({q._WB} + {q._WA}) ELSE 0 END AS book_slope, return_10, volatility_20, volume - {q._lagged('volume', 10)} AS volume_delta_10, open_interest - {q._lagged('open_interest', 10)} AS oi_delta_10 FROM g)"""
+_ROUNDED = ["microprice", "imbalance_1", "imbalance_total", "depth_weighted_price", "book_slope", "return_10", "volatility_20"]
+
+
+@query(f"WITH {_FACTORS} SELECT symbol, row_hash, spread, mid, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)}, volume_delta_10, oi_delta_10 FROM h")
+def n1_stream_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """All registered factors tick by tick."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = T.ticks_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf}/events*.parquet"))
+    out = online.run_to_end(incremental.incremental_factors(stream), q._stream_path(spark))
+    return out.select("symbol", "row_hash", "spread", "mid", *[r6(c).alias(c) for c in _ROUNDED], "volume_delta_10", "oi_delta_10")
+
+
 # builds and regimes -----------------------------------------------------------------
 @query(f"WITH {ORD}, f AS (SELECT symbol, row_hash, mid, lead(o, 10) OVER {W} <= o + 1 AS there, lead(mid, 10) OVER {W} AS m2 FROM d), k AS (SELECT *, CASE WHEN symbol = 'view' THEN 1 ELSE 2 END AS k FROM f) SELECT symbol, row_hash, CASE WHEN symbol = 'view' THEN 'raw' ELSE 'main_l5' END AS kind, CASE WHEN there THEN CASE WHEN m2 - mid >= k THEN 2 WHEN m2 - mid <= -k THEN 0 ELSE 1 END END AS label_10 FROM k")
 def j6_latest_labels(spark: SparkSession, sf: str) -> DataFrame:

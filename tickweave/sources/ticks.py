@@ -199,8 +199,13 @@ def merged_catalog(older: DataFrame, newer: DataFrame, key: str = "symbol") -> D
 
 
 def ticks_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as ticks: integer-valued prices, three contracts by day of month, with depthless, null and crossed rows."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
+    """The events table as ticks."""
+    return ticks_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def ticks_of(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as ticks: integer-valued prices, three contracts by day of month, with depthless, null and crossed rows."""
+    e = events.select("event_id", "ts", "event_type", "value")
     i, base = F.col("event_id"), F.round(F.col("value") * 100).cast("long")
     shallow, crossed = i % 11 == 0, i % 101 == 0
     book = {}
