@@ -76,9 +76,10 @@ def session_intervals(days: DataFrame, sessions: DataFrame, holidays: DataFrame
     night = F.col("session") == "night"
     both = days.withColumn("_k", F.lit(1)).join(F.broadcast(sessions.withColumn("_k", F.lit(1))), "_k").drop("_k")
     if holidays is not None:
-        spans = holidays.select(F.col("day").alias("holiday"))
-        broken = days.join(F.broadcast(spans), (F.col("holiday") > F.col("previous")) & (F.col("holiday") < F.col("day")), "left_semi").select("day", F.lit("night").alias("session"))
-        both = both.join(F.broadcast(broken), ["day", "session"], "left_anti")
+        # the days between two trading days are a few, so that holidays meet them by equality
+        between = days.filter(F.datediff("day", "previous") > 1).select("day", F.explode(F.sequence(F.date_add("previous", 1), F.date_sub("day", 1))).alias("holiday"))
+        broken = between.join(holidays.select(F.col("day").alias("holiday")), "holiday", "left_semi").select("day", F.lit("night").alias("session")).distinct()
+        both = both.join(broken, ["day", "session"], "left_anti")
     base = F.unix_timestamp(F.to_utc_timestamp(F.when(night, F.col("previous")).otherwise(F.col("day")).cast("timestamp"), MARKET_ZONE))
     stop = F.when(F.col("stop") <= F.col("start"), F.col("stop") + 86400).otherwise(F.col("stop"))
     out = both.filter(~night | F.col("previous").isNotNull()).select("day", "session", (base + F.col("start")).alias("start_s"), (base + stop).alias("end_s"))
@@ -89,13 +90,13 @@ def apply_events(intervals: DataFrame, events: DataFrame) -> DataFrame:
     """Skips first; then shift_start on a session's first and shift_end on its last interval, unless that would invert it."""
     active = events.withColumn("day", F.explode(F.sequence("start_day", "end_day")))
     skipped = active.filter("action = 'skip'").select("day", "session").distinct()
-    left = intervals.join(F.broadcast(skipped), ["day", "session"], "left_anti")
+    left = intervals.join(skipped, ["day", "session"], "left_anti")
     local = F.unix_timestamp(F.to_utc_timestamp(F.col("day").cast("timestamp"), MARKET_ZONE))
     shifts = active.filter("action in ('shift_start', 'shift_end')").groupBy("day", "session").agg(
         F.max(F.when(F.col("action") == "shift_start", clock_seconds(F.col("start_time")))).alias("new_start"), F.max(F.when(F.col("action") == "shift_end", clock_seconds(F.col("end_time")))).alias("new_end")
     )
     by = Window.partitionBy("day", "session")
-    rows = left.withColumn("_last", F.max("seq").over(by)).join(F.broadcast(shifts), ["day", "session"], "left")
+    rows = left.withColumn("_last", F.max("seq").over(by)).join(shifts, ["day", "session"], "left")
     # clock times count from the local midnight before the interval
     midnight = local + F.floor((F.col("start_s") - local) / 86400) * 86400
     start = F.when((F.col("seq") == 1) & (midnight + F.col("new_start") < F.col("end_s")), midnight + F.col("new_start")).otherwise(F.col("start_s"))
