@@ -24,9 +24,11 @@ def _star(pairs: DataFrame, keep_larger: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """node, root of every node with an edge; root is the least node of its component.
 
-    Alternates large-star and small-star steps, which move no neighbour list
-    into one task, until every edge points at a root.  Null ends and loops are
-    ignored.
+    Alternates large-star and small-star steps until every edge points at a
+    root.  Least neighbours are aggregated before the shuffle.  The edges of
+    one node meet in one key of a join, as rows, not as a list: a node with
+    many neighbours makes one task larger, unless Spark splits it at run time.
+    Null ends and loops are ignored.
     """
     pairs = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct())
     for _ in range(max_rounds):

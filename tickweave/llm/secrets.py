@@ -110,7 +110,13 @@ def findings_of(versions: DataFrame, path_col: str, text_col: str, ledger: DataF
 
 
 def scan_with_ledger(versions: DataFrame, path_col: str, text_col: str, ledger_path: str, first: bool, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """One run: reads the ledger (none yet, if it is the first), scans unseen pairs, appends them, and gives all rows' findings."""
+    """One run: reads the ledger (none yet, if it is the first), scans unseen pairs, appends them, and gives all rows' findings.
+
+    A run that fails before its append is committed leaves the ledger as it
+    was; one repeated after the append finds nothing unseen.  A pair that two
+    runs append has equal spans and counts once.  An empty table appends
+    nothing and gives no rows.  Otherwise as scan_versions.
+    """
     spark: SparkSession = versions.sparkSession
     known = None if first else spark.read.parquet(ledger_path)
     scan_unseen(versions, text_col, known, rules).write.mode("append").parquet(ledger_path)
