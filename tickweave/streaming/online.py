@@ -18,9 +18,12 @@ _FACTOR_OUT = "symbol string, trading_day date, datetime_ns long, row_hash long,
 _FACTOR_STATE = "segment long, ordinal long, day string, mids array<double>, volumes array<double>, interest array<double>, days array<long>"
 
 
-def without_repeats(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One tick for each symbol and time; state is dropped behind the watermark on ts."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "datetime_ns"])
+def without_repeats(stream: DataFrame, delay: str = "10 minutes", keys: tuple[str, ...] = ("symbol", "datetime_ns")) -> DataFrame:
+    """One tick for each symbol and time, or other keys; state is dropped behind the watermark on ts.
+
+    With row_hash among the keys different ticks of one time all stay.
+    """
+    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def unique_ids(stream: DataFrame, id_col: str, delay: str = "10 minutes") -> DataFrame:
