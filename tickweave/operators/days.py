@@ -55,18 +55,19 @@ def runs(rows: DataFrame, condition: Column, least: int, keys: list[str], day: s
     return inner.unionByName(stitched).filter(F.col("n") >= least)
 
 
-def as_of(asked: DataFrame, rows: DataFrame, values: list[str], keys: list[str], day: str, order: tuple[str, ...] = ORDER) -> DataFrame:
+def as_of(asked: DataFrame, rows: DataFrame, values: list[str], keys: list[str], day: str, order: tuple[str, ...] = ORDER, by_place: bool = False) -> DataFrame:
     """asked with each value's last one of rows that is not null, at or before its time (the first column of order).
 
     asked and rows have keys, day and the columns of order; day must follow
-    from the time alone.  Nothing before: null.
+    from the time alone.  Nothing before: null.  by_place: at or before its
+    place in the whole order, so of rows of its own time only those up to it.
     """
     at, *ties = order
     side = rows.select(*keys, day, *order, *values, F.lit(0).alias("_side"))
     kept = [c for c in asked.columns if c not in (*keys, day, *order)]
     left = asked.select(*keys, day, *order, F.struct(*[F.col(c) for c in (kept or [day])]).alias("_asked"), F.lit(1).alias("_side"))
     both = left.unionByName(side, allowMissingColumns=True)
-    by = Window.partitionBy(*keys, day).orderBy(at, "_side", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    by = Window.partitionBy(*keys, day).orderBy(*((*order, "_side") if by_place else (at, "_side", *ties))).rowsBetween(Window.unboundedPreceding, 0)
     over = _over_days(keys, day)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     last = both.groupBy(*keys, day).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(at, *ties))).alias(v) for v in values])

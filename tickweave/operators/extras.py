@@ -62,10 +62,14 @@ def _by_time(rows: DataFrame, at: str = "datetime_ns") -> DataFrame:
     return rows.withColumn("_day", whole(F.col(at), DAY_NS))
 
 
-def slippage(fills: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Fill price against the last price at arrival: backward as-of join by days."""
+def slippage(fills: DataFrame, ticks: DataFrame, by_place: bool = False) -> DataFrame:
+    """Fill price against the last price at arrival: backward as-of join by days.
+
+    Where fills have the time and row_hash of the tick they follow, by_place
+    finds that tick also among others of its time.
+    """
     rows = _by_time(ticks.select("symbol", "datetime_ns", "row_hash", F.col("last_price").alias("arrival")))
-    out = days.as_of(_by_time(fills.select("symbol", "datetime_ns", "row_hash", "price")), rows, ["arrival"], ["symbol"], "_day")
+    out = days.as_of(_by_time(fills.select("symbol", "datetime_ns", "row_hash", "price")), rows, ["arrival"], ["symbol"], "_day", by_place=by_place)
     return out.select("symbol", "row_hash", "price", "arrival", (F.col("price") - F.col("arrival")).alias("slippage"))
 
 
