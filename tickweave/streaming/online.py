@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickweave.functions.scalars import whole
 from tickweave.operators import days, sketches
+from tickweave.streaming.ordered import InOrder
 
 FEATURES = ["return_10", "volatility_20", "volume_delta_10", "oi_delta_10"]
 _FACTOR_OUT = "symbol string, trading_day date, datetime_ns long, row_hash long, segment_id long, return_10 double, volatility_20 double, volume_delta_10 double, oi_delta_10 double"
@@ -80,47 +83,43 @@ def stream_factors(stream: DataFrame) -> DataFrame:
     return stream.groupBy("symbol").applyInPandasWithState(_factor_rows, _FACTOR_OUT, _FACTOR_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def online_calibration(stream: DataFrame, features: list[str], horizon: int, threshold: float, rate: float = 0.01, decay: float = 0.999, l2: float = 1e-3, clip: float = 1.0) -> DataFrame:
-    """Delayed labels feed a softmax regression for each symbol, step by step.
+def online_calibration(stream: DataFrame, features: list[str], horizon: int, threshold: float, rate: float = 0.01, decay: float = 0.999, l2: float = 1e-3, clip: float = 1.0) -> InOrder:
+    """Delayed labels feed a softmax regression for each symbol, step by step; for run_to_end.
 
     Each tick is scored with the weights so far; ``horizon`` ticks later its
     label (0 down, 1 flat, 2 up) is known and one clipped gradient step is
     made, its rate falling by a constant factor.  Weights start at 0.  A mean of
     the last 100 losses over 2 disables the model for good (probabilities are
-    then uniform and nothing more is learned).
+    then uniform and nothing more is learned).  Steps follow one another, so a
+    symbol is one task's work; it holds one Arrow batch of ticks.
     """
     k = len(features) + 1
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["datetime_ns", "row_hash"])
-        flat, n, losses, buffer, off = state.get if state.exists else ([0.0] * (3 * k), 0, [], [], False)
-        w, losses, buffer = np.array(flat).reshape(3, k), list(losses), [list(b) for b in buffer]
-        out = []
-        for r in rows.to_dict("records"):
+    def step(symbol: str | None, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        w, n, losses, buffer, off = state or (np.zeros((3, k)), 0, deque(maxlen=100), deque(maxlen=horizon), False)
+        given = np.column_stack([np.ones(len(rows)), *[rows[f].fillna(0.0).to_numpy(np.float64) for f in features]])
+        mids, hot, labels, scores = rows["mid"].to_numpy(np.float64), np.eye(3), [], np.empty((len(rows), 3))
+        for i, (x, mid) in enumerate(zip(given, mids.tolist(), strict=True)):
             label = None
-            if len(buffer) >= horizon and pd.notna(r["mid"]):
-                old = buffer[-horizon]
-                delta = r["mid"] - old[-1]
+            if len(buffer) == horizon and mid == mid:
+                old, before = buffer[0]
+                delta = mid - before
                 label = 2 if delta >= threshold else 0 if delta <= -threshold else 1
             if label is not None and not off:
-                x = np.array(old[:-1])
-                p = _softmax(w @ x)
-                losses = [*losses, float(-np.log(max(p[label], 1e-10)))][-100:]
-                g = np.outer(p - np.eye(3)[label], x) + l2 * w
-                w = w - rate * decay**n * g * min(1.0, clip / max(float(np.linalg.norm(g)), 1e-12))
+                p = _softmax(w @ old)
+                losses.append(-math.log(max(p[label], 1e-10)))
+                g = (p - hot[label])[:, None] * old + l2 * w
+                w = w - rate * decay**n * g * min(1.0, clip / max(math.sqrt(float((g * g).sum())), 1e-12))
                 n += 1
-            x = np.array([1.0, *[0.0 if pd.isna(r[f]) else float(r[f]) for f in features]])
-            off = off or (len(losses) == 100 and float(np.mean(losses)) > 2)
-            p = np.full(3, 1 / 3) if off else _softmax(w @ x)
-            out.append((key[0], r["datetime_ns"], r["row_hash"], label, *map(float, p)))
-            if pd.notna(r["mid"]):
-                buffer = [*buffer, [*map(float, x), float(r["mid"])]][-horizon:]
-        state.update((w.ravel().tolist(), n, losses, buffer, off))
-        yield pd.DataFrame(out, columns=["symbol", "datetime_ns", "row_hash", "delayed_label", "p_down", "p_flat", "p_up"]).astype({"delayed_label": "Int64"})
+            off = off or (len(losses) == 100 and sum(losses) / 100 > 2)
+            scores[i] = 1 / 3 if off else _softmax(w @ x)
+            labels.append(label)
+            if mid == mid:
+                buffer.append((x.copy(), mid))
+        out = rows[["symbol", "datetime_ns", "row_hash"]].assign(delayed_label=pd.array(labels, dtype="Int64"), p_down=scores[:, 0], p_flat=scores[:, 1], p_up=scores[:, 2])
+        return out, (w, n, losses, buffer, off)
 
-    return stream.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, datetime_ns long, row_hash long, delayed_label long, p_down double, p_flat double, p_up double", "w array<double>, n long, losses array<double>, buffer array<array<double>>, off boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    return InOrder(stream, step, "symbol string, datetime_ns long, row_hash long, delayed_label long, p_down double, p_flat double, p_up double")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -134,8 +133,12 @@ def target_changes(scored: DataFrame, key: str = "symbol") -> DataFrame:
     return days.changes(rows, [key], "_day", "target", first_null=False).drop("_day")
 
 
-def run_to_end(stream: DataFrame, path: str, handler: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote to path/out."""
+def run_to_end(stream: DataFrame | InOrder, path: str, handler: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote to path/out; only plain streams take a handler."""
+    if isinstance(stream, InOrder):
+        if handler:
+            raise ValueError("a stream in order writes its own output")
+        return stream.run_to_end(path)
     writer = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     query = writer.foreachBatch(handler).start() if handler else writer.format("parquet").option("path", f"{path}/out").start()
     query.awaitTermination()
