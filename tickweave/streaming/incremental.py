@@ -7,19 +7,18 @@ its Column; the trail holds the ticks that a step may look back to.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickweave.operators.features import FACTORS
+from tickweave.streaming.ordered import InOrder
 
 KEYS = ["symbol", "trading_day", "datetime_ns", "row_hash", "segment_id"]
-_STATE = "segment long, ordinal long, day string, inputs array<array<double>>, days array<long>"
 
 
 @dataclass(frozen=True)
@@ -100,13 +99,13 @@ def _oi_delta_10(trail: Trail) -> np.ndarray:
     return interest - trail.back(interest, 10)
 
 
-def incremental_factors(stream: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """KEYS and the factors of each tick of a stream, by the batch rules; all registered ones without names.
+def incremental_factors(stream: DataFrame, names: list[str] | None = None) -> DataFrame | InOrder:
+    """KEYS and the factors of each tick of a stream, by the batch rules, for run_to_end; all registered ones without names.
 
     State is one trail for each symbol: as many ticks as the longest lookback
-    and one, cleared at a roll.  Ticks of a micro-batch, whose files the trigger
-    bounds, are put in order; later ones must not be older.  Other columns of
-    the stream are left out.  A factor with lookback and no step is an error.
+    and one, cleared at a roll.  Ticks of a micro-batch pass in order, an Arrow
+    batch at a time; later ones must not be older.  Other columns of the stream
+    are left out.  A factor with lookback and no step is an error.
     """
     names = list(FACTORS) if names is None else names
     rolling = [n for n in names if FACTORS[n].lookback > 0]
@@ -120,25 +119,22 @@ def incremental_factors(stream: DataFrame, names: list[str] | None = None) -> Da
         return ready.select(*KEYS, *names)
     ring = max(FACTORS[n].lookback for n in rolling) + 1
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["datetime_ns", "row_hash"])
-        segment, ordinal, day, old, old_days = state.get if state.exists else (-1, 0, "", [[] for _ in inputs], [])
+    def step(symbol: str | None, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        segment, ordinal, day, old, old_days = state or (-1, 0, "", [np.array([]) for _ in inputs], [])
         kept = len(old_days)
         name = rows["trading_day"].astype(str).to_numpy()
         days = np.append(np.array(old_days, np.int64), ordinal + np.cumsum(name != np.append([day], name[:-1])))
         own = rows["segment_id"].fillna(-1).to_numpy(np.int64)
         run = np.append(np.zeros(kept, np.int64), np.cumsum(own != np.append([segment], own[:-1])))
-        values = {c: np.append(np.array([np.nan if v is None else v for v in past], np.float64), rows[h].to_numpy(np.float64)) for c, h, past in zip(inputs, held, old, strict=True)}
+        values = {c: np.append(past, rows[h].to_numpy(np.float64)) for c, h, past in zip(inputs, held, old, strict=True)}
         trail = Trail(values, run, days)
         out = rows[[*KEYS, *plain]].reset_index(drop=True)
         for n in rolling:
             found = STEPS[n](trail)[kept:]
             out[n] = pd.array(np.where(np.isnan(found), None, found), dtype="Float64")
         last = np.flatnonzero(run == run[-1])[-ring:]
-        state.update((int(own[-1]), int(days[-1]), str(name[-1]), [[None if np.isnan(v) else float(v) for v in values[c][last]] for c in inputs], [int(x) for x in days[last]]))
-        yield out
+        return out, (int(own[-1]), int(days[-1]), str(name[-1]), [values[c][last] for c in inputs], days[last])
 
     types = {f.name: f.dataType.simpleString() for f in ready.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in (*KEYS, *plain)] + [f"`{n}` double" for n in rolling])
-    found = ready.groupBy("symbol").applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
-    return found.select(*KEYS, *names)
+    types |= dict.fromkeys(rolling, "double")
+    return InOrder(ready, step, ", ".join(f"`{c}` {types[c]}" for c in (*KEYS, *names)))

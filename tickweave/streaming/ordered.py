@@ -58,7 +58,7 @@ class InOrder:
         step, columns = self.step, [*T.StructType.fromDDL(self.schema).names, "_state"]
 
         def closing(symbol: str | None, state: object) -> pd.DataFrame:
-            return pd.DataFrame([{"symbol": symbol, "_state": pickle.dumps(state)}], columns=columns)
+            return pd.DataFrame({c: pd.Series([{"symbol": symbol, "_state": pickle.dumps(state)}.get(c)], dtype=object) for c in columns})
 
         def worked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             now, state = None, None
