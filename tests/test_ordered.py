@@ -40,7 +40,7 @@ def test_a_step_sees_few_ticks_at_a_time_and_all_in_order(spark):
     assert found[900]["nth"] == 0 and found[900]["before"] is None
 
 
-@pytest.mark.parametrize("name", ["n1_stream_factors", "m4_m5_online_calibration"])
+@pytest.mark.parametrize("name", ["n1_stream_factors", "m2_m3_stream_factors", "m4_m5_online_calibration"])
 def test_queries_of_streams_hold_no_whole_micro_batch(spark, sf, monkeypatch, name):
     from tickweave.plans.queries import QUERIES
 

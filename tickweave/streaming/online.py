@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickweave.functions.scalars import whole
 from tickweave.operators import days, sketches
@@ -18,7 +17,6 @@ from tickweave.streaming.ordered import InOrder
 
 FEATURES = ["return_10", "volatility_20", "volume_delta_10", "oi_delta_10"]
 _FACTOR_OUT = "symbol string, trading_day date, datetime_ns long, row_hash long, segment_id long, return_10 double, volatility_20 double, volume_delta_10 double, oi_delta_10 double"
-_FACTOR_STATE = "segment long, ordinal long, day string, mids array<double>, volumes array<double>, interest array<double>, days array<long>"
 
 
 def without_repeats(stream: DataFrame, delay: str = "10 minutes", keys: tuple[str, ...] = ("symbol", "datetime_ns")) -> DataFrame:
@@ -38,15 +36,14 @@ def unique_ids(stream: DataFrame, id_col: str, delay: str = "10 minutes") -> Dat
 RING = 21
 
 
-def _factor_rows(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["datetime_ns", "row_hash"])
-    segment, ordinal, day, mids, volumes, interest, days = state.get if state.exists else (-1, 0, "", [], [], [], [])
+def _factor_rows(symbol: str | None, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    segment, ordinal, day, mids, volumes, interest, days = state or (-1, 0, "", *[np.array([])] * 4)
     kept = len(mids)
     name = rows["trading_day"].astype(str).to_numpy()
     ordinals = ordinal + np.cumsum(name != np.append([day], name[:-1]))
     own = rows["segment_id"].to_numpy(np.int64)
     run = np.append(np.zeros(kept, np.int64), np.cumsum(own != np.append([segment], own[:-1])))  # a roll starts a new run: nothing crosses it
-    number = lambda old, new: np.append(np.array([np.nan if v is None else v for v in old], np.float64), new.astype(np.float64))
+    number = lambda old, new: np.append(old, new.astype(np.float64))
     mid = number(mids, ((rows["bid_price1"] + rows["ask_price1"]) / 2).to_numpy())
     volume, oi, at = number(volumes, rows["volume"].to_numpy()), number(interest, rows["open_interest"].to_numpy()), np.append(np.array(days, np.int64), ordinals)
     n = len(mid)
@@ -69,18 +66,17 @@ def _factor_rows(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState)
         # NaN is null, as in batch
         out[f] = pd.array(np.where(np.isnan(x[kept:]), None, x[kept:]), dtype="Float64")
     last = np.flatnonzero(run == run[-1])[-RING:]
-    lists = [[None if np.isnan(v) else float(v) for v in x[last]] for x in (mid, volume, oi)]
-    state.update((int(own[-1]), int(ordinals[-1]), str(name[-1]), *lists, [int(x) for x in at[last]]))
-    yield out
+    return out, (int(own[-1]), int(ordinals[-1]), str(name[-1]), mid[last], volume[last], oi[last], at[last])
 
 
-def stream_factors(stream: DataFrame) -> DataFrame:
-    """The rolling factors tick by tick from a ring of 21 ticks for each symbol; same rules as in batch.
+def stream_factors(stream: DataFrame) -> InOrder:
+    """The rolling factors tick by tick from a ring of 21 ticks for each symbol, for run_to_end; same rules as in batch.
 
-    Ticks of a micro-batch, whose files the trigger bounds, are put in order and
-    computed as arrays; the state is cleared at a roll.
+    Ticks of a micro-batch pass in order, computed as arrays an Arrow batch at a
+    time; the state is cleared at a roll.
     """
-    return stream.groupBy("symbol").applyInPandasWithState(_factor_rows, _FACTOR_OUT, _FACTOR_STATE, "append", GroupStateTimeout.NoTimeout)
+    needed = ["symbol", "trading_day", "datetime_ns", "row_hash", "segment_id", "bid_price1", "ask_price1", "volume", "open_interest"]
+    return InOrder(stream.select(*needed), _factor_rows, _FACTOR_OUT)
 
 
 def online_calibration(stream: DataFrame, features: list[str], horizon: int, threshold: float, rate: float = 0.01, decay: float = 0.999, l2: float = 1e-3, clip: float = 1.0) -> InOrder:
