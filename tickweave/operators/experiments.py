@@ -48,8 +48,14 @@ def training_guards(feature_builds: DataFrame, label_builds: DataFrame) -> DataF
     return both.select("symbol", reason.alias("reason"))
 
 
-def _vector(columns: list[str]) -> Column:
-    return F.array(*[F.when(F.isnan(F.col(c).cast("double")), 0.0).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in columns])
+def _inputs(columns: list[str]) -> list[Column]:
+    """Columns _x0, _x1 and so on, missing as 0; plain numbers reach numpy without an object for each row."""
+    return [F.when(F.isnan(F.col(c).cast("double")), 0.0).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"_x{i}") for i, c in enumerate(columns)]
+
+
+def _design(part: pd.DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """A column of ones and the standardised inputs."""
+    return np.hstack((np.ones((len(part), 1)), (part[[f"_x{i}" for i in range(len(mean))]].to_numpy(np.float64) - mean) / scale))
 
 
 def _softmax(x: np.ndarray, w: np.ndarray, present: list[int]) -> np.ndarray:
@@ -88,8 +94,8 @@ def fit_units(rows: DataFrame, columns: list[str], label: str, options: list[dic
     settle within the steps fails alone.
     """
     spark, d = rows.sparkSession, len(columns) + 1
-    train = kept(rows.filter((F.col("role") == "train") & F.col(label).isin(0, 1, 2)).select(F.col("symbol").cast("string").alias("symbol"), F.col("split_id").cast("int").alias("split_id"), _vector(columns).alias("x"), F.col(label).cast("int").alias("y")))
-    each = [F.struct(F.avg(F.col("x")[i]).alias("m"), F.stddev_pop(F.col("x")[i]).alias("s")) for i in range(len(columns))]
+    train = kept(rows.filter((F.col("role") == "train") & F.col(label).isin(0, 1, 2)).select(F.col("symbol").cast("string").alias("symbol"), F.col("split_id").cast("int").alias("split_id"), *_inputs(columns), F.col(label).cast("int").alias("y")))
+    each = [F.struct(F.avg(f"_x{i}").alias("m"), F.stddev_pop(f"_x{i}").alias("s")) for i in range(len(columns))]
     counted = rows.select("symbol", F.col("split_id").cast("int").alias("split_id")).distinct().join(train.groupBy(*UNIT).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("y")).alias("classes"), F.array(*each).alias("scale")), UNIT, "left")
     scale, out, weights, last, n_of = {}, {}, {}, {}, {}
     for r in counted.collect():  # a row for each unit
@@ -118,7 +124,7 @@ def fit_units(rows: DataFrame, columns: list[str], label: str, options: list[dic
                     mine = [o for o in range(len(options)) if (*unit, o) in now]
                     if mine:
                         m, s, present = scales[unit]
-                        x = np.hstack((np.ones((len(part), 1)), (np.stack(part["x"].to_list()) - m) / s))
+                        x = _design(part, m, s)
                         for o in mine:
                             found = _stages(x, part["y"].to_numpy(), now[*unit, o], present)
                             total[*unit, o] = total[*unit, o] + found if (*unit, o) in total else found
@@ -177,11 +183,11 @@ def score_units(rows: DataFrame, columns: list[str], label: str, fits: DataFrame
                 for o in range(n_options):
                     if (*unit, o) in shared.value:
                         w, m, s, present = shared.value[*unit, o]
-                        p = _softmax(np.hstack((np.ones((len(part), 1)), (np.stack(part["x"].to_list()) - m) / s)), w, present)
+                        p = _softmax(_design(part, m, s), w, present)
                         out = part[[*keep, "label"]].assign(option=o, prediction=p.argmax(1), p_down=p[:, 0], p_flat=p[:, 1], p_up=p[:, 2])
                         yield out.astype({"label": "Int64"})
 
-    some = rows.filter(F.col("role").isin(*roles)).select(*keep, F.col(label).cast("int").alias("label"), _vector(columns).alias("x"))
+    some = rows.filter(F.col("role").isin(*roles)).select(*keep, F.col(label).cast("int").alias("label"), *_inputs(columns))
     some = some.withColumn("split_id", F.col("split_id").cast("int")).withColumn("mid", F.col("mid").cast("double"))
     return some.mapInPandas(scored, SCORES)
 
@@ -209,11 +215,8 @@ def daily_run(ticks: DataFrame, guards: DataFrame, names: list[str], horizon: in
     its test rows, and its positions pass the promotion gate or are held.
     """
     allowed = ticks.join(guards.filter("reason is null").select("symbol"), "symbol", "left_semi")
-    wanted = features.compute_factors(allowed, names)
-    labels = features.compute_labels(allowed, (horizon,))
     label = f"label_{horizon}"
-    mids = allowed.select("symbol", "datetime_ns", "row_hash", features.mid().alias("mid"))
-    data = kept(evaluation.training_set(wanted, labels).join(mids, ["symbol", "datetime_ns", "row_hash"]))
+    data = kept(features.factors_and_labels(allowed, list(dict.fromkeys([*names, "mid"])), (horizon,)))
     placed = evaluation.walk_forward_by_symbol(evaluation.with_position(data), n_splits=n_splits, min_train=min_train)
     placed = kept(placed.withColumn("split_id", F.col("split_id").cast("int")))
     fits = fit_units(placed, names, label, options, min_train)
@@ -232,7 +235,7 @@ def daily_run(ticks: DataFrame, guards: DataFrame, names: list[str], horizon: in
     tried = known.join(guards.filter("reason is null").select("symbol"), "symbol").join(tried, "symbol", "left")
     parts = [
         step(known.join(guards, "symbol", "left"), "guard", F.when(F.col("reason").isNull(), "passed").otherwise("held"), F.col("reason")),
-        counts(wanted, "features"), counts(labels, "labels"),
+        counts(data, "features"), counts(data, "labels"),  # each tick has a row of either
         step(tried, "fit", F.when(F.coalesce("good", F.lit(0)) == 0, "failed").when(F.col("good") < F.col("all"), "partly").otherwise("fitted"), F.when(F.col("all").isNull(), "no split of enough rows").otherwise(F.col("error"))),
         step(metrics, "evaluation", F.when(F.col("accuracy") > 1 / CLASSES, "better_than_chance").otherwise("not_better"), F.round("accuracy", 6).cast("string")),
         step(gated, "promotion", F.when(F.col("passed"), "promoted").otherwise("held"), F.array_join("reasons", ",")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickweave.operators import evaluation, experiments, features, research
 from tickweave.plans.queries import ORD, W, query, r6
-from tickweave.sources.ticks import ticks_from_events
+from tickweave.sources.ticks import kept, ticks_from_events
 
 CANDIDATES = ["mid_lag_1", "mid_diff_1", "mid_x_spread", "mid_per_spread", "mid_mean_5", "mid_std_5", "spread_lag_1", "spread_diff_1", "spread_mean_5", "spread_std_5"]
 MOST = 0.6
@@ -43,8 +43,8 @@ def o7_rolling_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {GENERATED}, cc AS (SELECT {_PAIRS} FROM gen){_STEPS} {_KEPT}")
 def o7_uncorrelated_features(spark: SparkSession, sf: str) -> DataFrame:
-    kept = research.uncorrelated(_generated(spark, sf), CANDIDATES, MOST)
-    return spark.createDataFrame([(c,) for c in kept], "feature string")
+    found = research.uncorrelated(_generated(spark, sf), CANDIDATES, MOST)
+    return spark.createDataFrame([(c,) for c in found], "feature string")
 
 
 @query(
@@ -95,9 +95,8 @@ OPTIONS = [{"l2": 1e-4}, {"l2": 1e-1}]
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks_from_events(spark, sf)
-    data = evaluation.training_set(features.compute_factors(t, NAMES), features.compute_labels(t, (10,)))
-    data = data.join(t.select("symbol", "datetime_ns", "row_hash", features.mid().alias("mid")), ["symbol", "datetime_ns", "row_hash"])
-    return evaluation.walk_forward_by_symbol(evaluation.with_position(data), min_train=30)
+    data = kept(features.factors_and_labels(t, [*NAMES, "mid"], (10,)))
+    return kept(evaluation.walk_forward_by_symbol(evaluation.with_position(data), min_train=30))
 
 
 @query()
