@@ -91,3 +91,18 @@ def test_daily_run_keeps_a_state_for_each_symbol(spark, sf):
     assert got["short", "fit"][0] == "failed" and ("short", "evaluation") not in got and got["short", "features"][0] == "built"
     for s in ("click", "error"):
         assert got[s, "fit"][0] == "fitted" and got[s, "evaluation"][0] in ("better_than_chance", "not_better") and got[s, "promotion"][0] in ("held", "promoted")
+
+
+def test_units_of_a_batch_and_rows_dealt_to_splits_by_their_reader(spark):
+    import pyarrow as pa
+
+    from tickweave.operators import evaluation
+
+    batch = pa.RecordBatch.from_pydict({"symbol": ["b", "a", "b", "b"], "split_id": pa.array([-1, 2, 2, -1], pa.int32()), "_x0": [1.0, 2.0, 3.0, 4.0], "y": pa.array([0, 1, 2, 1], pa.int32())})
+    found = {u: (x.ravel().tolist(), y.tolist()) for u, x, y in experiments._units_of(batch, 1)}
+    assert found == {("b", -1): ([1.0, 4.0], [0, 1]), ("a", 2): ([2.0], [1]), ("b", 2): ([3.0], [2])}
+    rows = spark.range(70).selectExpr("'s' AS symbol", "id AS pos")
+    split = evaluation.walk_forward_by_symbol(rows, min_train=1)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert split.groupBy("split_id").count().orderBy("split_id").collect() == [(i, 10 * (i + 3)) for i in range(5)]

@@ -61,7 +61,8 @@ def walk_forward_by_symbol(rows: DataFrame, n_splits: int = 5, train: float = 0.
     bounds = ends.select("symbol", "split_id", "_end", F.floor(F.col("_end") * train).alias("_a"), F.floor(F.col("_end") * val).alias("_v"))
     bounds = bounds.filter((F.col("_a") >= min_train) & (F.col("_end") > F.col("_a") + F.col("_v")))
     role = F.when(F.col("pos") < F.col("_a"), "train").when(F.col("pos") < F.col("_a") + F.col("_v"), "val").otherwise("test")
-    return rows.join(bounds, "symbol").filter(F.col("pos") < F.col("_end")).withColumn("role", role).drop("_end", "_a", "_v")
+    # a few rows for each symbol; a shuffle by symbol would gather the rows in as many tasks
+    return rows.join(F.broadcast(bounds), "symbol").filter(F.col("pos") < F.col("_end")).withColumn("role", role).drop("_end", "_a", "_v")
 
 
 def sequences(rows: DataFrame, columns: list[str], length: int, label: str) -> DataFrame:

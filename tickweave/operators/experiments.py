@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +54,22 @@ def _inputs(columns: list[str]) -> list[Column]:
     return [F.when(F.isnan(F.col(c).cast("double")), 0.0).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"_x{i}") for i, c in enumerate(columns)]
 
 
-def _design(part: pd.DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+def _units_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple[tuple[str, int], np.ndarray, np.ndarray]]:
+    """Unit, inputs and labels of each unit in a batch; names stay codes, no row becomes an object."""
+    names = batch.column("symbol").dictionary_encode()
+    split = batch.column("split_id").to_numpy()
+    code = names.indices.to_numpy() * np.int64(2**32) + (split + np.int64(2**31))
+    x = np.column_stack([batch.column(f"_x{i}").to_numpy() for i in range(n)]) if n else np.empty((len(split), 0))
+    y = batch.column("y").to_numpy()
+    symbols = names.dictionary.to_pylist()
+    for c in np.unique(code):
+        here = code == c
+        yield (symbols[int(c) >> 32], int(split[here.argmax()])), x[here], y[here]
+
+
+def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """A column of ones and the standardised inputs."""
-    return np.hstack((np.ones((len(part), 1)), (part[[f"_x{i}" for i in range(len(mean))]].to_numpy(np.float64) - mean) / scale))
+    return np.hstack((np.ones((len(x), 1)), (x - mean) / scale))
 
 
 def _softmax(x: np.ndarray, w: np.ndarray, present: list[int]) -> np.ndarray:
@@ -77,9 +91,10 @@ def _stages(x: np.ndarray, y: np.ndarray, w: np.ndarray, present: list[int]) ->
     k, d = q.shape[1], x.shape[1]
     hess = np.zeros((k * d, k * d))
     for i in range(k):
-        for j in range(k):
+        for j in range(i, k):
             weight = q[:, i] * ((i == j) - q[:, j])
-            hess[i * d : (i + 1) * d, j * d : (j + 1) * d] = (x * weight[:, None]).T @ x
+            block = (x * weight[:, None]).T @ x
+            hess[i * d : (i + 1) * d, j * d : (j + 1) * d] = hess[j * d : (j + 1) * d, i * d : (i + 1) * d] = block
     return np.concatenate(([len(x), loss], grad.ravel(), hess.ravel()))
 
 
@@ -94,7 +109,7 @@ def fit_units(rows: DataFrame, columns: list[str], label: str, options: list[dic
     settle within the steps fails alone.
     """
     spark, d = rows.sparkSession, len(columns) + 1
-    train = kept(rows.filter((F.col("role") == "train") & F.col(label).isin(0, 1, 2)).select(F.col("symbol").cast("string").alias("symbol"), F.col("split_id").cast("int").alias("split_id"), *_inputs(columns), F.col(label).cast("int").alias("y")))
+    train = kept(rows.filter((F.col("role") == "train") & F.col(label).isin(0, 1, 2) & F.col("symbol").isNotNull() & F.col("split_id").isNotNull()).select(F.col("symbol").cast("string").alias("symbol"), F.col("split_id").cast("int").alias("split_id"), *_inputs(columns), F.col(label).cast("int").alias("y")))
     each = [F.struct(F.avg(f"_x{i}").alias("m"), F.stddev_pop(f"_x{i}").alias("s")) for i in range(len(columns))]
     counted = rows.select("symbol", F.col("split_id").cast("int").alias("split_id")).distinct().join(train.groupBy(*UNIT).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("y")).alias("classes"), F.array(*each).alias("scale")), UNIT, "left")
     scale, out, weights, last, n_of = {}, {}, {}, {}, {}
@@ -116,27 +131,28 @@ def fit_units(rows: DataFrame, columns: list[str], label: str, options: list[dic
             break
         shared = spark.sparkContext.broadcast(({k: weights[k] for k in active}, scale))
 
-        def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, scales = shared.value
             total: dict[tuple, np.ndarray] = {}
             for batch in batches:
-                for unit, part in batch.groupby(UNIT, sort=False):
+                for unit, x, y in _units_of(batch, len(columns)):
                     mine = [o for o in range(len(options)) if (*unit, o) in now]
                     if mine:
                         m, s, present = scales[unit]
-                        x = _design(part, m, s)
+                        design = _design(x, m, s)
                         for o in mine:
-                            found = _stages(x, part["y"].to_numpy(), now[*unit, o], present)
+                            found = _stages(design, y, now[*unit, o], present)
                             total[*unit, o] = total[*unit, o] + found if (*unit, o) in total else found
             if total:
-                yield pd.DataFrame([(*k, v.tobytes()) for k, v in total.items()], columns=[*UNIT, "option", "part"])
+                rows = [(*k, v.tobytes()) for k, v in total.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [*UNIT, "option", "part"])
 
         def added(parts: pd.DataFrame) -> pd.DataFrame:
             whole = np.sum([np.frombuffer(p) for p in parts["part"]], axis=0)
             return parts.iloc[:1].assign(part=[whole.tobytes()])
 
         fields = "symbol string, split_id int, option int, part binary"
-        sums = train.mapInPandas(summed, fields).groupBy(*UNIT, "option").applyInPandas(added, fields)
+        sums = train.mapInArrow(summed, fields).groupBy(*UNIT, "option").applyInPandas(added, fields)
         for r in sums.collect():  # the size of the coefficients, squared, for each unit
             key = (r["symbol"], r["split_id"], r["option"])
             v, w, l2 = np.frombuffer(r["part"]), weights[key], float(options[key[2]].get("l2", 0.0))
@@ -183,7 +199,8 @@ def score_units(rows: DataFrame, columns: list[str], label: str, fits: DataFrame
                 for o in range(n_options):
                     if (*unit, o) in shared.value:
                         w, m, s, present = shared.value[*unit, o]
-                        p = _softmax(_design(part, m, s), w, present)
+                        x = part[[f"_x{i}" for i in range(len(m))]].to_numpy(np.float64)
+                        p = _softmax(_design(x, m, s), w, present)
                         out = part[[*keep, "label"]].assign(option=o, prediction=p.argmax(1), p_down=p[:, 0], p_flat=p[:, 1], p_up=p[:, 2])
                         yield out.astype({"label": "Int64"})
 

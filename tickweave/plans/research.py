@@ -96,19 +96,20 @@ OPTIONS = [{"l2": 1e-4}, {"l2": 1e-1}]
 def _units(spark: SparkSession, sf: str) -> DataFrame:
     t = ticks_from_events(spark, sf)
     data = kept(features.factors_and_labels(t, [*NAMES, "mid"], (10,)))
-    return kept(evaluation.walk_forward_by_symbol(evaluation.with_position(data), min_train=30))
+    # a row falls in up to five splits: written once, dealt to splits by each reader
+    return evaluation.walk_forward_by_symbol(kept(evaluation.with_position(data)), min_train=30)
 
 
 @query()
 def k10_benchmark_of_fits(spark: SparkSession, sf: str) -> DataFrame:
     rows = _units(spark, sf)
-    return experiments.benchmark(experiments.score_units(rows, NAMES, "label_10", experiments.fit_units(rows, NAMES, "label_10", OPTIONS, min_rows=30)))
+    return experiments.benchmark(experiments.score_units(rows, NAMES, "label_10", experiments.fit_units(rows, NAMES, "label_10", OPTIONS, min_rows=30), ("test",)))
 
 
 @query()
 def k16_swept_options(spark: SparkSession, sf: str) -> DataFrame:
     rows = _units(spark, sf)
-    return experiments.best_options(experiments.score_units(rows, NAMES, "label_10", experiments.fit_units(rows, NAMES, "label_10", OPTIONS, min_rows=30)))
+    return experiments.best_options(experiments.score_units(rows, NAMES, "label_10", experiments.fit_units(rows, NAMES, "label_10", OPTIONS, min_rows=30), ("val",)))
 
 
 @query()
