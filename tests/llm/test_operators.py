@@ -263,3 +263,41 @@ def test_warc_leaves_no_table_behind_and_takes_any_path(spark):
     spark.sql(f"DROP TABLE {name}")
     assert warc.read_payloads(spark, f"{root}-b", 1).collect()[0]["data"] == b"x"
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_comparing_a_block_holds_no_doubles_of_all_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    bases = [rng.integers(1, 2**62, 30, dtype=np.uint64) for _ in range(150)]
+    sets = [np.unique(np.append(bases[i % 150][: 30 - i // 450], np.uint64(i))) for i in range(1500)]
+    copies = np.arange(1500, dtype=np.float64) % 3 + 1
+    tracemalloc.start()
+    links, root = ngram_join.compare_block(sets, np.zeros(1500, int), copies, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000
+    for i in (0, 255, 256, 1023, 1499):
+        near = [j for j in range(1500) if j != i and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-6]
+        assert links[i] == sum(copies[j] for j in near) and root[i] == i % 150
+
+
+def test_raking_of_few_cells_shuffles_nothing(spark):
+    rows = [(f"s{i % 4}", f"l{i % 3}", f"t{i % 2}", 100 + 7 * i) for i in range(12)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").repartition(3)
+    plans = {}
+    for most in (mixing.CELLS_PER_TASK, 0):
+        kept, mixing.CELLS_PER_TASK = mixing.CELLS_PER_TASK, most
+        try:
+            goals = mixing._together(mixing.cut(mixing.smoothed_targets(mixing._together(cells), list(mixing.MARGINS))))
+            raked = mixing.rake(goals, 4)
+            plans[most] = raked._jdf.queryExecution().executedPlan().toString().count("Exchange"), {tuple(r)[:3]: r["raked"] for r in raked.collect()}
+        finally:
+            mixing.CELLS_PER_TASK = kept
+    (few, one), (many, dealt) = plans.values()
+    assert few == 0 and many > 0
+    for m in range(3):
+        own = {v: sum(r[3] for r in rows if r[m] == v) ** mixing.SMOOTHING for v in {r[m] for r in rows}}
+        for v, w in own.items():
+            assert abs(sum(x for k, x in one.items() if k[m] == v) - w / sum(own.values())) < 0.05
+    assert all(abs(one[k] - dealt[k]) < 1e-12 for k in one) and len(one) == 12

@@ -34,8 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     for _ in range(max_rounds):
         following = cut(_star(_star(pairs, True), False))
         # a forest of stars has every child once, and no root among the children
-        roots = following.select(F.col("v").alias("u")).distinct()
-        done = following.groupBy("u").count().filter("count > 1").isEmpty() and following.join(roots, "u", "left_semi").isEmpty()
+        ends = following.select("u", F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(following.select(F.col("v").alias("u"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+        done = ends.groupBy("u").agg(F.sum("child").alias("n"), F.max("root").alias("root")).filter("n > 1 or n = 1 and root = 1").isEmpty()
         pairs = following
         if done:
             break

@@ -18,6 +18,8 @@ SMOOTHING = 0.7
 ROUNDS = 12
 #: Turns after which the cell table is written, so that plans stay small in the driver.
 ROUNDS_PER_JOB = 3
+#: Shuffles of so few cells cost the driver more than the sums themselves: threads, plans and their updates.
+CELLS_PER_TASK = 50_000
 SEED = "mix-1"
 
 
@@ -39,15 +41,18 @@ def uniform(id_col: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def smoothed_targets(cells: DataFrame, margin: str, power: float = SMOOTHING) -> DataFrame:
-    """Cells with column goal_<margin>: the share of all tokens that the cell's margin value shall get."""
-    by = Window.partitionBy(margin)
-    own = F.pow(F.sum("tokens").over(by).cast("double"), F.lit(power))
-    # one representative row of each value counts towards the total
-    first = F.row_number().over(by.orderBy(*MARGINS))
-    marked = cells.withColumn("_own", own).withColumn("_first", F.when(first == 1, F.col("_own")).otherwise(0.0))
-    totals = marked.agg(F.sum("_first").alias("_all"))
-    return marked.join(F.broadcast(totals)).withColumn(f"goal_{margin}", F.col("_own") / F.col("_all")).drop("_own", "_first", "_all")
+def smoothed_targets(cells: DataFrame, margins: list[str], power: float = SMOOTHING) -> DataFrame:
+    """Cells with columns goal_<margin>: the share of all tokens that the cell's value of each margin shall get."""
+    marked = cells
+    for m in margins:
+        by = Window.partitionBy(m)
+        own = F.pow(F.sum("tokens").over(by).cast("double"), F.lit(power))
+        # one representative row of each value counts towards the total
+        first = F.row_number().over(by.orderBy(*MARGINS))
+        marked = marked.withColumn(f"_own_{m}", own).withColumn(f"_first_{m}", F.when(first == 1, F.col(f"_own_{m}")).otherwise(0.0))
+    marked = cut(marked)  # read twice
+    totals = marked.agg(*[F.sum(f"_first_{m}").alias(f"_all_{m}") for m in margins])
+    return marked.join(F.broadcast(totals)).select(*cells.columns, *[(F.col(f"_own_{m}") / F.col(f"_all_{m}")).alias(f"goal_{m}") for m in margins])
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -56,17 +61,24 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Each step scales every value of one margin to its goal; after ``rounds``
     turns over the three margins the shares meet all goals that the non-empty
     cells allow.  Works on the cell table only, whose size is the number of
-    distinct value combinations, not of documents.
+    distinct value combinations, not of documents.  Up to CELLS_PER_TASK cells
+    stay in one partition, which no window shuffles again; more are dealt by
+    each margin in turn.
     """
     out = cells.withColumn("raked", F.col("tokens").cast("double"))
     for k in range(rounds):
         if k and k % ROUNDS_PER_JOB == 0:
-            out = cut(out)
+            out = _together(cut(out))
         for m in MARGINS:
             out = out.withColumn("raked", F.col("raked") * F.col(f"goal_{m}") / F.sum("raked").over(Window.partitionBy(m)))
     return out
 
 
+def _together(cells: DataFrame) -> DataFrame:
+    """A written cell table, in one partition if it is small."""
+    return cells.coalesce(1) if cells.count() <= CELLS_PER_TASK else cells
+
+
 def _drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_expr: Column | None = None, goals: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
     """What mix returns, with columns raw_source, raw_lang and text_hash of the row."""
     tokens = n_tokens(text_col)
@@ -82,13 +94,13 @@ def _drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     )
     rows = cut(rows)  # the texts are read once; what stays is small
     rows = rows.withColumn("topic", F.coalesce(F.col("_topic"), F.lit("(none)")) if topic_expr is not None else topic(F.col("n_tokens"))).drop("_topic")
-    cells = cut(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    for m in MARGINS:
-        if goals and m in goals:
-            shares = F.create_map(*[F.lit(x) for pair in goals[m].items() for x in pair]) if goals[m] else F.lit(None)
-            cells = cells.withColumn(f"goal_{m}", F.coalesce(F.try_element_at(shares, F.col(m)), F.lit(0.0)))
-        else:
-            cells = smoothed_targets(cells, m)
+    cells = _together(cut(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))))
+    given = [m for m in MARGINS if goals and m in goals]
+    for m in given:
+        shares = F.create_map(*[F.lit(x) for pair in goals[m].items() for x in pair]) if goals[m] else F.lit(None)
+        cells = cells.withColumn(f"goal_{m}", F.coalesce(F.try_element_at(shares, F.col(m)), F.lit(0.0)))
+    if smoothed := [m for m in MARGINS if m not in given]:
+        cells = _together(cut(smoothed_targets(cells, smoothed)))
     fitted = cut(rake(cells, rounds).withColumn("_ratio", F.try_divide(F.col("raked"), F.col("tokens").cast("double"))))
     top = fitted.agg(F.max("_ratio").alias("_top"))
     rates = fitted.join(F.broadcast(top)).select(*MARGINS, F.coalesce(F.try_divide(F.col("_ratio"), F.col("_top")), F.lit(0.0)).alias("_p"))

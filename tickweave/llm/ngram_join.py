@@ -225,17 +225,20 @@ def compare_block(sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray,
         dense = np.zeros((n, min(width, len(frequent) - low)), np.float32)
         dense[owner[inside], at[inside] - low] = 1
         common += dense @ dense.T
-    linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    linked = np.empty((n, n), bool)
+    some = [slice(low, low + 256) for low in range(0, n, 256)]  # so that doubles of all pairs are never held at once
+    for rows in some:
+        linked[rows] = common[rows] >= threshold * (sizes[rows, None] + sizes[None, :] - common[rows]) - 1e-6
     np.fill_diagonal(linked, False)
     if sides.any() and not sides.all():
         linked &= sides[:, None] != sides[None, :]
     root = np.arange(n)
     while True:
-        nearest = np.where(linked, root[None, :], n).min(1) if n else root
+        nearest = np.concatenate([np.where(linked[rows], root[None, :], n).min(1) for rows in some]) if n else root
         moved = np.minimum(root, nearest)
         moved = moved[moved]
         if (moved == root).all():
-            return linked.astype(np.float64) @ copies, root
+            return np.concatenate([linked[rows].astype(np.float64) @ copies for rows in some]) if n else copies, root
         root = moved
 
 
