@@ -106,3 +106,13 @@ def test_units_of_a_batch_and_rows_dealt_to_splits_by_their_reader(spark):
     plan = split._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
     assert split.groupBy("split_id").count().orderBy("split_id").collect() == [(i, 10 * (i + 3)) for i in range(5)]
+
+
+def test_daily_run_scores_the_newest_split_alone(spark, sf, monkeypatch):
+    from tickweave.plans import research
+
+    seen, score = [], experiments.score_units
+    monkeypatch.setattr(experiments, "score_units", lambda rows, *a: seen.append(rows) or score(rows, *a))
+    research.k17_daily_run(spark, sf)
+    splits = {r["symbol"]: r["n"] for r in seen[0].groupBy("symbol").agg(F.count_distinct("split_id").alias("n")).collect()}
+    assert splits and set(splits.values()) == {1}

@@ -234,11 +234,12 @@ def daily_run(ticks: DataFrame, guards: DataFrame, names: list[str], horizon: in
     allowed = ticks.join(guards.filter("reason is null").select("symbol"), "symbol", "left_semi")
     label = f"label_{horizon}"
     data = kept(features.factors_and_labels(allowed, list(dict.fromkeys([*names, "mid"])), (horizon,)))
-    placed = evaluation.walk_forward_by_symbol(evaluation.with_position(data), n_splits=n_splits, min_train=min_train)
-    placed = kept(placed.withColumn("split_id", F.col("split_id").cast("int")))
+    placed = evaluation.walk_forward_by_symbol(kept(evaluation.with_position(data)), n_splits=n_splits, min_train=min_train)
+    placed = placed.withColumn("split_id", F.col("split_id").cast("int"))
     fits = fit_units(placed, names, label, options, min_train)
-    scored = kept(score_units(placed, names, label, fits))
-    newest = scored.join(scored.groupBy("symbol").agg(F.max("split_id").alias("split_id")), UNIT, "left_semi")
+    # of every symbol only the newest split with a fit is judged, so only its rows are scored
+    last = fits.filter("model is not null").groupBy("symbol").agg(F.max("split_id").alias("split_id"))
+    newest = kept(score_units(placed.join(F.broadcast(last), UNIT, "left_semi"), names, label, fits))
     best = best_options(newest)
     test = newest.filter("role = 'test'").join(best.select("symbol", "option"), ["symbol", "option"], "left_semi")
     metrics = evaluation.classification_metrics(test, ["symbol"])
