@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,20 @@ def test_judging_odd_urls(spark):
     assert url_rules.judge(pages.limit(0), labels).count() == 0
 
 
+def test_packing_worker_keeps_few_chunks_and_those_in_use():
+    tokenizer, common = packing.CachedTokenizer(queries.TOKENIZER), [f"often{i}" for i in range(1000)] + ["é\n"]
+    for k in range(12):
+        texts = [" ".join([*common, *(f"once{k}x{j}" for j in range(i, i + 4000))]) for i in range(0, 40_000, 4000)] + [None, "", " ", "\0a b", "a  \tx é\n b "]
+        ids, lengths = tokenizer.ids(pa.array(texts))
+        whole = [tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for x in whole for i in x] and lengths.tolist() == [len(x) for x in whole]
+    # 480,000 different ones were asked for; a block adds its own to those kept
+    assert len(tokenizer.known) < packing.MAX_CACHED + 42_000 <= 250_000 and set(common[1:]) <= set(tokenizer.known)
+    tokenizer._forget()
+    assert set(common[1:]) <= set(tokenizer.known) and len(tokenizer.known) < 3000
+    assert tokenizer.ids(pa.array(texts))[0].tolist() == ids.tolist()
+
+
 def test_buckets_are_matrices_without_padding(spark, tmp_path):
     rows = [(i, "word " * (i * 37 % 1500), 1, 2) for i in range(40)]
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, bucket int, length int").repartition(3), queries.TOKENIZER)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 MAX_LENGTH = 1024
 END_ID = 0
-#: Chunks that a worker keeps; beyond that it starts anew.
-MAX_CACHED = 1_500_000
+#: Chunks that a worker keeps between blocks; beyond that it forgets those that only one block has asked for.  Idle workers hold them beside other stages.
+MAX_CACHED = 200_000
 #: Bytes of text that are looked up together, and new chunks that are encoded in one call.
-BLOCK_BYTES, BLOCK_CHUNKS = 8_000_000, 500
+BLOCK_BYTES, BLOCK_CHUNKS = 1_000_000, 500
 #: Set before a text's first chunk, which follows no blank.
 _HEAD = "\0"
 #: Pieces of a result batch.
@@ -79,8 +80,35 @@ class CachedTokenizer:
     def _clear(self) -> None:
         self.known = _Numbered()
         self.lengths, self.starts, self.whole = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        self.uses = np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def _grow(self) -> None:
+        while len(self.known) > len(self.lengths):
+            self.lengths, self.starts, self.whole, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.lengths, self.starts, self.whole, self.uses))
+
+    def _forget(self) -> None:
+        """Keep chunks that more than one block has asked for, at most half of MAX_CACHED, the most asked for."""
+        keep = np.flatnonzero(self.uses[: len(self.known)] > 1)
+        if len(keep) > MAX_CACHED // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: MAX_CACHED // 2]])
+        mask = np.zeros(len(self.known), bool)
+        mask[keep] = True
+        chunks = list(compress(self.known, mask.tolist()))  # in the order of their numbers
+        lengths, whole, uses = self.lengths[keep], self.whole[keep], self.uses[keep]
+        ids = self._flat(self.starts[keep], lengths)
+        self._clear()
+        self.known.update(zip(chunks, range(len(chunks)), strict=True))
+        self._grow()
+        numbers = np.arange(len(chunks))
+        self.whole[numbers], self.uses[numbers] = whole, (uses + 1) // 2
+        self._add(numbers, lengths, ids)
+
+    def _flat(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The ids of chunks, one after the other."""
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(lengths.sum()) + np.repeat(starts - ends + lengths, lengths)]
+
     def _add(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         """Note ids of numbered chunks; arrays double when full, so each id is copied a bounded number of times."""
         while self.used + len(ids) > len(self.flat):
@@ -94,8 +122,7 @@ class CachedTokenizer:
         """Encode the new chunks, many that follow a blank in one text, parted again by their bytes."""
         new, self.known.new = self.known.new, []
         first = len(self.known) - len(new)
-        while len(self.known) > len(self.lengths):
-            self.lengths, self.starts, self.whole = (np.concatenate((x, np.zeros_like(x))) for x in (self.lengths, self.starts, self.whole))
+        self._grow()
         plain, apart = [], []
         for i, c in enumerate(new, first):
             if c[:1] == _HEAD or c[-1:].isspace():
@@ -120,7 +147,7 @@ class CachedTokenizer:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other and the number of each text's; null is empty."""
         if len(self.known) > MAX_CACHED:
-            self._clear()
+            self._forget()
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         texts = pc.fill_null(texts, "")
@@ -129,11 +156,11 @@ class CachedTokenizer:
         numbers = np.fromiter(map(self.known.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(chunks.dictionary))
         if self.known.new:
             self._learn()
+        self.uses[numbers] += 1
         which = numbers[chunks.indices.to_numpy()]
         begin = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))[:-1]
         n = self.lengths[which]
-        ends = np.cumsum(n)
-        found = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[which] - ends + n, n)]
+        found = self._flat(self.starts[which], n)
         lengths = np.add.reduceat(n, begin)
         whole = np.logical_or.reduceat(self.whole[which], begin) | pc.match_substring(texts, _HEAD).to_numpy(zero_copy_only=False)
         if whole.any():
@@ -194,6 +221,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[begin : ends[part][-1]])])
                     columns = [doc_ids.slice(a, b - a).take(pa.array(owner[part])), pa.array(start[part]), pa.array(lengths[part]), pieces, pa.array((counts + 1)[owner[part]]), pa.array(numbers[part])]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "bucket_sequence"])
+        pa.default_memory_pool().release_unused()  # the worker stays, idle beside other stages
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(packed, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket_sequence long")
