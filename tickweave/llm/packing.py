@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 MAX_LENGTH = 1024
 END_ID = 0
 #: Chunks that a worker keeps between blocks; beyond that it forgets those that only one block has asked for.  Idle workers hold them beside other stages.
-MAX_CACHED = 200_000
+MAX_CACHED = 300_000
 #: Bytes of text that are looked up together, and new chunks that are encoded in one call.
-BLOCK_BYTES, BLOCK_CHUNKS = 1_000_000, 500
+BLOCK_BYTES, BLOCK_CHUNKS = 2_000_000, 500
 #: Set before a text's first chunk, which follows no blank.
 _HEAD = "\0"
 #: Pieces of a result batch.
